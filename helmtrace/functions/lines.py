@@ -10,7 +10,7 @@ from helmtrace.functions.geo import METERS_PER_DEGREE, col
 
 def parse_int_list(text) -> Column:
     """Comma text to array<bigint>; blank items are skipped."""
-    parts = F.transform(F.split(col(text), ","), F.trim)
+    parts = F.transform(F.split(col(text), ","), lambda p: F.trim(p))
     return F.transform(F.filter(parts, lambda p: p != ""), lambda p: p.try_cast("bigint"))
 
 

@@ -21,7 +21,7 @@ def order_struct(df: DataFrame, ts: str = "BaseDateTime", skip: Sequence[str] =
 
     ``min``/``max`` of it give a first or last row that does not depend on the row order.
     """
-    head = [c for c in (ts, "LAT", "LON") if c in df.columns]
+    head = [c for c in (ts, "LAT", "LON") if c in df.columns and c not in skip]
     rest = [c for c in df.columns if c not in head and c not in skip]
     return F.struct(*head, *rest)
 
@@ -167,76 +167,60 @@ def global_rank(
 
 
 def exact_percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    quantiles: dict[str, float],
-    bins: int = 4096,
-    levels: int = 2,
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], bins: int = 256
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per key, one column per quantile.
 
-    Equal values are counted together, the value range is cut into equal bins (``levels``
-    times, each time inside the bins that hold a wanted rank), and only the values of
-    those last bins are ordered. Groups of any size stay spread over the cluster.
+    Equal values are counted together first. Approximate quantiles of the distinct values only
+    serve to cut them into bins of similar size; ranks inside a bin plus the sizes of the bins
+    before it give exact ranks. No group is ever ordered in one task.
     """
     keys = list(keys)
     on = keys or ["_all"]
     source = df if keys else df.withColumn("_all", F.lit(1))
-    counts = source.filter(F.col(value).isNotNull()).groupBy(*on, F.col(value).cast("double").alias("_v")).count()
-    span = counts.groupBy(*on).agg(
-        F.sum("count").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    counts = (
+        source.filter(F.col(value).isNotNull())
+        .groupBy(*on, F.col(value).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    cuts = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    shape = counts.groupBy(*on).agg(
+        F.sum("_c").alias("_total"), F.percentile_approx("_v", cuts, F.lit(bins * 20)).alias("_cuts")
+    )
+    if not keys:
+        shape = F.broadcast(shape)  # one row
+    placed = counts.join(shape, on).withColumn(
+        "_bin", F.size(F.filter("_cuts", lambda b: b <= F.col("_v")))
+    )
+    before = Window.partitionBy(*on).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy(*on, "_bin")
+        .agg(F.sum("_c").alias("_n"))
+        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .drop("_n")
     )
-    asked = F.array(*[F.struct(F.lit(n).alias("q"), F.lit(float(p)).alias("p")) for n, p in quantiles.items()])
-    place = F.col("p") * (F.col("_total") - 1)
-    wanted = span.select("*", F.inline(asked)).select(
-        *on, "_lo", "_hi", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("_rank")
-    ).distinct().withColumn("_left", F.col("_rank"))
-
-    def bin_of(v: Column) -> Column:
-        width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-        at = F.floor(F.coalesce(F.try_divide(v - F.col("_lo"), width), F.lit(0.0)))
-        return F.greatest(F.lit(0), F.least(at, F.lit(bins - 1))).cast("long")
-
-    held = counts
-    for level in range(levels):
-        zones = wanted.select(*on, "_lo", "_hi").distinct()
-        zone_id = ["_lo", "_hi"]
-        inside = held.join(zones, on) if level == 0 else held
-        binned = inside.withColumn("_bin", bin_of(F.col("_v")))
-        running = Window.partitionBy(*on, *zone_id).orderBy("_bin")
-        sums = (
-            binned.groupBy(*on, *zone_id, "_bin")
-            .agg(F.sum("count").alias("_n"), F.min("_v").alias("_bin_lo"), F.max("_v").alias("_bin_hi"))
-            .withColumn("_upto", F.sum("_n").over(running))
-        )
-        hit = wanted.join(sums, [*on, *zone_id]).filter(
-            (F.col("_left") < F.col("_upto")) & (F.col("_left") >= F.col("_upto") - F.col("_n"))
-        )
-        marks = hit.select(*on, *zone_id, "_bin", "_bin_lo", "_bin_hi").distinct()
-        held = (
-            binned.join(marks, [*on, *zone_id, "_bin"])
-            .drop(*zone_id, "_bin")
-            .withColumnsRenamed({"_bin_lo": "_lo", "_bin_hi": "_hi"})
-        )
-        wanted = hit.select(
-            *on,
-            F.col("_bin_lo").alias("_lo"),
-            F.col("_bin_hi").alias("_hi"),
-            "_rank",
-            (F.col("_left") - (F.col("_upto") - F.col("_n"))).alias("_left"),
-        )
-    last = Window.partitionBy(*on, "_lo", "_hi").orderBy("_v")
-    cum = held.withColumn("_upto", F.sum("count").over(last))
-    picked = wanted.join(cum, [*on, "_lo", "_hi"]).filter(
-        (F.col("_left") < F.col("_upto")) & (F.col("_left") >= F.col("_upto") - F.col("count"))
+    inside = Window.partitionBy(*on, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.withColumn("_upto", F.sum("_c").over(inside)).join(offsets, [*on, "_bin"])
+    upto = F.col("_offset") + F.col("_upto")
+
+    # A value holds the ranks [upto - count, upto); only those holding a wanted rank go on.
+    wanted = {n: F.lit(float(p)) * (F.col("_total") - 1) for n, p in quantiles.items()}
+
+    def held(rank: Column) -> Column:
+        return F.when((rank < upto) & (rank >= upto - F.col("_c")), F.col("_v"))
+
+    ends = {n: (held(F.floor(at)), held(F.ceil(at))) for n, at in wanted.items()}
+    hit = F.coalesce(*[e for pair in ends.values() for e in pair]).isNotNull()
+    picked = ranked.filter(hit).groupBy(*on, "_total").agg(
+        *[F.max(low).alias(f"_low_{n}") for n, (low, _) in ends.items()],
+        *[F.max(high).alias(f"_high_{n}") for n, (_, high) in ends.items()],
+    )
+    return picked.select(
+        *keys,
+        *[
+            (
+                F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * (at - F.floor(at))
+            ).alias(n)
+            for n, at in wanted.items()
+        ],
     )
-    ranks = picked.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
-    out = span.join(ranks, on)
-    columns = []
-    for name, p in quantiles.items():
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
-        low = F.element_at("_at", F.floor(pos))
-        high = F.element_at("_at", F.ceil(pos))
-        columns.append((low + (high - low) * (pos - F.floor(pos))).alias(name))
-    return out.select(*keys, *columns)

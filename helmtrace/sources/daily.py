@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,15 +43,19 @@ def read_files(spark: SparkSession, form: str, paths: list[str]) -> DataFrame:
 
 
 def check_columns(spark: SparkSession, files: list[tuple[str, str]]) -> tuple[list[tuple[str, str]], dict[str, list[str]]]:
-    """Files with all required columns, and the missing columns of the others."""
-    good, bad = [], {}
-    for form, path in files:
-        missing = [c for c in PING_COLUMNS if c not in read_files(spark, form, [path]).columns]
-        if missing:
-            bad[path] = missing
-        else:
-            good.append((form, path))
-    return good, bad
+    """Files with all required columns, and the missing columns of the others.
+
+    Reads headers and footers only, several files at a time.
+    """
+
+    def lacking(file: tuple[str, str]) -> list[str]:
+        have = read_files(spark, file[0], [file[1]]).columns
+        return [c for c in PING_COLUMNS if c not in have]
+
+    with ThreadPoolExecutor(16) as pool:
+        missing = list(pool.map(lacking, files))
+    good = [f for f, m in zip(files, missing) if not m]
+    return good, {f[1]: m for f, m in zip(files, missing) if m}
 
 
 def normalise(table: DataFrame, file_date: Column | None = None) -> DataFrame:
