@@ -39,19 +39,9 @@ def sparse_or_dense(spark: SparkSession, sf_dir: str, dense: bool = False) -> Da
         (v + 366000000).alias("MMSI"),
         F.concat(F.when(e % 101 == 0, "ALIAS ").otherwise("VESSEL "), v.cast("string")).alias("VesselName"),
         F.get(kinds, (v % 8).cast("int")).alias("VesselType"),
-        (
-            F.lit(24).cast("decimal(10,4)")
-            + ((v % 5) * 2500 + e % 97 + F.when(e % 10 == 0, 80000).otherwise(0)).cast("decimal(12,0)")
-            / F.lit(10000).cast("decimal(5,0)")
-        )
-        .cast("double")
-        .alias("LAT"),
-        (
-            F.lit(-83).cast("decimal(10,4)")
-            + ((v % 5) * 2500 + e % 89).cast("decimal(12,0)") / F.lit(10000).cast("decimal(5,0)")
-        )
-        .cast("double")
-        .alias("LON"),
+        # Whole ten-thousandths over 10,000: the double nearest to the decimal the SQL computes.
+        ((v % 5 * 2500 + e % 97 + F.when(e % 10 == 0, 320000).otherwise(240000)) / 10000.0).alias("LAT"),
+        ((v % 5 * 2500 + e % 89 - 830000) / 10000.0).alias("LON"),
         (F.col("value") % 30).alias("SOG"),
         cog.cast("double").alias("COG"),
         F.when(e % 23 != 0, (cog + F.when(e % 11 == 0, 90).otherwise(e % 30)) % 360).cast("double").alias("Heading"),

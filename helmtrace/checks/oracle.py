@@ -547,7 +547,7 @@ BODIES: dict[str, str] = {
     "top10_per_type": "SELECT * FROM (SELECT AnomalyType, MMSI, count(*) AS Count, row_number() OVER (PARTITION BY AnomalyType ORDER BY count(*) DESC, MMSI) AS Rank FROM anom GROUP BY AnomalyType, MMSI) WHERE Rank <= 10",
     "top10_vessel_types": "SELECT VesselType, count(*) AS Count FROM pings GROUP BY VesselType ORDER BY 2 DESC, 1 LIMIT 10",
     "dedup_pings": f"SELECT {P()} FROM (SELECT *, row_number() OVER (PARTITION BY MMSI, BaseDateTime ORDER BY LAT NULLS FIRST, LON NULLS FIRST) rn FROM raw WHERE BaseDateTime IS NOT NULL) WHERE rn = 1",
-    "union_days": f"SELECT {P().replace('round(Heading, 6)', '''round(CASE WHEN file_date >= DATE '2024-01-10' THEN Heading END, 6)''')} FROM pings",
+    "union_days": f"SELECT {P().replace('round(Heading ', '''round(CASE WHEN file_date >= DATE '2024-01-10' THEN Heading END ''')} FROM pings",
     # tracks
     "segment_tracks": f"SELECT {_T} FROM tracks",
     "track_segments": f"SELECT MMSI, segment_id, points, {TS('t0', 'start')}, {TS('t1', 'end')}, {R('span', 'span_hours')} FROM segs WHERE points >= 2 AND span >= 1",

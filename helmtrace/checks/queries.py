@@ -62,15 +62,17 @@ def query(fn: Query) -> Query:
 
 # --- shared inputs ------------------------------------------------------------------------
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
 def _stored(kind: str, spark: SparkSession, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """Second-stage queries share one stored input per session, as the jobs do."""
+    """Second-stage queries read a table the first stage wrote, once per session."""
     key = (spark.sparkContext.applicationId, kind, sf_dir)
     if key not in _STORED:
-        _STORED[key] = make().persist()
-    return _STORED[key]
+        folder = f"{scratch(spark)}/{kind}"
+        make().write.parquet(folder)
+        _STORED[key] = folder
+    return spark.read.parquet(_STORED[key])
 
 
 def anoms(spark: SparkSession, d: str) -> DataFrame:

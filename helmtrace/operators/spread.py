@@ -26,24 +26,63 @@ def order_struct(df: DataFrame, ts: str = "BaseDateTime", skip: Sequence[str] =
     return F.struct(*head, *rest)
 
 
+def _rows_and_chunks(
+    df: DataFrame,
+    keys: list[str],
+    fields: Sequence[str],
+    counted: Column,
+    ts: str,
+    order: Sequence[str],
+    chunk_us: int,
+) -> DataFrame:
+    """Rows with what precedes them: ``_prev`` (a struct) and ``_nth`` (counted rows up to here)."""
+    order = [c for c in order if c in df.columns]
+    value = F.struct(ts, *order, *[f for f in fields if f not in (ts, *order)])
+    rows = df.withColumns(
+        {"_chunk": chunk_of(ts, chunk_us), "_value": value, "_one": F.when(counted, 1).otherwise(0)}
+    )
+    walk = Window.partitionBy(*keys).orderBy("_chunk")
+    ends = rows.groupBy(*keys, "_chunk").agg(F.max("_value").alias("_last"), F.sum("_one").alias("_n"))
+    ends = ends.select(
+        *keys,
+        "_chunk",
+        F.lag("_last").over(walk).alias("_carry"),
+        F.coalesce(F.sum("_n").over(walk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+    )
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(ts, *order)
+    rows = rows.withColumns(
+        {
+            "_inner": F.lag("_value").over(inside),
+            "_upto": F.sum("_one").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        }
+    )
+    joined = rows.join(ends, [*keys, "_chunk"], "left")
+    return joined.withColumns(
+        {"_prev": F.coalesce("_inner", "_carry"), "_nth": F.col("_before") + F.col("_upto")}
+    ).drop("_chunk", "_value", "_inner", "_carry", "_before", "_upto")
+
+
 def add_previous(
     df: DataFrame,
     keys: Sequence[str],
     fields: Sequence[str],
     ts: str = "BaseDateTime",
     order: Sequence[str] = ("LAT", "LON"),
+    position: str | None = None,
+    counted: Column | None = None,
     chunk_us: int = HOUR_US,
 ) -> DataFrame:
-    """Adds ``prev``: a struct of ``ts`` and ``fields`` of the preceding row of the same ``keys``."""
-    keys = list(keys)
-    value = F.struct(ts, *[c for c in order if c in df.columns], *[f for f in fields if f not in (ts, *order)])
-    rows = df.withColumn("_chunk", chunk_of(ts, chunk_us)).withColumn("_value", value)
-    ends = rows.groupBy(*keys, "_chunk").agg(F.max("_value").alias("_last"))
-    ends = ends.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy("_value")
-    rows = rows.withColumn("_prev", F.lag("_value").over(inside))
-    joined = rows.join(ends.select(*keys, "_chunk", "_carry"), [*keys, "_chunk"], "left")
-    return joined.withColumn("prev", F.coalesce("_prev", "_carry")).drop("_chunk", "_value", "_prev", "_carry")
+    """Adds ``prev``: a struct of ``ts`` and ``fields`` of the preceding row of the same ``keys``.
+
+    With ``position``, also adds the 0-based time position among rows where ``counted`` holds
+    (all rows by default); the other rows get null.
+    """
+    counted = F.lit(True) if counted is None else counted
+    rows = _rows_and_chunks(df, list(keys), fields, counted, ts, order, chunk_us)
+    rows = rows.withColumnRenamed("_prev", "prev")
+    if position:
+        rows = rows.withColumn(position, F.when(F.col("_one") == 1, F.col("_nth") - 1).cast("long"))
+    return rows.drop("_one", "_nth")
 
 
 def add_position(
@@ -56,25 +95,7 @@ def add_position(
     chunk_us: int = HOUR_US,
 ) -> DataFrame:
     """Adds the 0-based time position within ``keys``; rows where ``counted`` is false get null."""
-    keys = list(keys)
-    counted = F.lit(True) if counted is None else counted
-    rows = df.withColumn("_chunk", chunk_of(ts, chunk_us)).withColumn("_one", F.when(counted, 1).otherwise(0))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        rows.groupBy(*keys, "_chunk")
-        .agg(F.sum("_one").alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    )
-    inside = (
-        Window.partitionBy(*keys, "_chunk")
-        .orderBy(ts, *[c for c in order if c in df.columns])
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    rows = rows.withColumn("_nth", F.sum("_one").over(inside))
-    joined = rows.join(sizes.select(*keys, "_chunk", "_offset"), [*keys, "_chunk"], "left")
-    return joined.withColumn(
-        name, F.when(F.col("_one") == 1, F.col("_offset") + F.col("_nth") - 1).cast("long")
-    ).drop("_chunk", "_one", "_nth", "_offset")
+    return add_previous(df, keys, [], ts, order, name, counted, chunk_us).drop("prev")
 
 
 def bracket(

@@ -146,9 +146,14 @@ def detect_gaps(pings: DataFrame, max_gap_hours: float = 6.0) -> DataFrame:
     )
 
 
-def motion_deltas(tracks: DataFrame, keys: list[str] = TRACK) -> DataFrame:
-    """Adds time step, acceleration, wrapped course change, rate of turn and distance."""
-    rows = add_previous(tracks, keys, ["LAT", "LON", "SOG", "COG"])
+def motion_deltas(tracks: DataFrame, keys: list[str] = TRACK, position: str | None = None) -> DataFrame:
+    """Adds time step, acceleration, wrapped course change, rate of turn and distance.
+
+    ``position`` names an optional column with the place among rows that have a speed.
+    """
+    rows = add_previous(
+        tracks, keys, ["LAT", "LON", "SOG", "COG"], position=position, counted=F.col("SOG").isNotNull()
+    )
     hours = hours_between("prev.BaseDateTime", "BaseDateTime")
     turn = wrap_180(F.col("COG") - F.col("prev.COG"))
     return rows.withColumns(
@@ -249,14 +254,16 @@ def _between_pings(grid: DataFrame, tracks: DataFrame, linear: list[str], carrie
     )
 
 
+def _slope(column: str, position: str) -> Column:
+    """Slope over positions, which are null where the column is; 0 below two values."""
+    slope = F.regr_slope(F.col(column), F.col(position).cast("double"))
+    return F.when(F.count(column) < 2, F.lit(0.0)).otherwise(slope)
+
+
 def linear_trend(tracks: DataFrame, column: str, keys: list[str] = TRACK) -> DataFrame:
     """Slope of a column against the position of its non-null values; 0 below two values."""
-    present = F.col(column).isNotNull()
-    rows = add_position(tracks, keys, "_x", counted=present)
-    slope = F.regr_slope(F.when(present, F.col(column)), F.col("_x").cast("double"))
-    return rows.groupBy(*keys).agg(
-        F.when(F.count(column) < 2, F.lit(0.0)).otherwise(slope).alias(f"{column.lower()}_trend")
-    )
+    rows = add_position(tracks, keys, "_x", counted=F.col(column).isNotNull())
+    return rows.groupBy(*keys).agg(_slope(column, "_x").alias(f"{column.lower()}_trend"))
 
 
 def track_features(tracks: DataFrame) -> DataFrame:
@@ -264,7 +271,7 @@ def track_features(tracks: DataFrame) -> DataFrame:
 
     Deviations are sample ones, except that of the step distance.
     """
-    moved = motion_deltas(tracks)
+    moved = motion_deltas(tracks, position="_x")
     extras = [c for c in ("Length", "Width") if c in tracks.columns]
     moment = F.struct("BaseDateTime", "LAT", "LON", "SOG")
     hour, weekday = F.hour("BaseDateTime"), F.weekday("BaseDateTime")
@@ -284,6 +291,7 @@ def track_features(tracks: DataFrame) -> DataFrame:
         F.stddev_samp("SOG").alias("sog_std"),
         F.max("SOG").alias("sog_max"),
         F.min("SOG").alias("sog_min"),
+        _slope("SOG", "_x").alias("sog_trend"),
         *circular_aggregates("COG", "cog"),
         *circular_aggregates("Heading", "heading"),
         last_known("COG").alias("cog_last"),
@@ -303,8 +311,7 @@ def track_features(tracks: DataFrame) -> DataFrame:
         hours_between(F.min("BaseDateTime"), F.max("BaseDateTime")).alias("time_span_hours"),
         F.max(F.struct("BaseDateTime", "LAT", "LON", "dt_hours"))["dt_hours"].alias("time_since_last_hours"),
     ).filter("points >= 2")
-    out = sums.join(linear_trend(tracks, "SOG"), TRACK)
-    return out.select(
+    return sums.select(
         *TRACK,
         "points",
         F.col("_z.LAT").alias("last_lat"),

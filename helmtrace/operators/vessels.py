@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helmtrace.functions.angles import circular_aggregates
@@ -73,12 +73,31 @@ def vessel_stats_summary(stats: DataFrame) -> DataFrame:
     )
 
 
+def usual_name_and_type(*tables: DataFrame) -> DataFrame:
+    """Most frequent name and type per vessel, from the first table that has one.
+
+    Names and types of all tables are counted in one pass; ties go to the smaller value.
+    """
+    entries = None
+    for rank, table in enumerate(tables):
+        kinds = F.array(
+            F.struct(F.lit("name").alias("kind"), F.nullif("VesselName", F.lit("")).alias("text"), F.lit(None).cast("int").alias("code")),
+            F.struct(F.lit("type").alias("kind"), F.lit(None).cast("string").alias("text"), F.col("VesselType").cast("int").alias("code")),
+        )
+        part = table.select("MMSI", F.lit(rank).alias("rank"), F.inline(kinds))
+        entries = part if entries is None else entries.unionAll(part)
+    counts = entries.groupBy("MMSI", "rank", "kind", "text", "code").agg(F.count(F.lit(1)).alias("n"))
+
+    def best(kind: str, value: str) -> Column:
+        found = (F.col("kind") == kind) & F.col(value).isNotNull()
+        return F.min(F.when(found, F.struct("rank", (-F.col("n")).alias("o"), value)))[value]
+
+    return counts.groupBy("MMSI").agg(best("name", "text").alias("InfoName"), best("type", "code").alias("InfoType"))
+
+
 def vessel_info_lookup(pings: DataFrame) -> DataFrame:
     """Most frequent name and type per vessel."""
-    names = modal_value(pings, ["MMSI"], "VesselName", "InfoName")
-    types = modal_value(pings, ["MMSI"], "VesselType", "InfoType")
-    vessels = pings.select("MMSI").distinct()
-    return vessels.join(names, "MMSI", "left").join(types, "MMSI", "left")
+    return usual_name_and_type(pings)
 
 
 def multi_anomaly_vessels(pings: DataFrame, anomalies: DataFrame) -> DataFrame:
@@ -100,22 +119,22 @@ def multi_anomaly_vessels(pings: DataFrame, anomalies: DataFrame) -> DataFrame:
             ).alias("AnomalyCounts"),
         )
     )
-    many = vessels.select("MMSI")
-    own = anomalies.join(many, "MMSI", "left_semi")
-    info = vessel_info_lookup(pings.join(many, "MMSI", "left_semi"))
-    out = (
-        vessels.join(modal_value(own, ["MMSI"], "VesselName"), "MMSI", "left")
-        .join(modal_value(own, ["MMSI"], "VesselType"), "MMSI", "left")
-        .join(info, "MMSI", "left")
-    )
-    name = F.coalesce(F.nullif("VesselName", F.lit("")), F.nullif("InfoName", F.lit("")), F.lit("Unknown"))
-    code = F.coalesce("VesselType", "InfoType")
+    seen = pings.join(anomalies.select("MMSI").distinct(), "MMSI", "left_semi")
+    code = F.col("InfoType")
     shown = F.when(
         code.isNotNull(), F.concat(code.cast("string"), F.lit(" ("), vessel_type_name(code), F.lit(")"))
     ).otherwise("Unknown")
-    return out.select(
-        "MMSI", name.alias("VesselName"), shown.alias("VesselType"), "AnomalyCounts", "Total"
-    ).orderBy(F.desc("Total"), "MMSI")
+    return (
+        vessels.join(usual_name_and_type(anomalies, seen), "MMSI", "left")
+        .select(
+            "MMSI",
+            F.coalesce("InfoName", F.lit("Unknown")).alias("VesselName"),
+            shown.alias("VesselType"),
+            "AnomalyCounts",
+            "Total",
+        )
+        .orderBy(F.desc("Total"), "MMSI")
+    )
 
 
 def summary_overview(pings: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from helmtrace.functions.geo import (
     METERS_PER_DEGREE,
@@ -35,12 +37,10 @@ def zone_table(spark: SparkSession, zones: Sequence[dict] | DataFrame | None = N
         )
     else:
         chosen = [z for z in zones or [] if z.get("is_selected", True)] or DEFAULT_ZONES
-        names = ZONE_SCHEMA.fieldNames()
-        floats = {f.name for f in ZONE_SCHEMA.fields if f.dataType.simpleString() == "double"}
-        rows = [
-            tuple(float(z[n]) if n in floats and z.get(n) is not None else z.get(n) for n in names) for z in chosen
-        ]
-        table = spark.createDataFrame(rows, ZONE_SCHEMA)
+        layout = to_arrow_schema(ZONE_SCHEMA)
+        rows = [{n: z.get(n) for n in ZONE_SCHEMA.fieldNames()} for z in chosen]
+        # An Arrow table becomes a local relation, whose projections the optimizer evaluates.
+        table = spark.createDataFrame(pa.Table.from_pylist(rows, layout), ZONE_SCHEMA)
     table = table.filter(F.coalesce("is_selected", F.lit(True)))
     return table.select(
         F.coalesce("name", F.lit("Unknown Zone")).alias("name"),
@@ -181,8 +181,8 @@ def pings_in_zones(pings: DataFrame, zones: DataFrame, salts: int = 16) -> DataF
         {"_clat": _cell(F.col("LAT"), -90.0, 90.0), "_clon": _cell(F.col("LON"), -180.0, 180.0)}
     )
     on = ["_clat", "_clon"]
-    control = cells.limit(CONTROL_ROWS + 1).collect()
-    if len(control) <= CONTROL_ROWS:
+    control = cells.limit(CONTROL_ROWS + 1).toArrow()
+    if control.num_rows <= CONTROL_ROWS:
         joined = placed.join(F.broadcast(pings.sparkSession.createDataFrame(control, cells.schema)), on)
     else:
         placed = placed.withColumn("_salt", F.pmod(F.xxhash64("MMSI", "BaseDateTime"), F.lit(salts)))
