@@ -752,6 +752,10 @@ def tracks(s, d):
     return K.segment_tracks(pings(s, d))
 
 
+def walks(s, d):
+    return K.segment_tracks(pings(s, d), walk=True)
+
+
 @query
 def segment_tracks(s, d):
     return tracks(s, d).select(*TRACK_OUT)
@@ -774,7 +778,7 @@ def detect_gaps(s, d):
 
 @query
 def motion_deltas(s, d):
-    return K.motion_deltas(tracks(s, d)).select(
+    return K.motion_deltas(walks(s, d)).select(
         *TRACK_OUT, "dt_hours", "acceleration", "cog_diff", "rate_of_turn"
     )
 
@@ -807,12 +811,12 @@ def interpolate_tracks_linear(s, d):
 
 @query
 def linear_trend(s, d):
-    return K.linear_trend(tracks(s, d), "SOG")
+    return K.linear_trend(walks(s, d), "SOG")
 
 
 @query
 def track_features(s, d):
-    rows = K.track_features(tracks(s, d))
+    rows = K.track_features(walks(s, d))
     # Where opposite angles cancel out, their mean is rounding noise.
     for p in ("cog", "heading"):
         sure = F.col(f"{p}_consistency") > 1e-6

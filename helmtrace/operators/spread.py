@@ -26,11 +26,18 @@ def order_struct(df: DataFrame, ts: str = "BaseDateTime", skip: Sequence[str] =
     return F.struct(*head, *rest)
 
 
+# Columns a track table may bring along: the chunk it is partitioned by, the last row
+# (WALK_FIELDS) of the chunk before in the same track, and the number of rows with a speed
+# before the chunk.
+WALK = ["time_chunk", "chunk_carry", "counted_before"]
+WALK_FIELDS = ["BaseDateTime", "LAT", "LON", "SOG", "COG"]
+
+
 def _rows_and_chunks(
     df: DataFrame,
     keys: list[str],
     fields: Sequence[str],
-    counted: Column,
+    counted: str | None,
     ts: str,
     order: Sequence[str],
     chunk_us: int,
@@ -38,9 +45,18 @@ def _rows_and_chunks(
     """Rows with what precedes them: ``_prev`` (a struct) and ``_nth`` (counted rows up to here)."""
     order = [c for c in order if c in df.columns]
     value = F.struct(ts, *order, *[f for f in fields if f not in (ts, *order)])
-    rows = df.withColumns(
-        {"_chunk": chunk_of(ts, chunk_us), "_value": value, "_one": F.when(counted, 1).otherwise(0)}
-    )
+    one = F.lit(1) if counted is None else F.when(F.col(counted).isNotNull(), 1).otherwise(0)
+    brought = all(c in df.columns for c in WALK)
+    if brought and ts == WALK_FIELDS[0] and set(fields) <= set(WALK_FIELDS) and counted in ("SOG", None):
+        # A chunk lies within one track, so the vessel and chunk are key enough.
+        inside = Window.partitionBy("MMSI", "time_chunk").orderBy(*WALK_FIELDS[:3])
+        before = F.lag(F.struct(*WALK_FIELDS)).over(inside)
+        rows = df.withColumns({"_one": one, "_prev": F.coalesce(before, "chunk_carry")})
+        if counted is None:
+            return rows.withColumn("_nth", F.lit(None).cast("long")).drop(*WALK)
+        upto = F.sum("_one").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return rows.withColumn("_nth", F.col("counted_before") + upto).drop(*WALK)
+    rows = df.drop(*WALK).withColumns({"_chunk": chunk_of(ts, chunk_us), "_value": value, "_one": one})
     walk = Window.partitionBy(*keys).orderBy("_chunk")
     ends = rows.groupBy(*keys, "_chunk").agg(F.max("_value").alias("_last"), F.sum("_one").alias("_n"))
     ends = ends.select(
@@ -69,15 +85,16 @@ def add_previous(
     ts: str = "BaseDateTime",
     order: Sequence[str] = ("LAT", "LON"),
     position: str | None = None,
-    counted: Column | None = None,
+    counted: str | None = None,
     chunk_us: int = HOUR_US,
 ) -> DataFrame:
     """Adds ``prev``: a struct of ``ts`` and ``fields`` of the preceding row of the same ``keys``.
 
-    With ``position``, also adds the 0-based time position among rows where ``counted`` holds
-    (all rows by default); the other rows get null.
+    With ``position``, also adds the 0-based time position among the rows where the column
+    ``counted`` is present (among all rows without one); the other rows get null.
     """
-    counted = F.lit(True) if counted is None else counted
+    if position and counted is None:
+        df = df.drop(*WALK)
     rows = _rows_and_chunks(df, list(keys), fields, counted, ts, order, chunk_us)
     rows = rows.withColumnRenamed("_prev", "prev")
     if position:
@@ -91,10 +108,10 @@ def add_position(
     name: str = "seq",
     ts: str = "BaseDateTime",
     order: Sequence[str] = ("LAT", "LON"),
-    counted: Column | None = None,
+    counted: str | None = None,
     chunk_us: int = HOUR_US,
 ) -> DataFrame:
-    """Adds the 0-based time position within ``keys``; rows where ``counted`` is false get null."""
+    """Adds the 0-based time position within ``keys``; rows without ``counted`` get null."""
     return add_previous(df, keys, [], ts, order, name, counted, chunk_us).drop("prev")
 
 
@@ -109,12 +126,15 @@ def bracket(
 ) -> DataFrame:
     """As-of lookup both ways: adds ``before`` and ``after`` to each query row.
 
-    ``before`` is the ping at or before the query time, ``after`` the one at or after it;
-    each is the first by ``fields`` among pings of the same time.
+    ``before`` is the ping at or before the query time, ``after`` the one at or after it; among
+    pings of the same time the first by position. ``fields`` start with LAT and LON. Both sides
+    meet in one shuffle by key and time chunk; chunks without a ping on one side of the query
+    get it from the table of chunk ends.
     """
     keys = list(keys)
-    points = pings.groupBy(*keys, ts).agg(F.min(F.struct(*fields)).alias("_f"))
-    points = points.select(*keys, F.col(ts).alias("_ts"), F.struct(F.col(ts).alias("ts"), "_f.*").alias("_point"))
+    points = pings.select(
+        *keys, F.col(ts).alias("_ts"), F.struct(F.col(ts).alias("ts"), *fields).alias("_point")
+    )
     asks = queries.select(
         *keys, F.col(query_ts).cast("timestamp").alias("_ts"), F.struct(*queries.columns).alias("_query")
     )
@@ -122,8 +142,12 @@ def bracket(
     chunk = F.coalesce(chunk_of("_ts", chunk_us), F.lit(-(2**60)))
     merged = asks.unionByName(points, allowMissingColumns=True).withColumn("_chunk", chunk)
 
+    # Turned round, the southernmost and westernmost of several pings at one time comes last.
+    turned = F.struct(
+        F.col("_point.ts").alias("ts"), (-F.col("_point.LAT")).alias("s"), (-F.col("_point.LON")).alias("w"), "_point"
+    )
     edges = merged.groupBy(*keys, "_chunk").agg(
-        F.max("_point").alias("_last"),
+        F.max(F.when(F.col("_point").isNotNull(), turned))["_point"].alias("_last"),
         F.min("_point").alias("_first"),
     )
     walk = Window.partitionBy(*keys).orderBy("_chunk")
@@ -137,13 +161,19 @@ def bracket(
         .over(walk.rowsBetween(1, Window.unboundedFollowing))
         .alias("_carry_after"),
     )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy("_ts")
-    merged = merged.withColumn(
-        "_before",
-        F.last("_point", ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-    ).withColumn(
-        "_after",
-        F.first("_point", ignorenulls=True).over(inside.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
+    is_ping = F.col("_point").isNotNull().cast("int")
+    inside = Window.partitionBy(*keys, "_chunk")
+    back = inside.orderBy("_ts", is_ping.desc(), F.desc("_point.LAT"), F.desc("_point.LON"))
+    ahead = inside.orderBy("_ts", is_ping, "_point")
+    merged = merged.withColumns(
+        {
+            "_before": F.last("_point", ignorenulls=True).over(
+                back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            ),
+            "_after": F.first("_point", ignorenulls=True).over(
+                ahead.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+            ),
+        }
     )
     found = merged.filter(F.col("_query").isNotNull()).join(edges, [*keys, "_chunk"], "left")
     return found.select(

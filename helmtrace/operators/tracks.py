@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from helmtrace.functions.angles import circular_aggregates, circular_columns
 from helmtrace.functions.geo import RADIUS_NM_TRACK, haversine, wrap_180
 from helmtrace.functions.times import HOUR_US, chunk_of, hours_between, micros
-from helmtrace.operators.spread import add_position, add_previous, bracket
+from helmtrace.operators.spread import WALK, add_position, add_previous, bracket
 
 TRACK = ["MMSI", "segment_id"]
 
@@ -37,6 +37,8 @@ def _track_chunks(pings: DataFrame, max_gap_hours: float) -> DataFrame:
             F.max("BaseDateTime").alias("to"),
             F.max(has_position[0]).alias("has_lat"),
             F.max(has_position[1]).alias("has_lon"),
+            F.count("SOG").alias("speeds"),
+            F.max(F.struct("BaseDateTime", "LAT", "LON", "SOG", "COG")).alias("last"),
         )
     )
     walk = Window.partitionBy("MMSI").orderBy("chunk")
@@ -48,6 +50,10 @@ def _track_chunks(pings: DataFrame, max_gap_hours: float) -> DataFrame:
             "rows_before": F.coalesce(
                 F.sum("n").over(walk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
             ),
+            "counted_before": F.coalesce(
+                F.sum("speeds").over(walk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            ),
+            "chunk_carry": F.when(silence <= int(max_gap_hours * HOUR_US), F.lag("last").over(walk)),
         }
     )
     broke = F.when(F.col("silence_hours") > max_gap_hours, 1).otherwise(0)
@@ -89,28 +95,57 @@ def tracks_with_size(
     min_points: int = 2,
     min_hours: float = 1.0,
     max_points: int | None = None,
+    walk: bool = False,
 ) -> DataFrame:
     """Pings of usable tracks, with ``segment_id`` and ``segment_points``.
 
-    Which tracks are usable is settled on the chunk table, so the pings of a refused track,
+    With ``walk`` the rows bring along what precedes their chunk, so that ``motion_deltas`` and
+    ``track_features`` go on from the same shuffle. Which tracks are usable is settled on the chunk table, so the pings of a refused track,
     however many, never reach a join key of their own.
     """
     pings = pings.filter(F.col("BaseDateTime").isNotNull())
-    chunks = _track_chunks(pings, max_gap_hours)
-    usable = _segments(chunks).filter(_usable(min_points, min_hours))
+    kept = _usable_chunks(pings, max_gap_hours, min_points, min_hours)
     if max_points is not None:
-        usable = usable.filter(F.col("points") <= max_points)
-    usable = usable.select(*TRACK, F.col("points").alias("segment_points"))
-    kept = chunks.select("MMSI", "chunk", "segment_id").join(usable, TRACK)
-    placed = pings.withColumn("chunk", chunk_of("BaseDateTime", _chunk_width(max_gap_hours)))
-    return placed.join(kept, ["MMSI", "chunk"]).drop("chunk")
+        kept = kept.filter(F.col("points") <= max_points)
+    return _join_chunks(pings, kept, max_gap_hours, walk, F.col("points").alias("segment_points"))
+
+
+def _usable_chunks(pings: DataFrame, max_gap_hours: float, min_points: int, min_hours: float) -> DataFrame:
+    """Chunks of usable tracks with their track's size.
+
+    The windows run over chunk rows and on the partitioning the chunk table already has.
+    """
+    track = Window.partitionBy(*TRACK)
+    chunks = _track_chunks(pings, max_gap_hours).withColumns(
+        {
+            "points": F.sum("n").over(track),
+            "start": F.min("from").over(track),
+            "end": F.max("to").over(track),
+            "has_lat": F.max("has_lat").over(track),
+            "has_lon": F.max("has_lon").over(track),
+        }
+    )
+    return chunks.withColumn("span_hours", hours_between("start", "end")).filter(_usable(min_points, min_hours))
+
+
+def _join_chunks(pings: DataFrame, kept: DataFrame, max_gap_hours: float, walk: bool, *extras: Column) -> DataFrame:
+    kept = kept.select(
+        "MMSI", F.col("chunk").alias("time_chunk"), "segment_id", *(WALK[1:] if walk else []), *extras
+    )
+    placed = pings.withColumn("time_chunk", chunk_of("BaseDateTime", _chunk_width(max_gap_hours)))
+    joined = placed.join(kept, ["MMSI", "time_chunk"])
+    return joined if walk else joined.drop("time_chunk")
 
 
 def segment_tracks(
-    pings: DataFrame, max_gap_hours: float = 6.0, min_points: int = 2, min_hours: float = 1.0
+    pings: DataFrame,
+    max_gap_hours: float = 6.0,
+    min_points: int = 2,
+    min_hours: float = 1.0,
+    walk: bool = False,
 ) -> DataFrame:
     """Pings of usable tracks, with ``segment_id``."""
-    return tracks_with_size(pings, max_gap_hours, min_points, min_hours).drop("segment_points")
+    return tracks_with_size(pings, max_gap_hours, min_points, min_hours, walk=walk).drop("segment_points")
 
 
 def segment_rejections(
@@ -149,10 +184,10 @@ def detect_gaps(pings: DataFrame, max_gap_hours: float = 6.0) -> DataFrame:
 def motion_deltas(tracks: DataFrame, keys: list[str] = TRACK, position: str | None = None) -> DataFrame:
     """Adds time step, acceleration, wrapped course change, rate of turn and distance.
 
-    ``position`` names an optional column with the place among rows that have a speed.
+    ``position`` names an optional column that counts up along the rows that have a speed.
     """
     rows = add_previous(
-        tracks, keys, ["LAT", "LON", "SOG", "COG"], position=position, counted=F.col("SOG").isNotNull()
+        tracks, keys, ["LAT", "LON", "SOG", "COG"], position=position, counted="SOG"
     )
     hours = hours_between("prev.BaseDateTime", "BaseDateTime")
     turn = wrap_180(F.col("COG") - F.col("prev.COG"))
@@ -186,11 +221,15 @@ def last_two_gap(pings: DataFrame, keys: list[str] = ["MMSI"]) -> DataFrame:
     )
 
 
-def latest_segment(pings: DataFrame, **limits) -> DataFrame:
+def latest_segment(
+    pings: DataFrame, max_gap_hours: float = 6.0, min_points: int = 2, min_hours: float = 1.0
+) -> DataFrame:
     """Pings of the last usable track of each vessel."""
-    tracks = segment_tracks(pings, **limits)
-    last = track_segments(pings, **limits).groupBy("MMSI").agg(F.max("segment_id").alias("segment_id"))
-    return tracks.join(last, TRACK, "left_semi")
+    pings = pings.filter(F.col("BaseDateTime").isNotNull())
+    kept = _usable_chunks(pings, max_gap_hours, min_points, min_hours)
+    newest = F.max("segment_id").over(Window.partitionBy("MMSI"))
+    kept = kept.withColumn("_newest", newest).filter(F.col("segment_id") == F.col("_newest"))
+    return _join_chunks(pings, kept, max_gap_hours, False)
 
 
 LINEAR = ["LAT", "LON", "SOG", "COG"]
@@ -262,7 +301,7 @@ def _slope(column: str, position: str) -> Column:
 
 def linear_trend(tracks: DataFrame, column: str, keys: list[str] = TRACK) -> DataFrame:
     """Slope of a column against the position of its non-null values; 0 below two values."""
-    rows = add_position(tracks, keys, "_x", counted=F.col(column).isNotNull())
+    rows = add_position(tracks, keys, "_x", counted=column)
     return rows.groupBy(*keys).agg(_slope(column, "_x").alias(f"{column.lower()}_trend"))
 
 

@@ -32,7 +32,7 @@ def busy(spark):
 
 def test_previous_and_position(busy):
     df, pdf = busy
-    got = X.add_previous(df, ["MMSI"], ["LAT", "SOG"], position="k", counted=F.col("SOG").isNotNull())
+    got = X.add_previous(df, ["MMSI"], ["LAT", "SOG"], position="k", counted="SOG")
     got = got.select("MMSI", "BaseDateTime", "k", F.col("prev.LAT").alias("p"), F.col("prev.SOG").alias("s")).toPandas()
     got = got.sort_values(["MMSI", "BaseDateTime"]).reset_index(drop=True)
     by = pdf.groupby("MMSI")
