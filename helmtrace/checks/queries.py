@@ -29,6 +29,7 @@ from helmtrace.operators import vessels as V
 from helmtrace.operators import zones as Z
 from helmtrace.plans.detection import all_anomalies, detect_anomalies, prepare
 from helmtrace.schemas import Params
+from helmtrace.session import shared_folder
 from helmtrace.sources import daily, stores
 from helmtrace.streaming.ingest import ingest_new_files
 
@@ -80,12 +81,12 @@ def anoms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seqs(spark: SparkSession, d: str) -> DataFrame:
-    return _stored("sequences", spark, d, lambda: S.training_sequences(dense_pings(spark, d)))
+    return _stored("sequences", spark, d, lambda: S.training_sequences(dense_pings(spark, d), work_dir=scratch(spark)))
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared one the cluster names; a local one only without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = shared_folder(spark)
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="run-")
 
 

@@ -13,6 +13,7 @@ from helmtrace.operators.cleaning import category_of
 from helmtrace.operators.spread import bracket, exact_percentiles, global_rank, nearest_of
 from helmtrace.operators.tracks import TRACK, tracks_with_size
 from helmtrace.operators.vessels import first_value
+from helmtrace.session import stage
 
 WINDOW = [*TRACK, "window_no"]
 
@@ -95,20 +96,24 @@ def training_sequences(
     max_points: int = 100_000,
     filter_below: int = 50_000,
     max_length: int = 500,
+    work_dir: str | None = None,
 ) -> DataFrame:
     """One row per sequence: its input points in time order and its target.
 
     Only counts and end times are computed for all windows; points are gathered afterwards,
-    for windows already known to hold at most ``max_length`` of them.
+    for windows already known to hold at most ``max_length`` of them. Tracks, window ends and
+    targets are each needed several times, so they are stored in ``work_dir`` (or below
+    ``spark.checkpoint.dir``) as they are made.
     """
-    rows = _trajectories(pings, max_points, filter_below)
+    rows = stage(_trajectories(pings, max_points, filter_below), "tracks", work_dir)
     placed = window_points(rows, window_starts(rows, hours), hours)
     ends = (
         placed.groupBy(*WINDOW)
         .agg(F.count(F.lit(1)).alias("length"), F.max("BaseDateTime").alias("last_known_time"))
         .filter((F.col("length") >= 2) & (F.col("length") <= max_length))
     )
-    targets = sequence_target(ends, rows, horizon_hours)
+    ends = stage(ends, "ends", work_dir)
+    targets = stage(sequence_target(ends, rows, horizon_hours), "targets", work_dir)
     point = F.struct(
         F.col("BaseDateTime").alias("ts"),
         F.col("LAT").alias("lat"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that results or plans rely on.
 SETTINGS = {
@@ -32,16 +32,20 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     return spark
 
 
-def use_checkpoints(spark: SparkSession) -> str:
-    """Point ``checkpoint()`` at the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder all executors reach, as the cluster names it."""
+    return spark.conf.get("spark.checkpoint.dir", None)
 
-    ``spark.checkpoint.dir`` wins; only where nothing is set (tests, a laptop) is a
-    scratch folder made.
+
+def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Writes ``df`` once and goes on from the stored table, so that its plan runs only once.
+
+    The table lies in ``folder``, else below ``spark.checkpoint.dir``; a lost executor costs
+    nothing that is already written. Where neither is set the plan stays lazy.
     """
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return spark.sparkContext.getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or shared_folder(df.sparkSession)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="run-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        return df
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
