@@ -629,6 +629,17 @@ BODIES: dict[str, str] = {
     "chart_aggregate_orders": f"SELECT l_returnflag, {R('CAST(max(l_quantity) AS DOUBLE)', 'l_quantity')} FROM lineitem GROUP BY l_returnflag",
 }
 
+for _name, _test in {
+    "in_rectangle": IN_BOX,
+    "in_circle": IN_CIRCLE,
+    "in_polygon": IN_RING(WEDGE),
+    "near_polyline": f"{LINE_M(CABLE)} <= 150",
+}.items():
+    BODIES[_name] = f"SELECT MMSI, {TS('BaseDateTime')} FROM pings WHERE {_test}"
+
+for _kind in ("new", "lost", "common"):
+    BODIES[f"{_kind}_vessels"] = f"SELECT MMSI, Date FROM ({BODIES['vessel_changes']}) WHERE Change = '{_kind}'"
+
 PARTS["hist"] = (
     "SELECT * REPLACE (coalesce(VesselType, 0) AS VesselType) FROM raw WHERE BaseDateTime IS NOT NULL AND LAT BETWEEN -90 AND 90 AND NOT (LAT = 0 AND LON = 0) "
     "AND (SOG IS NULL OR SOG <= 100) AND (COG IS NULL OR COG <= 360)"

@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,21 +39,22 @@ QUERIES: dict[str, Query] = {}
 DIGITS = 6
 
 
+def _plain(name: str, kind: T.DataType) -> str:
+    c = f"`{name}`"
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        # The shift keeps means of short decimals off the rounding edge.
+        return f"round(CAST({c} AS DOUBLE) + 1e-9D, {DIGITS}) AS {c}"
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return f"date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS {c}"
+    if isinstance(kind, T.DateType):
+        return f"date_format({c}, 'yyyy-MM-dd') AS {c}"
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return f"coalesce(CAST({c} AS BIGINT), -1L) AS {c}"
+    return c
+
+
 def shown(df: DataFrame) -> DataFrame:
-    columns: list[Column] = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            # The shift keeps means of short decimals off the rounding edge.
-            c = F.round(c.cast("double") + 1e-9, DIGITS)
-        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        elif isinstance(f.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            c = F.coalesce(c.cast("bigint"), F.lit(-1))
-        columns.append(c.alias(f.name))
-    return df.select(*columns)
+    return df.selectExpr(*[_plain(f.name, f.dataType) for f in df.schema.fields])
 
 
 def query(fn: Query) -> Query:
@@ -76,12 +77,20 @@ def _stored(kind: str, spark: SparkSession, sf_dir: str, make: Callable[[], Data
     return spark.read.parquet(_STORED[key])
 
 
+def make_anomalies(spark: SparkSession, d: str) -> DataFrame:
+    return all_anomalies(pings(spark, d), ZONES, CHECK_PARAMS)
+
+
+def make_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return S.training_sequences(dense_pings(spark, d), work_dir=scratch(spark))
+
+
 def anoms(spark: SparkSession, d: str) -> DataFrame:
-    return _stored("anomalies", spark, d, lambda: all_anomalies(pings(spark, d), ZONES, CHECK_PARAMS))
+    return _stored("anomalies", spark, d, lambda: make_anomalies(spark, d))
 
 
 def seqs(spark: SparkSession, d: str) -> DataFrame:
-    return _stored("sequences", spark, d, lambda: S.training_sequences(dense_pings(spark, d), work_dir=scratch(spark)))
+    return _stored("sequences", spark, d, lambda: make_sequences(spark, d))
 
 
 def scratch(spark: SparkSession) -> str:
@@ -497,6 +506,17 @@ def vessel_changes(s, d):
     return Y.vessel_changes(clean, days)
 
 
+def _change(kind: str) -> Query:
+    return lambda s, d: shown(vessel_changes_of(s, d).filter(F.col("Change") == kind).select("MMSI", "Date"))
+
+
+def vessel_changes_of(s, d):
+    return Y.vessel_changes(*ready(s, d))
+
+
+QUERIES |= {"new_vessels": _change("new"), "lost_vessels": _change("lost"), "common_vessels": _change("common")}
+
+
 # --- aggregates ---------------------------------------------------------------------------
 
 
@@ -1071,6 +1091,30 @@ def zone_shapes(s, d):
     )
 
 
+def _inside(s, d, test):
+    return pings(s, d).filter(test).select("MMSI", "BaseDateTime")
+
+
+@query
+def in_rectangle(s, d):
+    return _inside(s, d, geo.in_rectangle("LAT", "LON", 24.0, 24.3, -83.1, -82.6))
+
+
+@query
+def in_circle(s, d):
+    return _inside(s, d, geo.in_circle("LAT", "LON", 24.5, -82.5, 900.0))
+
+
+@query
+def in_polygon(s, d):
+    return _inside(s, d, geo.in_polygon("LAT", "LON", geo.parse_coordinates(F.lit(ZONES[2]["coordinates"]))))
+
+
+@query
+def near_polyline(s, d):
+    return _inside(s, d, geo.near_polyline("LAT", "LON", geo.parse_coordinates(F.lit(ZONES[3]["coordinates"])), 150.0))
+
+
 @query
 def zone_bounds(s, d):
     """Bounds of circles around every vessel's mean position."""

@@ -16,7 +16,7 @@ from helmtrace.schemas import ANOMALY_LABELS, ANOMALY_REPORT_NAMES, ANOMALY_TYPE
 
 
 def union_anomalies(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [anomaly_table(p) for p in parts])
+    return reduce(DataFrame.unionAll, [anomaly_table(p) for p in parts])
 
 
 def filter_anomaly_types(anomalies: DataFrame, enabled: Sequence[str]) -> DataFrame:

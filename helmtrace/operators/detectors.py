@@ -51,9 +51,10 @@ def _compared_days(pings: DataFrame, days: DataFrame, params: Params) -> DataFra
 
 def anomaly_table(rows: DataFrame) -> DataFrame:
     """The full anomaly layout; columns a detector does not set are null."""
-    return rows.select(
+    have = set(rows.columns)
+    return rows.selectExpr(
         *[
-            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            f"CAST({f'`{f.name}`' if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
             for f in ANOMALY_SCHEMA.fields
         ]
     )

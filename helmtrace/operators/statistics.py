@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 def run_statistics(pings: DataFrame, approximate: bool = False) -> DataFrame:
     distinct = F.approx_count_distinct if approximate else F.countDistinct
-    return pings.agg(
+    # The distinct counts run over one row per vessel and date, not over pings.
+    return pings.groupBy("file_date", "MMSI").agg(F.count(F.lit(1)).alias("n")).agg(
         F.countDistinct("file_date").alias("days_analyzed"),
-        F.count(F.lit(1)).alias("records_analyzed"),
+        F.sum("n").alias("records_analyzed"),
         distinct("MMSI").alias("unique_mmsi"),
     )
 

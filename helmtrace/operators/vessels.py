@@ -138,11 +138,15 @@ def multi_anomaly_vessels(pings: DataFrame, anomalies: DataFrame) -> DataFrame:
 
 
 def summary_overview(pings: DataFrame) -> DataFrame:
-    totals = pings.agg(
-        F.count(F.lit(1)).alias("Total_Records"),
+    # The distinct counts run over one row per vessel and type, not over pings.
+    kinds = pings.groupBy("MMSI", "VesselType").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("VesselName").isNotNull()).alias("named")
+    )
+    totals = kinds.agg(
+        F.sum("n").alias("Total_Records"),
         F.countDistinct("MMSI").alias("Vessels"),
         F.countDistinct("VesselType").alias("Vessel_Types"),
-        F.countDistinct(F.when(F.col("VesselName").isNotNull(), F.col("MMSI"))).alias("Named_Vessels"),
+        F.countDistinct(F.when(F.col("named"), F.col("MMSI"))).alias("Named_Vessels"),
     )
     # One row on either side.
     top = top_vessel_types(pings, 1).select(F.lit(1).alias("k"), F.col("VesselType").alias("Most_Common_Type"))
