@@ -525,7 +525,7 @@ BODIES: dict[str, str] = {
     "movement_patterns": f"SELECT {CATEGORY('VesselType')} AS Category, {R('avg(SOG)', 'speed_mean')}, {R('stddev_samp(SOG)', 'speed_std')}, {R('max(SOG)', 'speed_max')}, {_quant(0.5, 'SOG', 'speed_median')}, "
     f"{R('sqrt(pow(avg(sin(radians(COG))), 2) + pow(avg(cos(radians(COG))), 2))', 'course_consistency')}, {R('stddev_samp(LAT)', 'geographic_spread_lat')}, {R('stddev_samp(LON)', 'geographic_spread_lon')}, "
     f"{R('count(*) * 1.0 / count(DISTINCT MMSI)', 'records_per_vessel')} FROM pings GROUP BY 1 HAVING {CATEGORY('min(VesselType)')} <> 'Unknown'",
-    "leading_categories": f"SELECT arg_max(c, s) AS fastest, arg_max(c, k) AS most_consistent, arg_max(c, n) AS most_active FROM (SELECT {CATEGORY('VesselType')} AS c, avg(SOG) s, "
+    "leading_categories": f"SELECT first(c ORDER BY s DESC, c) AS fastest, first(c ORDER BY k DESC, c) AS most_consistent, first(c ORDER BY n DESC, c) AS most_active FROM (SELECT {CATEGORY('VesselType')} AS c, avg(SOG) s, "
     "sqrt(pow(avg(sin(radians(COG))), 2) + pow(avg(cos(radians(COG))), 2)) k, count(*) * 1.0 / count(DISTINCT MMSI) n FROM pings GROUP BY 1)",
     "vessel_density": f"SELECT MMSI, points, {R('span', 'span_hours')}, {R('points / greatest(span, 0.01)', 'points_per_hour')} FROM dens",
     "vessel_density_summary": "SELECT count(*) AS vessels, count(*) FILTER (points >= 3) AS enough_points, count(*) FILTER (span >= 24) AS long_span, count(*) FILTER (points >= 3 AND span >= 24) AS both, "
