@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helmtrace.functions.geo import haversine_nm, wrap_180
-from helmtrace.functions.times import HOUR_US, hours_between, micros, minutes_between
-from helmtrace.operators.days import first_last_ping, vessel_days
+from helmtrace.functions.times import hours_between, micros, minutes_between
+from helmtrace.operators.days import vessel_days
 from helmtrace.operators.spread import order_struct
 from helmtrace.operators.zones import pings_in_zones
 from helmtrace.schemas import ANOMALY_SCHEMA, PING_COLUMNS, Params
@@ -184,19 +184,13 @@ def loitering(pings: DataFrame, days: DataFrame, params: Params = Params()) -> D
     facts = ["LoiteringRecordCount", "LoiteringDurationHours"]
     near = rows.withColumn("_hour", F.hour("BaseDateTime")).join(calm, [*keys, "_hour"])
     away = haversine_nm("_clat", "_clon", "LAT", "LON")
-    # The other ping columns travel in one struct so that the first ping is picked in the same pass.
-    first = F.min(F.struct(*[c for c in order_fields(rows, keys)]))
-    done = near.groupBy(*keys, *facts).agg(F.max(away).alias("LoiteringRadiusNM"), first.alias("first"))
+    first = F.min(order_struct(rows, skip=keys)).alias("first")
+    done = near.groupBy(*keys, *facts).agg(F.max(away).alias("LoiteringRadiusNM"), first)
     return done.filter(F.col("LoiteringRadiusNM") < params.loitering_radius_nm).select(
         "MMSI", "first.*", "file_date", *_stamp("Loitering", F.col("file_date")), "LoiteringRadiusNM", *facts
     )
 
 
-def order_fields(rows: DataFrame, skip: list[str]) -> list[str]:
-    head = ["BaseDateTime", "LAT", "LON"]
-    return head + [c for c in rows.columns if c not in head and c not in skip]
-
-
 def identity_spoofing(pings: DataFrame, days: DataFrame, params: Params = Params()) -> DataFrame:
     """Vessel-days with several names; the first five, in order of appearance, are listed."""
     rows = _compared_days(_only_pings(pings), days, params)
