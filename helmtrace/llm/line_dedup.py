@@ -65,7 +65,6 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     right = bitmaps.select(F.col("doc").alias("_doc"), F.col("version").alias("_bits_version"), "n_dropped", "dropped")
     right = right.withColumnsRenamed({"n_dropped": "_n_dropped", "dropped": "_dropped"})
     both = keyed.join(right, (F.col(id_col) == F.col("_doc")) & (F.col("_version") == F.col("_bits_version")), "left")
-    lines = F.split(whole(text_col), "\n")
     text = F.when(F.col("_dropped").isNull(), whole(text_col)).otherwise(
         F.expr(
             f"array_join(filter(split(coalesce(`{text_col}`, ''), '\\n'), (line, i) -> "
@@ -74,7 +73,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     )
     return both.select(
         *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        F.size(lines).cast("long").alias("_n_lines"),
+        F.size(F.split(whole(text_col), "\n")).cast("long").alias("_n_lines"),
         F.coalesce("_n_dropped", F.lit(0)).cast("long").alias("_n_dropped"),
     )
 
