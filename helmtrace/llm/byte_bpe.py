@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helmtrace.llm.common import without
+
 # Classes of code points. The last two are an apostrophe with one or two contraction letters after it.
 LETTER, NUMBER, OTHER, SPACE, BLANK, SHORT, LONG = range(7)
 # States: what the code point before a position was part of.
@@ -320,7 +322,8 @@ def decode_column(ids: Column, path: str) -> Column:
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_ids`` and ``_offsets`` (see ``encode_column``); other columns stay as they are."""
+    """``docs`` with ``_ids`` and ``_offsets`` (see ``encode_column``); other columns stay, but for those of these names."""
+    docs = without(docs, "_ids", "_offsets", "_coded")
     coded = docs.withColumn("_coded", encode_column(F.col(f"`{text_col}`"), path))
     return coded.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_coded.ids").alias("_ids"), F.col("_coded.offsets").alias("_offsets"))
 

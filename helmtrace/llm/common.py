@@ -46,6 +46,12 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns of these names: an operator's own columns replace columns of the same name."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
 def whole(text: str | Column) -> Column:
     """The text of a row, empty where it is null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

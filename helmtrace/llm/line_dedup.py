@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helmtrace.llm.common import WHITE, stored, whole
+from helmtrace.llm.common import WHITE, stored, whole, without
 
 MIN_KEY_CHARS = 10
 WORD_BITS = 64
@@ -60,7 +60,11 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``text_col`` cut to its kept lines, ``_n_lines`` and ``_n_dropped``."""
+    """All rows and columns of ``docs`` with ``text_col`` cut to its kept lines, ``_n_lines`` and ``_n_dropped``.
+
+    Columns of ``docs`` with these names, or ``_version``, ``_doc``, ``_bits_version``, ``_dropped``, are replaced.
+    """
+    docs = without(docs, "_n_lines", "_n_dropped", "_version", "_doc", "_bits_version", "_dropped")
     keyed = docs.select("*", F.xxhash64(whole(text_col)).alias("_version"))
     right = bitmaps.select(F.col("doc").alias("_doc"), F.col("version").alias("_bits_version"), "n_dropped", "dropped")
     right = right.withColumnsRenamed({"n_dropped": "_n_dropped", "dropped": "_dropped"})

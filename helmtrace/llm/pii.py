@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helmtrace.llm.common import whole
+from helmtrace.llm.common import whole, without
 from helmtrace.llm.crf_tagger import WINDOW, Tagger, char_ids, train
 
 # The kinds, in their order, and the patterns of their plain forms.
@@ -76,7 +76,7 @@ def windows(text: str) -> list[int]:
     start = end = -1
     for m in _TRIGGER.finditer(text):
         at = m.start()
-        if at - REACH > end:
+        if end < 0 or at - REACH > end:
             out += _tiles(start, end)
             start = max(0, at - REACH)
         end = min(len(text), at + 1 + REACH)
@@ -90,7 +90,7 @@ def _tiles(start: int, end: int) -> list[int]:
 
 
 # Examples that every training set has, so that small and empty tables train too. Invented values.
-_PLAIN: list[tuple[str, str]] = [
+_PLAIN = [
     ("email", "anna.b@post.example.org"),
     ("email", "x_77+new@mail2.example.com"),
     ("ip", "192.0.2.44"),
@@ -147,7 +147,7 @@ def training_examples(texts: list[str], seed: int = 7, rewrites: int = 2) -> lis
         for kind, plain in _PLAIN:
             new, cut = _rewrite(plain, kind, rng), int(rng.integers(0, 20))
             shift = int(rng.integers(0, 60))
-            out.append((_FILLER[shift : shift + cut] + " " + new + " " + _FILLER[: WINDOW], [(cut + 1, cut + 1 + len(new), kind)]))
+            out.append((_FILLER[shift : shift + cut] + " " + new + " " + _FILLER[:WINDOW], [(cut + 1, cut + 1 + len(new), kind)]))
         for noise in _NOISE:
             shift = int(rng.integers(0, 40))
             out.append((_FILLER[shift : shift + i % 20] + " " + noise + " " + _FILLER[:WINDOW], []))
@@ -180,9 +180,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 
 
 def _surroundings(text: str) -> list[str]:
-    """The stretches that windows are read from, each of four windows at most."""
-    starts = windows(text)
-    return sorted({text[a : a + WINDOW] for a in starts}) if starts else []
+    """The windows of a text, each once."""
+    return sorted({text[a : a + WINDOW] for a in windows(text)})
 
 
 def model_spans(texts: list[str], tagger: Tagger, sure: float = SURE, batch: int = 256) -> list[list[Span]]:
@@ -269,7 +268,11 @@ def spans_column(text: Column, tagger: Tagger, block: int = 64) -> Column:
 
 
 def find(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_base`` and ``_spans``; null and empty texts have none, no row is dropped."""
+    """``docs`` with ``_base`` and ``_spans``; null and empty texts have none, no row is dropped.
+
+    Columns of ``docs`` with these names or ``_found`` are replaced.
+    """
+    docs = without(docs, "_base", "_spans", "_found")
     found = docs.withColumn("_found", spans_column(whole(text_col), tagger))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_found.base").alias("_base"), F.col("_found.spans").alias("_spans"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helmtrace.llm.common import WHITE, WORD_BREAK, whole
+from helmtrace.llm.common import WHITE, WORD_BREAK, whole, without
 
 # Shares of character classes in edited prose (white space, lower case, upper case, digits,
 # symbols #*$%&|<>, the rest), and of the commonest words among all words, rounded.
@@ -33,6 +33,10 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 LEAST_CHARS, LEAST_WORDS = 200, 100
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.15, 0.36
 
+_OWN = (
+    "_words _windows _lines _pairs _places _n_words _word_chars _n_symbols _n_dup_lines _n_repeat_words _white _low _up "
+    "_digit _known _classes _common _class_distance _word_distance _base_failed _kept"
+).split()
 _COMMON = sorted({w for shares in WORD_SHARES.values() for w in shares})
 
 
@@ -127,8 +131,10 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     ``_base_failed``: fewer than 50 words, or more than half of the words in repeated 3-word windows.
     ``_kept`` is false then; else it is false if a judged histogram lies farther from every language than its
-    limit. Null and empty texts fail the base rule. No row is dropped; repeated rows are judged each.
+    limit. Null and empty texts fail the base rule. No row is dropped; repeated rows are judged each. Columns
+    of ``docs`` that have the name of one of the operator's own are replaced.
     """
+    docs = without(docs, *_OWN)
     seen = histograms(base_statistics(docs, text_col), text_col)
     spot = {w: i for i, w in enumerate(_COMMON)}
     class_distance = F.least(*[distance(F.col("_classes"), shares) for shares in CLASS_SHARES.values()])
