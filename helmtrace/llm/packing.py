@@ -10,7 +10,10 @@ full sequences, and the last rest into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import gc
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,33 +32,79 @@ END_ID = 1
 WASTE = 1 / 32
 #: The last class takes all shorter pieces and closes a sequence when the next one does not fit.
 CLASSES = 64
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 Piece = tuple[int, int, bytes, int]  # document, start, ids (little-endian 32-bit), tokens of the document
 
 
+# Letters and digits up to U+00FF (lower case), in the pattern by which the tokenizer splits words.
+_LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
+#: Words of these code points need no normalisation but lower case, and hold no white space.
+_SIMPLE = re.compile(r"[\x00-\x84\x86-\x9f\xa1-\xff]*")
+
+
 class Words(dict):
-    """Word to its ids as bytes; words not yet known are encoded by the tokenizer, many at once."""
+    """Word to its ids as bytes. What is not known yet is encoded by the tokenizer, many at once.
+
+    New words of plain characters are split into the tokenizer's own parts first: the parts repeat far more often
+    than words do. All other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.tokenizer.encode_special_tokens = True
+        self.most, self.parts = most, {}
+        self.tokenizer, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = self.merger.encode_special_tokens = True
+        # The same vocabulary and merges for text that is lower case and split already.
+        self.merger.normalizer = None
+        self.merger.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text. The tokenizer drops white space and never looks across it, so words are encoded one by one."""
         split = [t.encode("utf-8", "replace").split() for t in texts]
-        new = list({w for words in split for w in words if w not in self})
+        new = {w for words in split for w in words if w not in self}
         if len(self) + len(new) > self.most:
             self.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return [b"".join([self[w] for w in words]) for words in split]
+            new = {w for words in split for w in words}
+        # Many small lists and no cycles: the cycle collector would only walk the cache over and over.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            self._learn(new)
+        finally:
+            if collecting:
+                gc.enable()
+        return [b"".join(map(self.__getitem__, words)) for words in split]
+
+    def _learn(self, words: set[bytes]) -> None:
+        whole, cut, parts = [], [], self.parts
+        for word in words:
+            text = word.decode()
+            if _SIMPLE.fullmatch(text):
+                cut.append((word, _PARTS.findall(text.lower())))
+            else:
+                whole.append(word)
+        new = {p for _, some in cut for p in some if p not in parts}
+        if len(parts) + len(new) > self.most:
+            parts.clear()
+            new = {p for _, some in cut for p in some}
+        for part, ids in self._ids(self.merger, list(new)):
+            parts[part] = ids
+        for word, some in cut:
+            self[word] = parts[some[0]] if len(some) == 1 else b"".join([parts[p] for p in some])
+        for text, ids in self._ids(self.tokenizer, [w.decode() for w in whole]):
+            self[text.encode()] = ids
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        for at in range(0, len(texts), 4096):
+            some = texts[at : at + 4096]
+            for text, found in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                ids = found.ids
+                yield text, struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
