@@ -15,9 +15,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from helmtrace.llm.common import without
@@ -31,7 +30,7 @@ BLANKS = [9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 # The letters of contractions that follow an apostrophe.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 CACHE_PIECES = 200_000
 _SCAN = 64
 
@@ -286,23 +285,8 @@ def token_ends(ids: bytes, path: str) -> np.ndarray:
     return np.cumsum(piece_lengths(path)[np.frombuffer(ids, dtype="<u4")])
 
 
-ENCODED = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("offsets", T.BinaryType())])
-
-
-def encode_column(text: Column, path: str) -> Column:
-    """A struct ``ids, offsets``: ids, and the byte offset of every token's start, as little-endian 32-bit.
-
-    Null texts are empty: no ids. ``path`` names the ranks file, which every executor must have.
-    """
-
-    @F.pandas_udf(ENCODED)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            ids = encode_texts([t or "" for t in texts], path)
-            starts = [_starts_of(i, path) for i in ids]
-            yield pd.DataFrame({"ids": ids, "offsets": starts}, index=texts.index)
-
-    return run(text)
+#: Rows that a task encodes or decodes at once; what it holds is these and the batch they came in.
+ROWS_AT_ONCE = 128
 
 
 def _starts_of(ids: bytes, path: str) -> bytes:
@@ -310,24 +294,40 @@ def _starts_of(ids: bytes, path: str) -> bytes:
     return np.concatenate(([0], ends))[:-1].astype("<u4").tobytes() if len(ends) else b""
 
 
-def decode_column(ids: Column, path: str) -> Column:
-    """The decoded bytes of a column of ids; null ids decode to nothing."""
+def _binary(name: str) -> T.StructField:
+    return T.StructField(name, T.BinaryType())
 
-    @F.pandas_udf(T.BinaryType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for many in batches:
-            yield pd.Series([decode_ids(i or b"", path) for i in many], index=many.index)
 
-    return run(ids)
+def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``_ids`` (ids) and ``_offsets`` (the byte offset of every token's start), little-endian 32-bit.
 
+    Null texts are empty: no ids. No row is dropped. Columns of ``docs`` with these names are replaced; the others
+    stay as they are. ``path`` names the ranks file, which every executor must have.
+    """
+    docs = without(docs, "_ids", "_offsets")
 
-def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_ids`` and ``_offsets`` (see ``encode_column``); other columns stay, but for those of these names."""
-    docs = without(docs, "_ids", "_offsets", "_coded")
-    coded = docs.withColumn("_coded", encode_column(F.col(f"`{text_col}`"), path))
-    return coded.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_coded.ids").alias("_ids"), F.col("_coded.offsets").alias("_offsets"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                ids = encode_texts([t or "" for t in part.column(text_col).to_pylist()], path)
+                starts = [_starts_of(i, path) for i in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(ids, pa.binary()), pa.array(starts, pa.binary())], [*part.schema.names, "_ids", "_offsets"]
+                )
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, _binary("_ids"), _binary("_offsets")]))
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "_ids") -> DataFrame:
-    """``coded`` with the decoded bytes in ``_decoded``."""
-    return coded.withColumn("_decoded", decode_column(F.col(ids_col), path))
+    """``coded`` with the decoded bytes of ``ids_col`` in ``_decoded``; null ids decode to nothing."""
+    coded = without(coded, "_decoded")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                found = [decode_ids(i or b"", path) for i in part.column(ids_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*part.schema.names, "_decoded"])
+
+    return coded.mapInArrow(run, T.StructType([*coded.schema.fields, _binary("_decoded")]))
