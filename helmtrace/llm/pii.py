@@ -302,6 +302,11 @@ def _mask(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
+def count_spans(spans: str, kind: str) -> Column:
+    """How many of a column of spans are of a kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def spans_text(spans: str) -> Column:
     """``kind:start:end`` of a column of spans, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -532,6 +532,18 @@ def test_cuts_and_closing_waste_little():
     assert list(packer.close()) == []
 
 
+def test_pii_query_against_the_patterns(spark):
+    from helmtrace.llm.queries import op7_pii
+
+    texts = texts_of(documents(spark))
+    for r in op7_pii(spark, SMALL).collect():
+        base = pii.base_spans(texts[r["doc_id"]])
+        told = [f"{k}:{a}:{b}" for a, b, k in base]
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[2] == k for s in base) for k in pii.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(",".join(told).encode()).hexdigest()
+        assert set(told) <= set(r["spans"].split(",")) | {""}
+
+
 def test_sha_of_queries_matches_texts(spark):
     from helmtrace.llm.queries import op2_byte_bpe
 
