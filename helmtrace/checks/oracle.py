@@ -147,7 +147,7 @@ def detector_parts(src: str, s: str = "") -> dict[str, str]:
         f"JOIN clean{s} c ON c.MMSI = a.MMSI AND c.file_date = a.file_date AND c.BaseDateTime = a.t0 WHERE {H('a.la', 'a.lo', 'b.la', 'b.lo')} < 0.5",
         f"names{s}": f"SELECT MMSI, file_date, VesselName, row_number() OVER ({PART} ORDER BY t) i FROM "
         f"(SELECT MMSI, file_date, VesselName, min(BaseDateTime) t FROM later{s} WHERE VesselName IS NOT NULL GROUP BY ALL)",
-        f"d_names{s}": f"SELECT f.*, f.file_date AS Day, g.n, g.l FROM fp{s} f JOIN (SELECT MMSI, file_date, count(*) n, string_agg(VesselName, ', ' ORDER BY i) FILTER (i <= 5) l FROM names{s} GROUP BY ALL) g "
+        f"d_names{s}": f"SELECT f.*, f.file_date AS Day, g.n, g.l FROM fp{s} f JOIN (SELECT MMSI, file_date, count(*) n, string_agg(VesselName, ', ' ORDER BY i) l FROM names{s} GROUP BY ALL) g "
         f"ON g.MMSI = f.MMSI AND g.file_date = f.file_date WHERE n > 1",
         f"inzone{s}": f"SELECT *, 'Box' AS ZoneName FROM {{base}} WHERE {IN_BOX} UNION ALL SELECT *, 'Ring' FROM {{base}} WHERE {IN_CIRCLE} "
         f"UNION ALL SELECT *, 'Wedge' FROM {{base}} WHERE {IN_RING(WEDGE)} UNION ALL SELECT *, 'Cable' FROM {{base}} WHERE {LINE_M(CABLE)} <= 150".format(base=f"later{s}"),
@@ -160,33 +160,63 @@ _ANOM_COLUMNS = "MMSI, VesselName, VesselType, LAT, LON, SOG, COG, Heading, Base
 
 def _anom(kind: str, rank: int, src: str, **extra: str) -> str:
     cols = {"RendezvousMMSI2": "CAST(NULL AS BIGINT)", "ZoneName": "CAST(NULL AS VARCHAR)", "gap": "CAST(NULL AS DOUBLE)",
-            "knots": "CAST(NULL AS DOUBLE)", "turn": "CAST(NULL AS DOUBLE)", "NameCount": "CAST(NULL AS BIGINT)"} | extra
+            "knots": "CAST(NULL AS DOUBLE)", "turn": "CAST(NULL AS DOUBLE)", "NameCount": "CAST(NULL AS BIGINT)", "radius": "CAST(NULL AS DOUBLE)",
+            "spell": "CAST(NULL AS DOUBLE)", "records": "CAST(NULL AS BIGINT)", "apart": "CAST(NULL AS DOUBLE)", "south": "CAST(NULL AS DOUBLE)", "east": "CAST(NULL AS DOUBLE)"} | extra
     return f"SELECT {_ANOM_COLUMNS}, '{kind}' AS AnomalyType, {rank} AS kr, {', '.join(f'{v} AS {k}' for k, v in cols.items())} FROM {src}"
 
 
+def _zone_rows() -> str:
+    cos = "cos(radians(24.5))"
+    lat = [p[0] for p in WEDGE]
+    lon = [p[1] for p in WEDGE]
+    return (
+        "(VALUES ('Box', 24.0, 24.3, -83.1, -82.6), "
+        f"('Ring', 24.5 - 900.0 / 111000.0, 24.5 + 900.0 / 111000.0, -82.5 - 900.0 / (111000.0 * {cos}), -82.5 + 900.0 / (111000.0 * {cos})), "
+        f"('Wedge', {min(lat)}, {max(lat)}, {min(lon)}, {max(lon)}), ('Cable', 24.99, 25.02, -82.01, -81.98)) z(zn, a, b, c, d)"
+    )
+
+
+def _CUT(line: str) -> str:
+    """One round of corner cutting of a list; lists of one value stay."""
+    return (
+        f"CASE WHEN len({line}) < 2 THEN {line} ELSE list_concat(flatten(list_transform(range(1, len({line})), "
+        f"lambda k: [{line}[k] * 0.75 + {line}[k + 1] * 0.25, {line}[k] * 0.25 + {line}[k + 1] * 0.75])), [{line}[-1]]) END"
+    )
+
+
+def _all_anoms(s: str = "") -> str:
+    return " UNION ALL ".join(
+        [
+            _anom("AIS_Beacon_On", 1, f"d_on{s}", gap="gap"),
+            _anom("AIS_Beacon_Off", 2, f"d_off{s}", gap="gap"),
+            _anom("Speed", 3, f"d_speed{s}", knots="nm / (mins / 60)"),
+            _anom("Course", 4, f"d_course{s}", turn="turn"),
+            _anom("Loitering", 5, f"d_loiter{s}", radius="far", spell="span", records="n"),
+            _anom("Rendezvous", 6, f"d_meet{s}", RendezvousMMSI2="other", apart="nm"),
+            _anom("Identity_Spoofing", 7, f"d_names{s}", NameCount="n"),
+            f"SELECT z.* REPLACE (b.b_south AS south, b.b_east AS east) FROM ({_anom('Zone_Violation', 8, f'd_zone{s}', ZoneName='ZoneName')}) z "
+            f"JOIN (SELECT zn, a AS b_south, d AS b_east FROM {_zone_rows()}) b ON b.zn = z.ZoneName",
+        ]
+    )
+
+
 PARTS: dict[str, str] = {
     "pings": PINGS_SQL.format(v="user_id"),
     "dense": PINGS_SQL.format(v="user_id % 10"),
     "raw": RAW_SQL,
     **detector_parts("pings"),
     **detector_parts("dense", "_n"),
-    "anom": " UNION ALL ".join(
-        [
-            _anom("AIS_Beacon_On", 1, "d_on", gap="gap"),
-            _anom("AIS_Beacon_Off", 2, "d_off", gap="gap"),
-            _anom("Speed", 3, "d_speed", knots="nm / (mins / 60)"),
-            _anom("Course", 4, "d_course", turn="turn"),
-            _anom("Loitering", 5, "d_loiter"),
-            _anom("Rendezvous", 6, "d_meet", RendezvousMMSI2="other"),
-            _anom("Identity_Spoofing", 7, "d_names", NameCount="n"),
-            _anom("Zone_Violation", 8, "d_zone", ZoneName="ZoneName"),
-        ]
-    ),
+    "odd": "SELECT * REPLACE (CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN 0 WHEN event_id % 23 = 0 THEN 100 ELSE VesselType END AS VesselType) FROM pings",
+    **detector_parts("odd", "_t"),
+    "clean_t": "SELECT * FROM odd WHERE LAT BETWEEN -90 AND 90 AND LON BETWEEN -180 AND 180 AND SOG <= 102 AND (VesselType BETWEEN 20 AND 24 OR VesselType BETWEEN 30 AND 64 "
+    "OR VesselType BETWEEN 69 AND 74 OR VesselType BETWEEN 79 AND 84 OR VesselType BETWEEN 89 AND 94)",
+    "anom": _all_anoms(),
+    "anom_t": _all_anoms("_t"),
     "minfo": "SELECT v.MMSI, n.VesselName AS InfoName, t.VesselType AS InfoType FROM (SELECT DISTINCT MMSI FROM pings) v "
     "LEFT JOIN (SELECT MMSI, VesselName FROM (SELECT MMSI, VesselName, row_number() OVER (PARTITION BY MMSI ORDER BY count(*) DESC, VesselName) r FROM pings WHERE VesselName IS NOT NULL GROUP BY MMSI, VesselName) WHERE r = 1) n USING (MMSI) "
     "LEFT JOIN (SELECT MMSI, VesselType FROM (SELECT MMSI, VesselType, row_number() OVER (PARTITION BY MMSI ORDER BY count(*) DESC, VesselType) r FROM pings WHERE VesselType IS NOT NULL GROUP BY MMSI, VesselType) WHERE r = 1) t USING (MMSI)",
     "shifted": "SELECT MMSI, AnomalyType, VesselName, VesselType, LAT, LON, COG, Heading, CASE WHEN MMSI % 2 = 0 THEN SOG END AS SOG, "
-    "BaseDateTime + to_microseconds((MMSI % 7) * 3600000000 - 9000000000) AS BaseDateTime, row_number() OVER () AS id FROM anom WHERE AnomalyType IN ('Course', 'AIS_Beacon_Off')",
+    "BaseDateTime + to_microseconds((MMSI % 7) * 3600000000 - 9000000000) AS BaseDateTime, row_number() OVER () AS id FROM anom",
     "matched": "SELECT * EXCLUDE rn FROM (SELECT a.*, p.BaseDateTime AS mt, p.LAT AS mlat, p.SOG AS msog, p.COG AS mcog, p.Heading AS mhead, "
     "row_number() OVER (PARTITION BY a.id ORDER BY abs(epoch_us(p.BaseDateTime) - epoch_us(a.BaseDateTime)), p.BaseDateTime) rn "
     "FROM shifted a JOIN pings p ON p.MMSI = a.MMSI) WHERE rn = 1",
@@ -210,15 +240,17 @@ PARTS |= _track_parts("pings") | _track_parts("dense", "_n")
 PARTS |= {
     "starts": f"SELECT MMSI, segment_id, min(BaseDateTime) AS t0, max(BaseDateTime) AS t1, {HRS('min(BaseDateTime)', 'max(BaseDateTime)')} AS span FROM traj GROUP BY ALL",
     "traj": "SELECT * FROM tracks_n WHERE SOG IS NULL OR SOG <= 100",
-    "plan": "SELECT *, CASE WHEN span < 24 THEN 1 ELSE least(100, CAST(floor((span - 24) / slide) AS BIGINT) + 1) END AS wins FROM "
-    "(SELECT *, CASE WHEN span >= 24 AND floor((span - 24) / 6) + 1 > 100 THEN greatest(6, CAST(floor(span / 100) AS BIGINT)) ELSE 6 END AS slide FROM starts)",
+    "plan": "SELECT *, 6 AS slide, CASE WHEN span < 24 THEN 1 ELSE CAST(floor((span - 24) / 6) AS BIGINT) + 1 END AS wins FROM starts",
     "wins": "SELECT MMSI, segment_id, t0, t1, span, slide, unnest(range(wins)) AS window_no FROM plan",
     "wpoints": "SELECT w.window_no, t.* FROM wins w JOIN traj t ON t.MMSI = w.MMSI AND t.segment_id = w.segment_id "
     "WHERE w.span < 24 OR (epoch_us(t.BaseDateTime) - epoch_us(w.t0) >= w.window_no * w.slide * 3600000000 AND epoch_us(t.BaseDateTime) - epoch_us(w.t0) < (w.window_no * w.slide + 24) * 3600000000)",
-    "ends": "SELECT MMSI, segment_id, window_no, count(*) AS length, max(BaseDateTime) AS last_known_time FROM wpoints GROUP BY ALL HAVING count(*) BETWEEN 2 AND 500",
+    "ends": "SELECT MMSI, segment_id, window_no, count(*) AS length, max(BaseDateTime) AS last_known_time FROM wpoints GROUP BY ALL HAVING count(*) >= 2",
     "seqs": "SELECT * EXCLUDE rn FROM (SELECT e.*, t.BaseDateTime AS prediction_time, t.LAT AS target_lat, t.LON AS target_lon, t.SOG AS target_sog, t.COG AS target_cog, "
     "row_number() OVER (PARTITION BY e.MMSI, e.segment_id, e.window_no ORDER BY abs(epoch_us(t.BaseDateTime) - epoch_us(e.last_known_time) - 172800000000), t.BaseDateTime) AS rn "
     "FROM ends e JOIN traj t ON t.MMSI = e.MMSI AND t.segment_id = e.segment_id AND t.BaseDateTime > e.last_known_time) WHERE rn = 1",
+    "spoints": "SELECT w.*, row_number() OVER (PARTITION BY w.MMSI, w.segment_id, w.window_no ORDER BY w.BaseDateTime, w.LAT, w.LON) - 1 AS i "
+    "FROM wpoints w JOIN seqs s ON s.MMSI = w.MMSI AND s.segment_id = w.segment_id AND s.window_no = w.window_no",
+    "sized": "SELECT *, max(length) OVER (PARTITION BY bin, batch) AS padded_length FROM batches",
     "batched": "SELECT *, CASE WHEN length <= 8 THEN 0 WHEN length <= 20 THEN 1 WHEN length <= 50 THEN 2 WHEN length <= 100 THEN 3 WHEN length <= 200 THEN 4 ELSE 5 END AS bin FROM seqs",
     "batches": "SELECT *, (row_number() OVER (PARTITION BY bin ORDER BY MMSI, segment_id, window_no) - 1) // 32 AS batch FROM batched",
     "scored": "SELECT s.*, t.LAT + 0.01 AS lat, t.LON - 0.01 AS lon, 0.02 + s.length * 0.005 AS std_lat, 0.03 AS std_lon, t.SOG + 25 AS speed, t.COG AS course, t.COG + 40 AS last_course "
@@ -228,6 +260,11 @@ PARTS |= {
 }
 PARTS |= _track_parts("recent", "_r")
 PARTS |= {
+    "context": "SELECT MMSI, list(LAT ORDER BY BaseDateTime, LAT DESC, LON DESC) AS lats, list(LON ORDER BY BaseDateTime, LAT DESC, LON DESC) AS lons "
+    "FROM (SELECT *, max(segment_id) OVER (PARTITION BY MMSI) AS newest FROM tracks_r) WHERE segment_id = newest GROUP BY MMSI",
+    "drifted": "WITH RECURSIVE w AS (SELECT MMSI, 0 AS step, lats, lons FROM context UNION ALL SELECT MMSI, step + 1, "
+    "list_append(lats, lats[-1] + (lats[-1] - lats[1]) / greatest(1, len(lats) - 1))[-24:], list_append(lons, lons[-1] + (lons[-1] - lons[1]) / greatest(1, len(lons) - 1))[-24:] "
+    "FROM w WHERE step < 8) SELECT * FROM w",
     "known": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY MMSI ORDER BY segment_id DESC, BaseDateTime DESC) AS rn FROM tracks_r) WHERE rn = 1",
     "guess": "WITH RECURSIVE g AS (SELECT MMSI, 0 AS step, LAT AS lat, LON AS lon, coalesce(SOG, 0) AS speed, coalesce(COG, Heading, 0) AS course FROM known "
     "UNION ALL SELECT MMSI, step + 1, lat + speed * 6 / 60 * cos(radians(course)), lon + speed * 6 / (60 * cos(radians(lat))) * sin(radians(course)), speed, course FROM g WHERE step < 8) "
@@ -302,17 +339,6 @@ _SEQ = f"MMSI, segment_id, window_no, length, {TS('last_known_time')}, {TS('pred
 _T = f"MMSI, segment_id, {TS('BaseDateTime')}, {R('LAT')}, {R('LON')}"
 
 
-def _zone_rows() -> str:
-    cos = "cos(radians(24.5))"
-    lat = [p[0] for p in WEDGE]
-    lon = [p[1] for p in WEDGE]
-    return (
-        "(VALUES ('Box', 24.0, 24.3, -83.1, -82.6), "
-        f"('Ring', 24.5 - 900.0 / 111000.0, 24.5 + 900.0 / 111000.0, -82.5 - 900.0 / (111000.0 * {cos}), -82.5 + 900.0 / (111000.0 * {cos})), "
-        f"('Wedge', {min(lat)}, {max(lat)}, {min(lon)}, {max(lon)}), ('Cable', 24.99, 25.02, -82.01, -81.98)) z(zn, a, b, c, d)"
-    )
-
-
 def _losses() -> str:
     def nll(side: str) -> str:
         return f"(0.5 * ln(2 * pi() * std_{side} * std_{side}) + 0.5 * pow(target_{side} - {side}, 2) / (std_{side} * std_{side}))"
@@ -417,11 +443,13 @@ BODIES: dict[str, str] = {
     "rendezvous": f"SELECT {P()}, {STAMP('Rendezvous', False, True, False, 'Day')}, h AS TimeWindow, other AS RendezvousMMSI2, {R('nm', 'RendezvousDistanceNM')}, {R('la', 'RendezvousLat')}, {R('lo', 'RendezvousLon')} FROM d_meet_n",
     "identity_spoofing": f"SELECT {P()}, {STAMP('Identity_Spoofing', False, False, False, 'Day')}, 'multiple_vessel_names' AS SpoofingIssue, n AS NameCount, l AS VesselNames FROM d_names",
     "zone_violations": f"SELECT {P()}, {STAMP('Zone_Violation', False, True, False, 'Day')}, ZoneName, {R('a', 'ZoneLatMin')}, {R('b', 'ZoneLatMax')}, {R('c', 'ZoneLonMin')}, {R('d', 'ZoneLonMax')} FROM d_zone JOIN {_zone_rows()} ON zn = ZoneName",
-    "union_anomalies": f"SELECT {A_OUT}, {R('gap', 'BeaconGapMinutes')}, {R('knots', 'ImpliedSpeed')}, {R('turn', 'CourseHeadingDiff')}, coalesce(NameCount, -1) AS NameCount FROM anom",
+    "union_anomalies": f"SELECT {A_OUT}, {R('gap', 'BeaconGapMinutes')}, {R('knots', 'ImpliedSpeed')}, {R('turn', 'CourseHeadingDiff')}, coalesce(NameCount, -1) AS NameCount, {R('radius', 'LoiteringRadiusNM')}, {R('spell', 'LoiteringDurationHours')}, coalesce(records, -1) AS LoiteringRecordCount, "
+    f"{R('apart', 'RendezvousDistanceNM')}, {R('south', 'ZoneLatMin')}, {R('east', 'ZoneLonMax')} FROM anom",
     "detect_anomalies": f"SELECT {A_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY MMSI ORDER BY Day, kr, BaseDateTime, LAT, LON, RendezvousMMSI2, ZoneName) rn FROM anom "
     "WHERE LAT BETWEEN 24.2 AND 32.6 AND (hour(BaseDateTime) >= 22 OR hour(BaseDateTime) < 18)) WHERE rn <= 3",
+    "detect_anomalies_default_types": f"SELECT {A_OUT} FROM anom_t",
     # sources
-    "scan_days": f"SELECT {P()}, {DT('file_date')} FROM pings WHERE file_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'",
+    "scan_days": f"SELECT {P()}, {DT('file_date')}, {R('CAST(CASE WHEN MMSI % 2 = 1 THEN MMSI % 100 END AS DOUBLE)', 'Length')} FROM pings WHERE file_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'",
     "read_pings": f"SELECT MMSI, VesselName, CASE WHEN VesselType <> 52 THEN VesselType ELSE -1 END AS VesselType, {R('LAT')}, {R('LON')}, {R('CASE WHEN SOG <> 150 THEN SOG END', 'SOG')}, {R('COG')}, "
     f"{R('CASE WHEN Heading <> 90 THEN Heading END', 'Heading')}, {TS('CASE WHEN MMSI % 7 <> 0 THEN BaseDateTime END', 'BaseDateTime')}, {DT('file_date')} FROM raw",
     "ingest_daily_csv": f"SELECT {P()}, {DT('file_date')} FROM pings",
@@ -429,15 +457,16 @@ BODIES: dict[str, str] = {
     "read_history": f"SELECT {P()}, {DT('file_date')} FROM pings WHERE file_date >= DATE '2024-01-10'",
     "load_cached_range": f"SELECT {P()} FROM pings WHERE BaseDateTime >= TIMESTAMP '2024-01-03' AND BaseDateTime < TIMESTAMP '2024-01-13' AND VesselType IN (30, 52, 70)",
     "load_full_range": f"SELECT {P()} FROM pings WHERE BaseDateTime >= TIMESTAMP '2024-01-02' AND BaseDateTime < TIMESTAMP '2024-01-10'",
-    "write_day_cache": f"SELECT {DT('file_date')}, count(*) AS count FROM raw WHERE LAT BETWEEN -90 AND 90 AND LON BETWEEN -180 AND 180 AND SOG <= 102 GROUP BY file_date",
-    "history_cache": f"SELECT {DT('file_date')}, count(*) AS count FROM raw WHERE BaseDateTime IS NOT NULL AND LAT BETWEEN -90 AND 90 AND NOT (LAT = 0 AND LON = 0) AND (SOG IS NULL OR SOG <= 100) AND COG <= 360 AND file_date > DATE '2024-01-10' GROUP BY file_date",
-    "cache_inventory": "SELECT count(DISTINCT file_date) AS files FROM pings",
+    "write_day_cache": f"SELECT {P()}, {DT('file_date')} FROM raw WHERE LAT BETWEEN -90 AND 90 AND LON BETWEEN -180 AND 180 AND SOG <= 102",
+    "history_cache": f"SELECT {P().replace('coalesce(VesselType, -1)', 'coalesce(VesselType, 0)')}, {DT('file_date')}, {R('coalesce(Length, 0)', 'Length')} FROM raw WHERE BaseDateTime IS NOT NULL AND LAT BETWEEN -90 AND 90 AND NOT (LAT = 0 AND LON = 0) AND (SOG IS NULL OR SOG <= 100) AND COG <= 360 AND file_date > DATE '2024-01-10'",
+    "cache_inventory": "SELECT count(DISTINCT file_date) AS files, true AS megabytes_right FROM pings",
+    "append_consolidated": f"SELECT {P()} FROM (SELECT * FROM pings WHERE event_id % 3 = 0 UNION ALL SELECT * REPLACE (SOG + 1 AS SOG) FROM pings WHERE event_id % 2 = 0 AND event_id % 3 <> 0)",
     "consolidate": f"SELECT {P()} FROM (SELECT * FROM pings WHERE event_id % 3 = 0 UNION ALL SELECT * REPLACE (SOG + 1 AS SOG) FROM pings WHERE event_id % 2 = 0 AND event_id % 3 <> 0)",
-    "write_anomalies": "SELECT AnomalyType, count(*) AS count FROM anom GROUP BY AnomalyType",
+    "write_anomalies": f"SELECT {A_OUT} FROM anom",
     "load_anomalies": f"SELECT {A_OUT} FROM anom",
-    "export_dataset": "SELECT MMSI, count(*) AS count FROM pings GROUP BY MMSI",
-    "write_statistics": f"SELECT {DT('Day', 'day')}, count(*) AS count FROM anom GROUP BY Day",
-    "save_sequences": "SELECT MMSI, count(*) AS count FROM seqs GROUP BY MMSI",
+    "export_dataset": f"SELECT {P()}, {DT('file_date')} FROM pings",
+    "write_statistics": f"SELECT {DT('Day', 'day')}, a.MMSI, a.AnomalyType, {R('a.LAT', 'LAT')}, {R('a.LON', 'LON')}, {R('a.SOG', 'SOG')}, c.n AS Count FROM anom a JOIN (SELECT AnomalyType, count(*) AS n FROM anom GROUP BY AnomalyType) c ON c.AnomalyType = a.AnomalyType",
+    "save_sequences": f"SELECT {_SEQ} FROM seqs",
     # filters
     "clean_positions": f"SELECT {P()} FROM raw WHERE LAT BETWEEN -90 AND 90 AND LON BETWEEN -180 AND 180 AND SOG <= 102",
     "filter_vessel_types": f"SELECT {P()}, VesselType // 10 * 10 AS MainVesselType FROM raw WHERE VesselType // 10 * 10 IN (70, 80)",
@@ -516,12 +545,14 @@ BODIES: dict[str, str] = {
     "chart_box": f"SELECT VesselType, {R('min(SOG)', 'Min')}, {_quant(0.25, 'SOG', 'Q1')}, {_quant(0.5, 'SOG', 'Median')}, {_quant(0.75, 'SOG', 'Q3')}, {R('max(SOG)', 'Max')} FROM pings GROUP BY VesselType",
     "cluster_features": f"SELECT p.MMSI, {R('avg(SOG)', 'avg_speed')}, {R('max(SOG)', 'max_speed')}, count(*) AS total_records, {R('max(LAT) - min(LAT)', 'lat_range')}, {R('max(LON) - min(LON)', 'lon_range')}, max(InfoType) AS vessel_type "
     "FROM pings p JOIN minfo m ON m.MMSI = p.MMSI GROUP BY p.MMSI",
+    "cluster_vessels": f"SELECT p.MMSI, {R('avg(SOG)', 'avg_speed')}, {R('max(SOG)', 'max_speed')}, count(*) AS total_records, {R('max(LAT) - min(LAT)', 'lat_range')}, {R('max(LON) - min(LON)', 'lon_range')}, max(InfoType) AS vessel_type, "
+    "true AS few_clusters, true AS complete, true AS nearest FROM pings p JOIN minfo m ON m.MMSI = p.MMSI GROUP BY p.MMSI",
     "category_summary": f"SELECT Category, Records, Vessels, {R('Records * 100.0 / r', 'RecordsPct')}, {R('Vessels * 100.0 / v', 'VesselsPct')} FROM (SELECT {CATEGORY('VesselType')} AS Category, count(*) AS Records, "
     f"count(DISTINCT MMSI) FILTER ({CATEGORY('VesselType')} <> 'Unknown') AS Vessels FROM hist GROUP BY 1), (SELECT count(*) r, count(DISTINCT MMSI) v FROM hist)",
     "data_summary": f"SELECT count(*) AS total_records, count(DISTINCT MMSI) AS unique_vessels, {TS('min(BaseDateTime)', 'start')}, {TS('max(BaseDateTime)', 'end')}, "
     + ", ".join(f"count(*) FILTER ({c} IS NULL) AS missing_{c}" for c in ("MMSI", "VesselName", "VesselType", "LAT", "LON", "SOG", "COG", "Heading", "BaseDateTime"))
     + ", bool_or(SOG IS NOT NULL) AS has_sog, bool_or(COG IS NOT NULL) AS has_cog, bool_or(Heading IS NOT NULL) AS has_heading, bool_or(VesselType <> 0) AS has_vessel_type FROM hist",
-    "first_type_codes": "SELECT VesselType, count(*) AS Records, count(DISTINCT MMSI) AS Vessels FROM pings GROUP BY VesselType ORDER BY VesselType LIMIT 5",
+    "first_type_codes": "SELECT VesselType, count(*) AS Records, count(DISTINCT MMSI) AS Vessels FROM pings GROUP BY VesselType ORDER BY VesselType LIMIT 10",
     "movement_patterns": f"SELECT {CATEGORY('VesselType')} AS Category, {R('avg(SOG)', 'speed_mean')}, {R('stddev_samp(SOG)', 'speed_std')}, {R('max(SOG)', 'speed_max')}, {_quant(0.5, 'SOG', 'speed_median')}, "
     f"{R('sqrt(pow(avg(sin(radians(COG))), 2) + pow(avg(cos(radians(COG))), 2))', 'course_consistency')}, {R('stddev_samp(LAT)', 'geographic_spread_lat')}, {R('stddev_samp(LON)', 'geographic_spread_lon')}, "
     f"{R('count(*) * 1.0 / count(DISTINCT MMSI)', 'records_per_vessel')} FROM pings GROUP BY 1 HAVING {CATEGORY('min(VesselType)')} <> 'Unknown'",
@@ -546,7 +577,7 @@ BODIES: dict[str, str] = {
     "top10_vessels": "SELECT MMSI, count(*) AS Count FROM anom GROUP BY MMSI ORDER BY 2 DESC, 1 LIMIT 10",
     "top10_per_type": "SELECT * FROM (SELECT AnomalyType, MMSI, count(*) AS Count, row_number() OVER (PARTITION BY AnomalyType ORDER BY count(*) DESC, MMSI) AS Rank FROM anom GROUP BY AnomalyType, MMSI) WHERE Rank <= 10",
     "top10_vessel_types": "SELECT VesselType, count(*) AS Count FROM pings GROUP BY VesselType ORDER BY 2 DESC, 1 LIMIT 10",
-    "dedup_pings": f"SELECT {P()} FROM (SELECT *, row_number() OVER (PARTITION BY MMSI, BaseDateTime ORDER BY LAT NULLS FIRST, LON NULLS FIRST) rn FROM raw WHERE BaseDateTime IS NOT NULL) WHERE rn = 1",
+    "dedup_pings": f"SELECT {P()} FROM (SELECT *, row_number() OVER (PARTITION BY MMSI, BaseDateTime ORDER BY LAT NULLS FIRST, LON NULLS FIRST, VesselName NULLS FIRST, VesselType NULLS FIRST, SOG NULLS FIRST, COG NULLS FIRST, Heading NULLS FIRST) rn FROM raw) WHERE rn = 1",
     "union_days": f"SELECT {P().replace('round(Heading ', '''round(CASE WHEN file_date >= DATE '2024-01-10' THEN Heading END ''')} FROM pings",
     # tracks
     "segment_tracks": f"SELECT {_T} FROM tracks",
@@ -572,30 +603,35 @@ BODIES: dict[str, str] = {
     # sequences
     "window_starts": f"SELECT MMSI, segment_id, {R('span', 'span_hours')}, slide AS slide_hours, wins AS windows FROM plan",
     "window_points": f"SELECT {_T}, window_no FROM wpoints",
-    "training_sequences": f"SELECT s.*, w.lat_sum, w.points FROM (SELECT {_SEQ} FROM seqs) s JOIN (SELECT MMSI, segment_id, window_no, {R('sum(LAT)', 'lat_sum')}, count(*) AS points FROM wpoints GROUP BY MMSI, segment_id, window_no) w "
+    "training_sequences": f"SELECT s.*, w.lat_sum, w.points, w.points - 1 AS last_position FROM (SELECT {_SEQ} FROM seqs) s JOIN (SELECT MMSI, segment_id, window_no, {R('sum(LAT)', 'lat_sum')}, count(*) AS points FROM wpoints GROUP BY MMSI, segment_id, window_no) w "
     "ON w.MMSI = s.MMSI AND w.segment_id = s.segment_id AND w.window_no = s.window_no",
     "sequence_target": f"SELECT MMSI, segment_id, {DT('day')}, {TS('last_known_time')}, {R('tla', 'target_lat')}, {R('tlo', 'target_lon')}, {R('ts', 'target_sog')}, {R('tc', 'target_cog')}, {TS('tt', 'prediction_time')} FROM "
     "(SELECT e.*, t.LAT tla, t.LON tlo, t.SOG ts, t.COG tc, t.BaseDateTime tt, row_number() OVER (PARTITION BY e.MMSI, e.segment_id, e.day ORDER BY abs(epoch_us(t.BaseDateTime) - epoch_us(e.last_known_time) - 18000000000), t.BaseDateTime) rn "
     "FROM (SELECT MMSI, segment_id, file_date AS day, max(BaseDateTime) AS last_known_time FROM tracks GROUP BY ALL) e JOIN tracks t ON t.MMSI = e.MMSI AND t.segment_id = e.segment_id AND t.BaseDateTime > e.last_known_time) WHERE rn = 1",
-    "sequence_matrix": f"SELECT w.MMSI, w.segment_id, w.window_no, row_number() OVER (PARTITION BY w.MMSI, w.segment_id, w.window_no ORDER BY w.BaseDateTime) - 1 AS i, {R('w.LAT', 'lat')}, {R('w.SOG', 'sog')}, {R('w.Heading', 'heading')} "
-    "FROM wpoints w JOIN seqs s ON s.MMSI = w.MMSI AND s.segment_id = w.segment_id AND s.window_no = w.window_no",
+    "sequence_matrix": f"SELECT MMSI, segment_id, window_no, i, {R('LAT', 'lat')}, {R('SOG', 'sog')}, {R('COG', 'cog')}, {R('LON', 'lon')}, {R('Heading', 'heading')}, 'lat,lon,sog,cog,heading' AS columns FROM spoints",
     "typed_vessel_semijoin": f"SELECT {_SEQ} FROM seqs WHERE MMSI IN (SELECT MMSI FROM dense WHERE MMSI % 3 <> 0 AND VesselType BETWEEN 20 AND 99)",
     "sequences_by_category": f"SELECT {CATEGORY('t')} AS Category, count(*) AS Sequences FROM seqs s JOIN (SELECT MMSI, arg_min(VesselType, BaseDateTime) AS t FROM dense GROUP BY MMSI) v ON v.MMSI = s.MMSI GROUP BY 1",
     "length_batches": "SELECT MMSI, segment_id, window_no, length, bin, batch FROM batches",
-    "length_batches_shuffled": "SELECT bin, batch, count(*) AS count FROM batches GROUP BY bin, batch",
-    "pad_sequence": "SELECT MMSI, segment_id, window_no, max(length) OVER (PARTITION BY bin, batch) AS padded_length, max(length) OVER (PARTITION BY bin, batch) - length AS zero_rows FROM batches",
-    "split_sequences": "SELECT split, count(*) AS count FROM (SELECT CASE WHEN i <= floor(n * 0.7) THEN 'train' WHEN i <= floor(n * 0.7) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS split FROM (SELECT row_number() OVER () AS i, count(*) OVER () AS n FROM seqs)) GROUP BY split",
+    "length_batches_shuffled": "SELECT MMSI, segment_id, window_no, length, bin, true AS fits FROM batched",
+    "pad_sequence": f"SELECT MMSI, segment_id, window_no, position, padded_length, {', '.join(R(c) for c in ('lat', 'lon', 'sog', 'cog', 'heading'))} FROM ("
+    "SELECT s.MMSI, s.segment_id, s.window_no, s.i AS position, b.padded_length, s.LAT AS lat, s.LON AS lon, s.SOG AS sog, s.COG AS cog, s.Heading AS heading FROM spoints s JOIN sized b "
+    "ON b.MMSI = s.MMSI AND b.segment_id = s.segment_id AND b.window_no = s.window_no UNION ALL "
+    "SELECT MMSI, segment_id, window_no, unnest(range(length, padded_length)), padded_length, 0, 0, 0, 0, 0 FROM sized)",
+    "split_sequences": "SELECT split, count(*) AS count, count(*) AS stable, count(*) AS members FROM (SELECT CASE WHEN i <= floor(n * 0.7) THEN 'train' WHEN i <= floor(n * 0.7) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS split FROM (SELECT row_number() OVER () AS i, count(*) OVER () AS n FROM seqs)) GROUP BY split",
     "sequence_length_stats": f"SELECT count(*) AS sequences, min(length) AS min_length, max(length) AS max_length, {R('avg(length)', 'mean_length')}, {R('stddev_pop(length)', 'std_length')}, count(*) FILTER (length < 2) AS below_2, count(*) FILTER (length BETWEEN 2 AND 4) AS from_2_to_4, "
     f"count(*) FILTER (length BETWEEN 5 AND 8) AS from_5_to_8, count(*) FILTER (length BETWEEN 9 AND 50) AS from_9_to_50, count(*) FILTER (length > 50) AS above_50, {_quant(0.5, 'length', 'median_length')} FROM seqs",
-    "sequence_checks": "SELECT * FROM (SELECT unnest(['long_sequences', 'short_sequences', 'unexpected_long_sequences']) AS issue, unnest([a, b, c]) AS count, m AS max_length FROM "
-    "(SELECT count(*) FILTER (n > 100) a, count(*) FILTER (n < 2) b, count(*) FILTER (n > 8) c, max(n) m FROM (SELECT CASE WHEN MMSI % 10 = 0 THEN length + 7 ELSE length END AS n FROM seqs))) WHERE count > 0",
+    "sequence_checks": "SELECT * FROM (SELECT unnest(['inconsistent_feature_dims', 'long_sequences', 'short_sequences', 'unexpected_long_sequences', 'inconsistent_target_shapes']) AS issue, "
+    "unnest([CASE WHEN w THEN 2 ELSE 0 END, a, b, c, CASE WHEN t THEN 2 ELSE 0 END]) AS count, m AS max_length FROM (SELECT count(*) FILTER (n > 100) a, count(*) FILTER (n < 2) b, count(*) FILTER (n > 8) c, max(n) m, "
+    "bool_or(k = 3) AS w, bool_or(k = 2) AND bool_or(k <> 2) AS t FROM "
+    "(SELECT MMSI % 10 AS k, CASE WHEN MMSI % 10 = 0 THEN length + 107 WHEN MMSI % 10 = 1 THEN 1 ELSE length END AS n FROM seqs))) WHERE count > 0",
     "sequence_quality": f"SELECT count(*) AS sequences, {R('avg(length)', 'mean_points')}, min(length) AS min_points, max(length) AS max_points, {R('avg(h)', 'mean_horizon')}, {R('min(h)', 'min_horizon')}, {R('max(h)', 'max_horizon')}, "
     f"{R('avg(CASE WHEN target_sog IS NOT NULL THEN 100.0 ELSE 0 END)', 'pct_sog')}, {R('avg(CASE WHEN target_cog IS NOT NULL THEN 100.0 ELSE 0 END)', 'pct_cog')}, avg(length) < 3 AS low_points, avg(h) < 24 AS low_horizon, "
     f"avg(CASE WHEN target_sog IS NOT NULL THEN 100.0 ELSE 0 END) < 50 AS low_sog FROM (SELECT *, {HRS('last_known_time', 'prediction_time')} AS h FROM seqs)",
     # prediction
     "predict_tracks": f"SELECT MMSI, step, {', '.join(R(c) for c in ('lat', 'lon', 'std_lat', 'std_lon', 'speed', 'course'))} FROM guess",
     "prediction_intervals": f"SELECT MMSI, step, {', '.join(R(c) for c in ('lat', 'lon', 'std_lat', 'std_lon', 'speed', 'course'))}, {R('lat - 1.645 * std_lat', 'lower_lat')}, {R('lat + 1.645 * std_lat', 'upper_lat')}, {R('lon - 1.645 * std_lon', 'lower_lon')}, {R('lon + 1.645 * std_lon', 'upper_lon')} FROM guess",
-    "sample_positions": "SELECT MMSI, step, unnest(range(1, 6)) AS sample FROM guess",
+    "sample_positions": "SELECT MMSI, step, 100 AS samples, true AS centred, true AS spread FROM guess",
+    "predict_tracks_custom": f"SELECT MMSI, step, {R('lats[-1]', 'lat')}, {R('lons[-1]', 'lon')}, {R('0.1', 'std_lat')}, {R('0.1', 'std_lon')}, {R('8.0', 'speed')}, {R('CAST(NULL AS DOUBLE)', 'course')} FROM drifted WHERE step > 0",
     "prediction_cone": f"SELECT MMSI, step, {R('lat')}, {R('lon')}, {R('course')}, {R('spread', 'angular_offset')}, {R('dist', 'distance_nm')}, {R('pla', 'port_lat')}, {R('plo', 'port_lon')}, {R('sla', 'starboard_lat')}, {R('slo', 'starboard_lon')} FROM cone",
     "uncertainty_radius": f"SELECT MMSI, step, {R('lat')}, {R('lon')}, {R('greatest(100, least(r, 50000))', 'radius_m')}, {R('r / ((111000 + 111000 * cos(radians(lat))) / 2)', 'radius_deg')}, {R('CASE WHEN step = 8 THEN r * 20 END', 'diameter_m')}, {R('CASE WHEN step = 8 THEN r * 20 / 1852 END', 'diameter_nm')} "
     f"FROM (SELECT *, CASE WHEN apart >= 1 THEN apart ELSE {H('lat + 1 / 60.0 * cos(radians(course - spread))', 'lon + 1 / (60.0 * cos(radians(lat))) * sin(radians(course - spread))', 'lat + 1 / 60.0 * cos(radians(course + spread))', 'lon + 1 / (60.0 * cos(radians(lat))) * sin(radians(course + spread))', 6371000.0)} END / 2 * step / 8 AS r FROM "
@@ -621,12 +657,11 @@ BODIES: dict[str, str] = {
     "CASE WHEN MMSI % 3 < 2 THEN strftime(file_date, '%Y-%m-%d') END AS day FROM pings",
     "zone_json": f"SELECT MMSI, {TS('BaseDateTime')}, CASE WHEN MMSI % 2 = 0 THEN 2 ELSE 1 END AS n, {R('LAT', 'lat')}, {R('LON', 'lon')} FROM pings",
     "parse_int_list": f"SELECT MMSI, {TS('BaseDateTime')}, 2 AS n, VesselType AS second FROM pings",
-    "chaikin_smooth": f"SELECT MMSI, {DT('file_date')}, i, {R('CASE i WHEN 0 THEN a * 0.75 + 25.0 * 0.25 WHEN 1 THEN a * 0.25 + 25.0 * 0.75 WHEN 2 THEN 25.0 * 0.75 + c * 0.25 WHEN 3 THEN 25.0 * 0.25 + c * 0.75 ELSE c END', 'lat')}, "
-    f"{R('CASE i WHEN 0 THEN b * 0.75 - 82.5 * 0.25 WHEN 1 THEN b * 0.25 - 82.5 * 0.75 WHEN 2 THEN -82.5 * 0.75 + d * 0.25 WHEN 3 THEN -82.5 * 0.25 + d * 0.75 ELSE d END', 'lon')} FROM "
-    "(SELECT f.MMSI, f.file_date, f.LAT a, f.LON b, l.LAT c, l.LON d, unnest(range(5)) AS i FROM fp f JOIN lp l ON l.MMSI = f.MMSI AND l.file_date = f.file_date WHERE l.BaseDateTime > f.BaseDateTime)",
+    "chaikin_smooth": f"SELECT MMSI, {DT('file_date')}, i - 1 AS i, {R('la[i]', 'lat')}, {R('lo[i]', 'lon')} FROM (SELECT MMSI, file_date, {_CUT('la')} AS la, {_CUT('lo')} AS lo FROM "
+    f"(SELECT MMSI, file_date, {_CUT('la')} AS la, {_CUT('lo')} AS lo FROM (SELECT MMSI, file_date, list(LAT ORDER BY BaseDateTime, LAT, LON) AS la, list(LON ORDER BY BaseDateTime, LAT, LON) AS lo FROM pings GROUP BY ALL))) q, unnest(range(1, len(la) + 1)) t(i)",
     "narrow_types": f"SELECT VesselType, count(*) AS n, {R('CAST(CAST(min(LAT) AS FLOAT) AS DOUBLE)', 'low')} FROM pings GROUP BY VesselType",
     "nulls_by_column_customer": "UNPIVOT (SELECT " + ", ".join(f"count(*) - count({c}) AS {c}" for c in CUSTOMER) + " FROM customer) ON COLUMNS(*) INTO NAME \"Column\" VALUE Total_Null_Values",
-    "chart_aggregate_orders": f"SELECT l_returnflag, {R('CAST(max(l_quantity) AS DOUBLE)', 'l_quantity')} FROM lineitem GROUP BY l_returnflag",
+    "chart_aggregate_lines": f"SELECT l_returnflag, {R('CAST(max(l_quantity) AS DOUBLE)', 'l_quantity')} FROM lineitem GROUP BY l_returnflag",
 }
 
 for _name, _test in {

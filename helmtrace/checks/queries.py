@@ -6,8 +6,6 @@ whole numbers) that two engines can be compared on.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +27,7 @@ from helmtrace.operators import vessels as V
 from helmtrace.operators import zones as Z
 from helmtrace.plans.detection import all_anomalies, detect_anomalies, prepare
 from helmtrace.schemas import Params
-from helmtrace.session import shared_folder
+from helmtrace.session import scratch_folder
 from helmtrace.sources import daily, stores
 from helmtrace.streaming.ingest import ingest_new_files
 
@@ -81,7 +79,7 @@ def make_anomalies(spark: SparkSession, d: str) -> DataFrame:
     return all_anomalies(pings(spark, d), ZONES, CHECK_PARAMS)
 
 
-def make_sequences(spark: SparkSession, d: str) -> DataFrame:
+def make_sequences(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return S.training_sequences(dense_pings(spark, d), work_dir=scratch(spark))
 
 
@@ -89,14 +87,27 @@ def anoms(spark: SparkSession, d: str) -> DataFrame:
     return _stored("anomalies", spark, d, lambda: make_anomalies(spark, d))
 
 
+def sequence_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The stored sequences and their points."""
+    made: list[DataFrame] = []
+
+    def part(i: int) -> DataFrame:
+        made.extend(() if made else make_sequences(spark, d))
+        return made[i]
+
+    return _stored("sequences", spark, d, lambda: part(0)), _stored("points", spark, d, lambda: part(1))
+
+
 def seqs(spark: SparkSession, d: str) -> DataFrame:
-    return _stored("sequences", spark, d, lambda: make_sequences(spark, d))
+    return sequence_tables(spark, d)[0]
+
+
+def matrix(spark: SparkSession, d: str) -> DataFrame:
+    return S.sequence_matrix(sequence_tables(spark, d)[1])
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one the cluster names; a local one only without it."""
-    shared = shared_folder(spark)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="run-")
+    return scratch_folder(spark, "check")
 
 
 def ready(spark: SparkSession, d: str, dense: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -162,7 +173,8 @@ ANOMALY_OUT = [*PING_OUT, "AnomalyType", "Date", "ReportDate", "RendezvousMMSI2"
 
 @query
 def union_anomalies(s, d):
-    return anoms(s, d).select(*ANOMALY_OUT, "BeaconGapMinutes", "ImpliedSpeed", "CourseHeadingDiff", "NameCount")
+    return anoms(s, d).select(*ANOMALY_OUT, "BeaconGapMinutes", "ImpliedSpeed", "CourseHeadingDiff", "NameCount",
+                              "LoiteringRadiusNM", "LoiteringDurationHours", "LoiteringRecordCount", "RendezvousDistanceNM", "ZoneLatMin", "ZoneLonMax")
 
 
 @query
@@ -177,42 +189,60 @@ def detect_anomalies_run(s, d):
 QUERIES["detect_anomalies"] = QUERIES.pop("detect_anomalies_run")
 
 
+@query
+def detect_anomalies_default_types(s, d):
+    """No types named: pings with no type, type 0 and unlisted types take no part."""
+    e = F.col("event_id")
+    odd = F.when(e % 17 == 0, F.lit(None)).when(e % 19 == 0, 0).when(e % 23 == 0, 100).otherwise(F.col("VesselType"))
+    rows = sparse_or_dense(s, d).withColumn("VesselType", odd.cast("int")).drop("event_id")
+    params = Params(loitering_hours=12.0, loitering_min_records=3)
+    return detect_anomalies(rows, ZONES, params).select(*ANOMALY_OUT)
+
+
 # --- sources and sinks --------------------------------------------------------------------
 
 
-def _daily_files(s: SparkSession, d: str, pattern: str, form: str) -> str:
-    """Daily files made from the test pings, one per date, named by ``pattern``."""
+def _daily_files(s: SparkSession, d: str, pattern: str, form: str, rows: DataFrame | None = None, halves: bool = True) -> str:
+    """Daily files made from the test pings, named by ``pattern``.
+
+    With ``halves`` every date has two files: those of odd vessels have their columns the other way round and
+    an optional one more.
+    """
     folder = scratch(s)
-    rows = pings(s, d)
-    stage = f"{folder}/stage"
-    flat = rows.withColumn("day", F.date_format("file_date", pattern)).drop("file_date")
-    writer = flat.repartition("day").write.partitionBy("day")
-    if form == "csv":
-        writer.option("header", "true").option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(stage)
-    else:
-        writer.parquet(stage)
+    rows = pings(s, d) if rows is None else rows
+    odd = F.col("MMSI") % 2 == 1
+    turned = rows.withColumn("Length", (F.col("MMSI") % 100).cast("double")).select("Length", *rows.columns[::-1])
+    parts = {"even": rows.filter(~odd), "odd": turned.filter(odd)} if halves else {"all": rows}
     hadoop = s.sparkContext._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(stage).getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop.Path(f"{folder}/days"))
-    for status in fs.listStatus(hadoop.Path(stage)):
-        name = status.getPath().getName()
-        if name.startswith("day="):
-            part = [p.getPath() for p in fs.listStatus(status.getPath()) if p.getPath().getName().startswith("part-")][0]
-            fs.rename(part, hadoop.Path(f"{folder}/days/{name.removeprefix('day=')}.{form}"))
+    for part, table in parts.items():
+        stage, target = f"{folder}/stage-{part}", f"{folder}/days/{part}" if halves else f"{folder}/days"
+        flat = table.withColumn("day", F.date_format("file_date", pattern)).drop("file_date")
+        writer = flat.repartition("day").write.partitionBy("day")
+        if form == "csv":
+            writer.option("header", "true").option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(stage)
+        else:
+            writer.parquet(stage)
+        fs = hadoop.Path(stage).getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(hadoop.Path(target))
+        for status in fs.listStatus(hadoop.Path(stage)):
+            name = status.getPath().getName()
+            if name.startswith("day="):
+                (only,) = [p.getPath() for p in fs.listStatus(status.getPath()) if p.getPath().getName().startswith("part-")]
+                fs.rename(only, hadoop.Path(f"{target}/{name.removeprefix('day=')}.{form}"))
     return f"{folder}/days"
 
 
 @query
 def scan_days(s, d):
     folder = _daily_files(s, d, "'ais-'yyyy-MM-dd", "csv")
-    return daily.scan_days(s, folder, "2024-01-05", "2024-01-20").select(*PING_OUT, "file_date")
+    return daily.scan_days(s, folder, "2024-01-05", "2024-01-20").select(*PING_OUT, "file_date", "Length")
 
 
 @query
 def read_pings(s, d):
-    text = raw_pings(s, d)
-    rows = text.select(
-        F.col("MMSI").cast("string").alias("MMSI"),
+    """Text values of all kinds, in files of two column orders."""
+    rows = raw_pings(s, d).select(
+        "MMSI",
         "VesselName",
         F.when(F.col("VesselType") == 52, "n/a").otherwise(F.col("VesselType").cast("string")).alias("VesselType"),
         F.col("LAT").cast("string").alias("LAT"),
@@ -223,7 +253,8 @@ def read_pings(s, d):
         F.when(F.col("MMSI") % 7 == 0, "soon").otherwise(F.col("BaseDateTime").cast("string")).alias("BaseDateTime"),
         "file_date",
     )
-    return daily.normalise(rows).select(*PING_OUT, "file_date")
+    folder = _daily_files(s, d, "'ais-'yyyy-MM-dd", "csv", rows)
+    return daily.read_pings(s, daily.day_files(s, folder, "2000-01-01", "2100-01-01")).select(*PING_OUT, "file_date")
 
 
 @query
@@ -236,7 +267,7 @@ def ingest_daily_csv(s, d):
 
 @query
 def ingest_stream(s, d):
-    folder = _daily_files(s, d, "'AIS_'yyyy_MM_dd", "csv")
+    folder = _daily_files(s, d, "'AIS_'yyyy_MM_dd", "csv", halves=False)
     ingest_new_files(s, folder, f"{folder}-out", f"{folder}-log").awaitTermination()
     return s.read.parquet(f"{folder}-out").select(*PING_OUT, "file_date")
 
@@ -262,9 +293,9 @@ def load_full_range(s, d):
 def write_day_cache(s, d):
     root = scratch(s)
     clean = C.clean_positions(raw_pings(s, d))
-    params = {"ship_types": [], "speed": 102}
-    stores.write_day_cache(clean, root, params)
-    return stores.read_day_cache(s, root, params).groupBy("file_date").count()
+    params, source = {"ship_types": [], "speed": 102}, [f"{d}/events.parquet"]
+    stores.write_day_cache(clean, root, params, source)
+    return stores.read_day_cache(s, root, params, source).select(*PING_OUT, "file_date")
 
 
 @query
@@ -272,14 +303,18 @@ def history_cache(s, d):
     root = scratch(s)
     folder = stores.write_day_cache(C.clean_history(raw_pings(s, d)), root, {"max_speed": 100})
     stores.clear_cache(s, folder, "2024-01-01", "2024-01-10")
-    return s.read.parquet(folder).groupBy("file_date").count()
+    return s.read.parquet(folder).select(*PING_OUT, "file_date", "Length")
 
 
 @query
 def cache_inventory(s, d):
     root = scratch(s)
     stores.write_day_cache(pings(s, d).repartition("file_date"), root, {})
-    return stores.cache_inventory(s, root).select("files")
+    found = stores.cache_inventory(s, root)
+    # The sum of the sizes the file system lists is what "megabytes" must be.
+    listed = s.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
+    size = listed.agg(F.sum("length")).first()[0]
+    return found.select("files", (F.abs(F.col("megabytes") * 1048576 - size) < 1).alias("megabytes_right"))
 
 
 @query
@@ -291,11 +326,23 @@ def consolidate(s, d):
     return stores.consolidate(stored, new).select(*PING_OUT)
 
 
+@query
+def append_consolidated(s, d):
+    """A table, and two appends of the same overlapping rows."""
+    path, e = f"{scratch(s)}/all", F.col("event_id")
+    rows = sparse_or_dense(s, d)
+    stores.append_consolidated(s, rows.filter(e % 3 == 0).drop("event_id"), path)
+    new = rows.filter(e % 2 == 0).withColumn("SOG", F.col("SOG") + 1).drop("event_id")
+    for _ in range(2):
+        stores.append_consolidated(s, new, path)
+    return s.read.parquet(path).select(*PING_OUT)
+
+
 @query
 def write_anomalies(s, d):
     folder = f"{scratch(s)}/anomalies"
-    stores.write_anomalies(anoms(s, d), folder)
-    return s.read.option("header", "true").csv(folder).groupBy("AnomalyType").count()
+    stores.write_anomalies(anoms(s, d), folder, "parquet")
+    return s.read.parquet(folder).select(*ANOMALY_OUT)
 
 
 @query
@@ -309,17 +356,19 @@ def load_anomalies(s, d):
 def export_dataset(s, d):
     folder = f"{scratch(s)}/pings"
     stores.export_dataset(pings(s, d), folder)
-    return s.read.option("header", "true").csv(folder).groupBy("MMSI").count().select(
-        F.col("MMSI").cast("bigint").alias("MMSI"), "count"
-    )
+    back = s.read.schema(pings(s, d).schema).option("header", "true").option("timestampFormat", stores.STAMP_FORMAT)
+    return back.csv(folder).select(*PING_OUT, "file_date")
 
 
 @query
 def write_statistics(s, d):
     folder = scratch(s)
     stores.write_statistics({"by_type": A.count_by_type(anoms(s, d))}, folder, anoms(s, d))
-    return s.read.option("header", "true").csv(f"{folder}/anomalies").groupBy("day").count().select(
-        F.col("day").cast("date").alias("day"), "count"
+    counts = s.read.option("header", "true").csv(f"{folder}/by_type").select("AnomalyType", F.col("Count").cast("bigint").alias("Count"))
+    rows = s.read.option("header", "true").csv(f"{folder}/anomalies")
+    return rows.join(counts, "AnomalyType").select(
+        F.col("day").cast("date").alias("day"), F.col("MMSI").cast("bigint").alias("MMSI"), "AnomalyType",
+        *[F.col(c).cast("double").alias(c) for c in ("LAT", "LON", "SOG")], "Count",
     )
 
 
@@ -327,7 +376,7 @@ def write_statistics(s, d):
 def save_sequences(s, d):
     root = scratch(s)
     stores.save_sequences(seqs(s, d), root, {"hours": 24, "horizon": 48})
-    return stores.load_sequences(s, root, {"hours": 24, "horizon": 48}).groupBy("MMSI").count()
+    return stores.load_sequences(s, root, {"hours": 24, "horizon": 48}).select(*SEQ_OUT)
 
 
 # --- filters ------------------------------------------------------------------------------
@@ -477,7 +526,7 @@ def vessel_semijoin(s, d):
 
 def _shifted(s, d):
     """Anomalies moved in time, so that the nearest ping is rarely their own."""
-    rows = anoms(s, d).filter(F.col("AnomalyType").isin("Course", "AIS_Beacon_Off"))
+    rows = anoms(s, d)
     moved = F.timestamp_micros(F.unix_micros("BaseDateTime") + F.col("MMSI") % 7 * 3_600_000_000 - 9_000_000_000)
     return rows.withColumn("BaseDateTime", moved).withColumn("SOG", F.when(F.col("MMSI") % 2 == 0, F.col("SOG")))
 
@@ -657,7 +706,26 @@ def cluster_features(s, d):
 
 @query
 def cluster_vessels(s, d):
-    return V.cluster_vessels(pings(s, d), restarts=3).select("MMSI", *V.FEATURES, "Cluster")
+    """Cluster numbers are arbitrary; the features, and that vessels are nearest to their own centre, are not."""
+    path = f"{scratch(s)}/clusters"
+    V.cluster_vessels(pings(s, d)).select("MMSI", *V.FEATURES, "Cluster").write.parquet(path)
+    rows = s.read.parquet(path)
+    centres = rows.groupBy("Cluster").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"_{c}") for c in V.FEATURES])
+    centres = centres.agg(F.collect_list(F.struct(*centres.columns)).alias("centres"), F.sum("n").alias("members"))  # k rows
+
+    def far(c):
+        return sum((F.pow(F.col(f) - c[f"_{f}"], 2) for f in V.FEATURES), F.lit(0.0))
+
+    all_rows = rows.withColumn("_k", F.lit(1)).join(centres.withColumn("_k", F.lit(1)), "_k")
+    own = F.filter("centres", lambda c: c["Cluster"] == F.col("Cluster"))[0]
+    best = F.array_min(F.transform("centres", far))
+    # Training stops a little short of the fixed point, so a few vessels may lie nearer to another centre.
+    near = (F.sqrt(far(own)) <= F.sqrt(best) * 1.02 + 1e-6).cast("int")
+    judged = all_rows.withColumn("_near", near)
+    share = judged.agg((F.avg("_near") >= 0.98).alias("nearest"), F.count("*").alias("vessels")).withColumn("_k", F.lit(1))
+    return judged.join(share, "_k").select(
+        "MMSI", *V.FEATURES, (F.size("centres") <= 5).alias("few_clusters"), (F.col("members") == F.col("vessels")).alias("complete"), "nearest"
+    )
 
 
 @query
@@ -672,7 +740,7 @@ def category_summary(s, d):
 
 @query
 def first_type_codes(s, d):
-    return V.first_type_codes(pings(s, d), 5)
+    return V.first_type_codes(pings(s, d))
 
 
 @query
@@ -753,7 +821,7 @@ def top10_vessel_types(s, d):
 
 @query
 def dedup_pings(s, d):
-    return C.dedup_pings(raw_pings(s, d).filter(F.col("BaseDateTime").isNotNull())).select(*PING_OUT)
+    return C.dedup_pings(raw_pings(s, d)).select(*PING_OUT)
 
 
 @query
@@ -880,8 +948,7 @@ def heat_grid(s, d):
 
 @query
 def window_points(s, d):
-    rows = K.segment_tracks(dense_pings(s, d))
-    return S.window_points(rows, S.window_starts(rows)).select(*TRACK_OUT, "window_no")
+    return S.window_points(K.segment_tracks(dense_pings(s, d))).select(*TRACK_OUT, "window_no")
 
 
 @query
@@ -897,8 +964,11 @@ SEQ_OUT = [
 
 @query
 def training_sequences(s, d):
-    total = F.aggregate("input", F.lit(0.0), lambda a, x: a + x["lat"])
-    return seqs(s, d).select(*SEQ_OUT, total.alias("lat_sum"), F.size("input").alias("points"))
+    rows, points = sequence_tables(s, d)
+    inner = points.groupBy(*S.WINDOW).agg(
+        F.sum("lat").alias("lat_sum"), F.count("*").alias("points"), F.max("position").alias("last_position")
+    )
+    return rows.select(*SEQ_OUT).join(inner, S.WINDOW)
 
 
 @query
@@ -912,9 +982,10 @@ def sequence_target(s, d):
 
 @query
 def sequence_matrix(s, d):
-    row = S.sequence_matrix(seqs(s, d))
-    return row.select("MMSI", "segment_id", "window_no", F.posexplode("matrix").alias("i", "m")).select(
-        "MMSI", "segment_id", "window_no", "i", F.col("m")[0].alias("lat"), F.col("m")[2].alias("sog"), F.col("m")[4].alias("heading")
+    names = ("lat", "lon", "sog", "cog", "heading")
+    return matrix(s, d).select(
+        *S.WINDOW, F.col("position").alias("i"), *[F.col("features")[k].alias(c) for k, c in enumerate(names)],
+        F.array_join("feature_columns", ",").alias("columns"),
     )
 
 
@@ -936,21 +1007,30 @@ def length_batches(s, d):
 
 @query
 def length_batches_shuffled(s, d):
-    return S.length_batches(seqs(s, d), seed=7).groupBy("bin", "batch").count()
+    rows = S.length_batches(seqs(s, d), seed=7)
+    # Which sequence lands in which batch depends on the seed; sizes, bins and members are determined.
+    sizes = rows.groupBy("bin", "batch").agg(F.count("*").alias("n"))
+    return rows.join(sizes, ["bin", "batch"]).select(*S.WINDOW, "length", "bin", (F.col("n") <= 32).alias("fits"))
 
 
 @query
 def pad_sequence(s, d):
-    rows = S.pad_batches(S.length_batches(seqs(s, d)))
+    rows = S.pad_batches(S.length_batches(seqs(s, d)), matrix(s, d))
+    names = ("lat", "lon", "sog", "cog", "heading")
     return rows.select(
-        "MMSI", "segment_id", "window_no", F.size("padded").alias("padded_length"),
-        F.size(F.filter("padded", lambda r: r[0] == 0)).alias("zero_rows"),
+        *S.WINDOW, "position", "padded_length", *[F.col("features")[k].alias(c) for k, c in enumerate(names)]
     )
 
 
 @query
 def split_sequences(s, d):
-    return S.split_sequences(seqs(s, d)).groupBy("split").count()
+    rows, again = S.split_sequences(seqs(s, d)), S.split_sequences(seqs(s, d).repartition(5))
+    # The members of a part depend on a hash; its size, and that a second run agrees, are determined.
+    both = rows.join(again.select(*S.WINDOW, F.col("split").alias("other")), S.WINDOW)
+    return both.groupBy("split").agg(
+        F.count("*").alias("count"), F.count_if(F.col("split") == F.col("other")).alias("stable"),
+        F.count_distinct(*S.WINDOW).alias("members"),
+    )
 
 
 @query
@@ -960,9 +1040,16 @@ def sequence_length_stats(s, d):
 
 @query
 def sequence_checks(s, d):
-    rows = S.sequence_matrix(seqs(s, d))
-    longer = rows.withColumn("length", F.when(F.col("MMSI") % 10 == 0, F.col("length") + 7).otherwise(F.col("length")))
-    return S.sequence_checks(longer)
+    """Some sequences and points are changed so that each of the five issues occurs."""
+    n, k = F.col("length"), F.col("MMSI") % 10
+    odd = seqs(s, d).withColumns(
+        {
+            "length": F.when(k == 0, n + 107).when(k == 1, F.lit(1).cast("long")).otherwise(n),
+            "target_lat": F.when(k != 2, F.col("target_lat")),
+        }
+    )
+    wide = F.when((k == 3) & (F.col("position") == 0), F.slice("features", 1, 3)).otherwise(F.col("features"))
+    return S.sequence_checks(odd, matrix(s, d).withColumn("features", wide))
 
 
 @query
@@ -996,7 +1083,15 @@ def prediction_intervals(s, d):
 
 @query
 def sample_positions(s, d):
-    return P.sample_positions(P.predict_constant(pings(s, d)), 5).select("MMSI", "step", "sample")
+    """The draws are random: their number, mean and deviation are checked."""
+    drawn = P.sample_positions(P.predict_constant(pings(s, d))).groupBy("MMSI", "step").agg(
+        F.count_distinct("sample").alias("samples"), F.avg("lat").alias("a"), F.stddev("lat").alias("b"),
+        F.avg("lon").alias("c"), F.stddev("lon").alias("e"),
+    )
+    rows = P.predict_constant(pings(s, d)).join(drawn, ["MMSI", "step"])
+    near = (F.abs(F.col("a") - F.col("lat")) < 0.7 * F.col("std_lat")) & (F.abs(F.col("c") - F.col("lon")) < 0.7 * F.col("std_lon"))
+    wide = (F.col("b") / F.col("std_lat")).between(0.5, 1.5) & (F.col("e") / F.col("std_lon")).between(0.5, 1.5)
+    return rows.select("MMSI", "step", "samples", near.alias("centred"), wide.alias("spread"))
 
 
 def _cone(s, d):
@@ -1018,8 +1113,10 @@ def uncertainty_radius(s, d):
 
 def _scored(s, d):
     """Sequences scored with a plain guess: the last point moved by a day of drift."""
-    last = F.element_at("input", -1)
-    return seqs(s, d).select(
+    rows, points = sequence_tables(s, d)
+    ends = points.groupBy(*S.WINDOW).agg(F.max(F.struct("position", "lat", "lon", "sog", "cog")).alias("last"))
+    last = F.col("last")
+    return rows.join(ends, S.WINDOW).select(
         "target_lat", "target_lon", "target_sog", "target_cog",
         (last["lat"] + 0.01).alias("lat"), (last["lon"] - 0.01).alias("lon"),
         (F.lit(0.02) + F.col("length") * 0.005).alias("std_lat"), F.lit(0.03).alias("std_lon"),
@@ -1188,12 +1285,11 @@ def parse_int_list(s, d):
 
 @query
 def chaikin_smooth(s, d):
-    """Smoothed first, middle and last position of every vessel-day, as numbered points."""
-    ends = Y.first_last_ping(pings(s, d)).filter("n >= 2")
-    pick = [F.struct(F.col(f"{e}.LAT").alias("lat"), F.col(f"{e}.LON").alias("lon")) for e in ("first", "last")]
-    mid = F.struct(F.lit(25.0).alias("lat"), F.lit(-82.5).alias("lon"))
-    line = lines.chaikin_smooth(F.array(pick[0], mid, pick[1]), 1)
-    rows = ends.select("MMSI", "file_date", F.posexplode(line).alias("i", "p"))
+    """The smoothed whole path of every vessel-day (a day of one vessel is gathered), as numbered points."""
+    spot = F.struct("BaseDateTime", F.col("LAT").alias("lat"), F.col("LON").alias("lon"))
+    paths = pings(s, d).groupBy("MMSI", "file_date").agg(F.sort_array(F.collect_list(spot)).alias("path"))
+    line = F.transform("path", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+    rows = paths.select("MMSI", "file_date", F.posexplode(lines.chaikin_smooth(line)).alias("i", "p"))
     return rows.select("MMSI", "file_date", "i", F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
 
 
@@ -1208,7 +1304,7 @@ def narrow_types(s, d):
 
 
 @query
-def chart_aggregate_orders(s, d):
+def chart_aggregate_lines(s, d):
     return A.chart_aggregate(s.read.parquet(f"{d}/lineitem.parquet"), "l_returnflag", "max", "l_quantity")
 
 

@@ -192,25 +192,24 @@ def loitering(pings: DataFrame, days: DataFrame, params: Params = Params()) -> D
 
 
 def identity_spoofing(pings: DataFrame, days: DataFrame, params: Params = Params()) -> DataFrame:
-    """Vessel-days with several names; the first five, in order of appearance, are listed."""
+    """Vessel-days with several names; all of them are listed, in order of appearance.
+
+    Pings are combined to one row per vessel, day and name before anything is gathered.
+    """
     rows = _compared_days(_only_pings(pings), days, params)
     keys = ["MMSI", "file_date"]
     names = rows.groupBy(*keys, "VesselName").agg(F.min(order_struct(rows, skip=keys)).alias("first"))
+    named = F.when(F.col("VesselName").isNotNull(), F.struct("first", "VesselName"))
     several = (
         names.groupBy(*keys)
-        .agg(F.count("VesselName").alias("NameCount"), F.min("first").alias("first"))
+        .agg(
+            F.count("VesselName").alias("NameCount"),
+            F.min("first").alias("first"),
+            F.array_sort(F.collect_list(named)).alias("_names"),
+        )
         .filter("NameCount > 1")
     )
-    turn = Window.partitionBy(*keys).orderBy("first")
-    # The rank limit is applied before the shuffle too, so at most five names per group travel.
-    top = (
-        names.filter(F.col("VesselName").isNotNull())
-        .withColumn("_rn", F.row_number().over(turn))
-        .filter("_rn <= 5")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("_rn", "VesselName"))).alias("_names"))
-    )
-    return several.join(top, keys).select(
+    return several.select(
         "MMSI", "first.*", "file_date", *_stamp("Identity_Spoofing", F.col("file_date")),
         F.lit("multiple_vessel_names").alias("SpoofingIssue"), "NameCount",
         F.array_join(F.transform("_names", lambda n: n["VesselName"]), ", ").alias("VesselNames"),

@@ -27,10 +27,11 @@ def heat_grid(table: DataFrame, *by: str, digits: int = 2) -> DataFrame:
 def path_points(pings: DataFrame, per_day: bool = False) -> DataFrame:
     """Positions of each vessel (and day) numbered in time order.
 
-    The long form replaces one list per vessel: a path of any length stays spread over tasks.
+    The long form replaces one list per vessel: a path of any length stays spread over tasks. Rows without a
+    time or position have no place in a path.
     """
     keys = ["MMSI", "file_date"] if per_day else ["MMSI"]
-    rows = pings.filter(F.col("LAT").isNotNull() & F.col("LON").isNotNull())
+    rows = pings.filter(F.col("LAT").isNotNull() & F.col("LON").isNotNull() & F.col("BaseDateTime").isNotNull())
     return add_position(rows.select(*keys, "BaseDateTime", "LAT", "LON"), keys)
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helmtrace.functions.angles import confidence_interval
@@ -14,10 +14,11 @@ from helmtrace.functions.geo import RADIUS_NM_SCORE, haversine, haversine_m, ini
 from helmtrace.functions.lines import uncertainty_radius
 from helmtrace.operators.cleaning import recent_window
 from helmtrace.operators.spread import exact_percentiles
-from helmtrace.operators.tracks import latest_segment
+from helmtrace.operators.tracks import latest_segment, with_measurements
 
 STEPS = 8
 STEP_HOURS = 6.0
+# Points a step sees after the first one: the length of the model window.
 CONTEXT_POINTS = 24
 
 PREDICTION_SCHEMA = (
@@ -26,7 +27,7 @@ PREDICTION_SCHEMA = (
 
 
 def _recent_tracks(pings: DataFrame, hours: float) -> DataFrame:
-    return latest_segment(recent_window(pings, hours))
+    return with_measurements(latest_segment(recent_window(pings, hours)))
 
 
 def last_known(pings: DataFrame, hours: float = 24.0) -> DataFrame:
@@ -77,37 +78,49 @@ def predict_tracks(
     """Autoregressive prediction per vessel with a caller's step function.
 
     ``step`` gets a ``(points, 5)`` array of LAT, LON, SOG, COG, Heading and returns ``mean``
-    and ``std`` (lat, lon) and may return ``speed`` and ``course``. It sees at most the last 24
-    points, the length of the model window; the rank limit that picks them is applied before
-    the shuffle, so a Python group never holds more. Without ``step`` the constant-velocity
-    prediction runs, which needs no Python.
+    and ``std`` (lat, lon) and may return ``speed`` and ``course``. The first step sees the whole recent track;
+    from then on it sees the last 24 points, new ones included. Vessels lie side by side in a sorted partition
+    and arrive in batches, so a task holds five numbers per ping of one vessel's recent hours and no more.
+    Without ``step`` the constant-velocity prediction runs, which needs no Python.
     """
     if step is None:
         return predict_constant(pings, hours)
     fields = ["LAT", "LON", "SOG", "COG", "Heading"]
-    newest = Window.partitionBy("MMSI").orderBy(F.desc("BaseDateTime"), *fields)
-    context = (
-        _recent_tracks(pings, hours)
-        .select("MMSI", "BaseDateTime", *fields)
-        .withColumn("_rn", F.row_number().over(newest))
-        .filter(F.col("_rn") <= CONTEXT_POINTS)
-    )
+    context = _recent_tracks(pings, hours).select("MMSI", "BaseDateTime", *fields)
+    context = context.repartition("MMSI").sortWithinPartitions("MMSI", "BaseDateTime", *[F.desc(c) for c in fields])
+    names = [c.split()[0] for c in PREDICTION_SCHEMA.split(", ")]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        points = group.sort_values("_rn", ascending=False)[fields].to_numpy(dtype=float)
+    def walk(mmsi: int, points: np.ndarray) -> list[tuple]:
         rows = []
         for n in range(1, steps + 1):
             out = step(points)
             lat, lon = out["mean"]
             std_lat, std_lon = out["std"]
             speed, course = out.get("speed"), out.get("course")
-            rows.append((int(group["MMSI"].iloc[0]), n, lat, lon, std_lat, std_lon, speed, course))
+            rows.append((mmsi, n, lat, lon, std_lat, std_lon, speed, course))
             extra = [v for v in (speed, course) if v is not None]
             fresh = np.array([lat, lon, *extra] + [0.0] * (len(fields) - 2 - len(extra)))
             points = np.vstack([points, fresh])[-CONTEXT_POINTS:]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in PREDICTION_SCHEMA.split(", ")])
-
-    return context.groupBy("MMSI").applyInPandas(run, PREDICTION_SCHEMA)
+        return rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for batch in batches:
+            rows = []
+            ids = batch["MMSI"].to_numpy()
+            cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1 if len(ids) else []
+            values = batch[fields].to_numpy(dtype=float)
+            for lo, hi in zip([0, *cuts], [*cuts, len(ids)]):
+                if lo == hi:
+                    continue
+                if ids[lo] != now:
+                    rows += walk(int(now), np.concatenate(held)) if held else []
+                    now, held = ids[lo], []
+                held.append(values[lo:hi])
+            yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame(walk(int(now), np.concatenate(held)) if held else [], columns=names)
+
+    return context.mapInPandas(run, PREDICTION_SCHEMA)
 
 
 def prediction_intervals(predictions: DataFrame, confidence: float = 0.68) -> DataFrame:

@@ -14,6 +14,13 @@ from helmtrace.functions.times import HOUR_US, chunk_of, hours_between, micros
 from helmtrace.operators.spread import WALK, add_position, add_previous, bracket
 
 TRACK = ["MMSI", "segment_id"]
+# Columns a ping table may lack.
+MEASUREMENTS = ("SOG", "COG", "Heading")
+
+
+def with_measurements(pings: DataFrame) -> DataFrame:
+    """``pings`` with null columns for the measurements it lacks."""
+    return pings.withColumns({c: F.lit(None).cast("double") for c in MEASUREMENTS if c not in pings.columns})
 
 
 def _chunk_width(max_gap_hours: float) -> int:
@@ -29,7 +36,7 @@ def _track_chunks(pings: DataFrame, max_gap_hours: float) -> DataFrame:
     width = _chunk_width(max_gap_hours)
     has_position = F.col("LAT").isNotNull(), F.col("LON").isNotNull()
     chunks = (
-        pings.withColumn("chunk", chunk_of("BaseDateTime", width))
+        with_measurements(pings).withColumn("chunk", chunk_of("BaseDateTime", width))
         .groupBy("MMSI", "chunk")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -94,7 +101,6 @@ def tracks_with_size(
     max_gap_hours: float = 6.0,
     min_points: int = 2,
     min_hours: float = 1.0,
-    max_points: int | None = None,
     walk: bool = False,
 ) -> DataFrame:
     """Pings of usable tracks, with ``segment_id`` and ``segment_points``.
@@ -105,8 +111,6 @@ def tracks_with_size(
     """
     pings = pings.filter(F.col("BaseDateTime").isNotNull())
     kept = _usable_chunks(pings, max_gap_hours, min_points, min_hours)
-    if max_points is not None:
-        kept = kept.filter(F.col("points") <= max_points)
     return _join_chunks(pings, kept, max_gap_hours, walk, F.col("points").alias("segment_points"))
 
 
@@ -187,7 +191,7 @@ def motion_deltas(tracks: DataFrame, keys: list[str] = TRACK, position: str | No
     ``position`` names an optional column that counts up along the rows that have a speed.
     """
     rows = add_previous(
-        tracks, keys, ["LAT", "LON", "SOG", "COG"], position=position, counted="SOG"
+        with_measurements(tracks), keys, ["LAT", "LON", "SOG", "COG"], position=position, counted="SOG"
     )
     hours = hours_between("prev.BaseDateTime", "BaseDateTime")
     turn = wrap_180(F.col("COG") - F.col("prev.COG"))
@@ -248,7 +252,8 @@ def interpolate_tracks(
     forward. Windows run over grid rows, whose number follows the time span and not the
     reporting rate.
     """
-    step = int(round(interval_hours * 60)) * 60_000_000
+    # Whole minutes as studied, but never none: shorter intervals count in microseconds.
+    step = int(round(interval_hours * 60)) * 60_000_000 or max(1, int(interval_hours * HOUR_US))
     carried = [c for c in carried if c in tracks.columns]
     linear = [c for c in LINEAR if c in tracks.columns]
     span = tracks.groupBy(*TRACK).agg(

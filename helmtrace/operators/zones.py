@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -23,7 +23,7 @@ from helmtrace.functions.geo import (
 from helmtrace.schemas import DEFAULT_ZONES, ZONE_SCHEMA
 
 CELL_DEGREES = 5.0
-CONTROL_ROWS = 20_000
+CONTROL_BYTES = 8 << 20
 
 
 def zone_table(spark: SparkSession, zones: Sequence[dict] | DataFrame | None = None) -> DataFrame:
@@ -161,35 +161,41 @@ def _cell(value: Column, low: float, high: float) -> Column:
     return F.floor((bounded - low) / CELL_DEGREES).cast("int")
 
 
-def pings_in_zones(pings: DataFrame, zones: DataFrame, salts: int = 16) -> DataFrame:
+def _bytes_of(zones: DataFrame, cells: DataFrame) -> int:
+    """An upper estimate of what the zones and their cells take in memory."""
+    size = F.lit(400) + F.length("name") * 4 + F.size("points") * 32
+    return int(zones.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]) + 100 * cells.count()
+
+
+def pings_in_zones(pings: DataFrame, zones: DataFrame) -> DataFrame:
     """Pings paired with the zones they lie in.
 
-    Zones are spread over 5-degree cells (at most 2,664 rows per zone) and joined on the cell;
-    the exact geometry test runs only on pairs that pass the box test. A cell table of at most
-    ``CONTROL_ROWS`` rows, checked here, is broadcast; with more zones than that the join
-    shuffles and the pings are salted, so that one busy port does not end up in one task.
+    Zones are spread over 5-degree cells, of which a row holds only the zone's number and search box (at most
+    2,664 rows per zone). Pings join on the cell and pass the box test; only pairs that pass get the
+    zone's geometry, which exists once per zone, for the exact test. Both small tables are broadcast if their measured
+    size is at most ``CONTROL_BYTES``; beyond it both joins shuffle, and adaptive execution splits busy cells and zones.
     """
     boxed = _search_box(zone_bounds(zones)).filter(
         (F.col("_s") <= F.col("_n")) & (F.col("_w") <= F.col("_e"))
     )
-    cells = boxed.withColumn(
-        "_clat", F.explode(F.sequence(_cell(F.col("_s"), -90.0, 90.0), _cell(F.col("_n"), -90.0, 90.0)))
-    ).withColumn(
-        "_clon", F.explode(F.sequence(_cell(F.col("_w"), -180.0, 180.0), _cell(F.col("_e"), -180.0, 180.0)))
+    # A zone's number is its content: repeats of a zone stay repeats through the counts below.
+    numbered = boxed.withColumn("_zone", F.xxhash64(*boxed.columns)).withColumn(
+        "_copy", F.row_number().over(Window.partitionBy("_zone").orderBy("name"))
     )
+    cells = (
+        numbered.select("_zone", "_copy", "_s", "_n", "_w", "_e")
+        .withColumn("_clat", F.explode(F.sequence(_cell(F.col("_s"), -90.0, 90.0), _cell(F.col("_n"), -90.0, 90.0))))
+        .withColumn("_clon", F.explode(F.sequence(_cell(F.col("_w"), -180.0, 180.0), _cell(F.col("_e"), -180.0, 180.0))))
+    )
+    shapes = numbered.drop("_s", "_n", "_w", "_e")
+    if _bytes_of(numbered, cells) <= CONTROL_BYTES:
+        cells, shapes = F.broadcast(cells), F.broadcast(shapes)
     placed = pings.withColumns(
         {"_clat": _cell(F.col("LAT"), -90.0, 90.0), "_clon": _cell(F.col("LON"), -180.0, 180.0)}
     )
-    on = ["_clat", "_clon"]
-    control = cells.limit(CONTROL_ROWS + 1).toArrow()
-    if control.num_rows <= CONTROL_ROWS:
-        joined = placed.join(F.broadcast(pings.sparkSession.createDataFrame(control, cells.schema)), on)
-    else:
-        placed = placed.withColumn("_salt", F.pmod(F.xxhash64("MMSI", "BaseDateTime"), F.lit(salts)))
-        cells = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        joined = placed.join(cells, [*on, "_salt"])
     boxed_test = F.col("LAT").between(F.col("_s"), F.col("_n")) & F.col("LON").between(F.col("_w"), F.col("_e"))
-    return joined.filter(boxed_test & in_zone("LAT", "LON")).select(
+    near = placed.join(cells, ["_clat", "_clon"]).filter(boxed_test).select(*pings.columns, "_zone", "_copy")
+    return near.join(shapes, ["_zone", "_copy"]).filter(in_zone("LAT", "LON")).select(
         *pings.columns,
         F.col("name").alias("ZoneName"),
         "ZoneLatMin",

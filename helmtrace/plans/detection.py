@@ -17,13 +17,13 @@ from helmtrace.schemas import Params
 
 def _keep(params: Params) -> Column:
     test = position_ok(params.speed_threshold)
-    rule, _ = vessel_type_rule(params.ship_types or [])
+    rule, _ = vessel_type_rule(params.selected_types())
     return test if rule is None else test & F.coalesce(rule, F.lit(False))
 
 
 def prepare(pings: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """Cleaned pings, and the table of listed days."""
-    clean = filter_vessel_types(clean_positions(pings, params.speed_threshold), params.ship_types or [])
+    clean = filter_vessel_types(clean_positions(pings, params.speed_threshold), params.selected_types())
     return clean, day_table(pings, _keep(params))
 
 

@@ -170,7 +170,10 @@ VESSEL_TYPE_NAMES = {
 }
 
 # Ship types analysed when a run names none.
-DEFAULT_SHIP_TYPES = [t for t in VESSEL_TYPE_NAMES if t != 99]
+DEFAULT_SHIP_TYPES = [
+    20, 21, 22, 23, 24, 30, 31, 32, 33, 34, 35, 36, 37, 38, 39, 40, 41, 42, 43, 44, 45, 46, 47, 48, 49, 50, 51, 52, 53,
+    54, 55, 56, 57, 58, 59, 60, 61, 62, 63, 64, 69, 70, 71, 72, 73, 74, 79, 80, 81, 82, 83, 84, 89, 90, 91, 92, 93, 94,
+]
 
 # Ship-type groups of the training reports.
 VESSEL_CATEGORIES = {
@@ -210,7 +213,11 @@ EXTRA_LABELS = {"Excessive Travel Distance (Slow)": "Speed"}
 
 @dataclass(frozen=True)
 class Params:
-    """Thresholds of a detection run; defaults are the effective ones."""
+    """Thresholds of a detection run; defaults are the effective ones.
+
+    ``ship_types``: None means ``DEFAULT_SHIP_TYPES``, an empty list means all types and rows without one.
+    ``max_anomalies_per_vessel``: 0 means all.
+    """
 
     speed_threshold: float = 102.0
     time_diff_threshold_min: float = 240.0
@@ -233,5 +240,8 @@ class Params:
     start_hour: int = 0
     end_hour: int = 24
     mmsi_list: list[int] = field(default_factory=list)
-    max_anomalies_per_vessel: int = 10
+    max_anomalies_per_vessel: int = 0
     rendezvous_salts: int = 8
+
+    def selected_types(self) -> list[int]:
+        return DEFAULT_SHIP_TYPES if self.ship_types is None else self.ship_types

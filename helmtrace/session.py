@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,20 +33,36 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder all executors reach, as the cluster names it."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors reach, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Where it is unset a session on one machine gets a folder of its own; a cluster has to name one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        folder = "file://" + tempfile.mkdtemp(prefix="helmtrace-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, name: str = "run") -> str:
+    """A new folder below the shared one; Hadoop deletes it when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
 
 
 def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Writes ``df`` once and goes on from the stored table, so that its plan runs only once.
 
-    The table lies in ``folder``, else below ``spark.checkpoint.dir``; a lost executor costs
-    nothing that is already written. Where neither is set the plan stays lazy.
+    The table lies in ``folder``, else in a scratch folder; a lost executor costs nothing that is already written.
     """
-    folder = folder or shared_folder(df.sparkSession)
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    top = folder.rstrip("/") if folder else scratch_folder(df.sparkSession, "stage")
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,60 +2,97 @@
 
 from __future__ import annotations
 
+import csv
+import json
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helmtrace.functions.times import date_from_name
 from helmtrace.operators.cleaning import date_range, dedup_pings, number
 from helmtrace.schemas import OPTIONAL_NUMBERS, OPTIONAL_TEXTS, PING_COLUMNS
 
 
+def day_of_path(path: str | Column) -> Column:
+    """The date in a file's name, or in the name of the folder it is a part file of."""
+    path = F.col(path) if isinstance(path, str) else path
+    return F.coalesce(date_from_name(path), date_from_name(F.regexp_replace(path, r"/[^/]*$", "")))
+
+
 def list_days(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per date: path, format and size of its file (the last path in name order).
+    """One row per dated file: date, path, size and format; a date may have any number of files.
 
     The listing is Spark's own, so it works for any Hadoop file system (``s3a://…`` with its
     credentials in the Hadoop configuration) and reads no file content.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    named = files.select("path", "length", date_from_name("path").alias("file_date"))
-    return (
-        named.filter(F.col("file_date").isNotNull())
-        .groupBy("file_date")
-        .agg(F.max(F.struct("path", "length")).alias("f"))
-        .select("file_date", "f.path", "f.length", F.regexp_extract("f.path", r"\.(\w+)$", 1).alias("format"))
-    )
+    form = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
+    named = files.select(day_of_path("path").alias("file_date"), "path", "length", form.alias("format"))
+    return named.filter(F.col("file_date").isNotNull() & form.isin("csv", "parquet"))
 
 
 def day_files(spark: SparkSession, folder: str, start: str | date, end: str | date) -> list[tuple[str, str]]:
-    """(format, path) of the dates in the range, in order; at most one per calendar date."""
+    """(format, path) of all files of the dates in the range, in order of date and path.
+
+    A date stored in both formats is read from both; ``load_full_range`` merges repeated reports.
+    """
     start, end = str(start), str(end)
     picked = list_days(spark, folder).filter(F.col("file_date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
-    return [(r["format"], r["path"]) for r in picked.orderBy("file_date").collect()]
-
+    return [(r["format"], r["path"]) for r in picked.orderBy("file_date", "path").collect()]
 
-def read_files(spark: SparkSession, form: str, paths: list[str]) -> DataFrame:
-    if form == "csv":
-        return spark.read.option("header", "true").csv(paths)
-    return spark.read.option("mergeSchema", "true").parquet(*paths)
 
+def _csv_header(spark: SparkSession, path: str, most: int = 1 << 16) -> list[str]:
+    """Column names of a CSV file: its first line, read through the Hadoop file system."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        line = jvm.org.apache.commons.io.IOUtils.toString(
+            jvm.org.apache.commons.io.input.BoundedInputStream(stream, most), "UTF-8"
+        ).split("\n", 1)[0]
+    finally:
+        stream.close()
+    return next(csv.reader([line.lstrip("\ufeff").rstrip("\r")]), [])
 
-def check_columns(spark: SparkSession, files: list[tuple[str, str]]) -> tuple[list[tuple[str, str]], dict[str, list[str]]]:
-    """Files with all required columns, and the missing columns of the others.
 
-    Reads headers and footers only, several files at a time.
-    """
+def file_layouts(spark: SparkSession, files: list[tuple[str, str]]) -> dict[tuple[str, T.StructType], list[str]]:
+    """Paths by format and layout; layouts come from headers and footers only, several files at a time."""
 
-    def lacking(file: tuple[str, str]) -> list[str]:
-        have = read_files(spark, file[0], [file[1]]).columns
-        return [c for c in PING_COLUMNS if c not in have]
+    def layout(file: tuple[str, str]) -> str:
+        form, path = file
+        if form == "csv":
+            return T.StructType([T.StructField(c, T.StringType()) for c in _csv_header(spark, path)]).json()
+        return spark.read.parquet(path).schema.json()
 
     with ThreadPoolExecutor(16) as pool:
-        missing = list(pool.map(lacking, files))
-    good = [f for f, m in zip(files, missing) if not m]
-    return good, {f[1]: m for f, m in zip(files, missing) if m}
+        found = list(pool.map(layout, files))
+    groups: dict[tuple[str, str], list[str]] = {}
+    for (form, path), text in zip(files, found):
+        groups.setdefault((form, text), []).append(path)
+    return {(form, T.StructType.fromJson(json.loads(text))): paths for (form, text), paths in groups.items()}
+
+
+def check_columns(layouts: dict[tuple[str, T.StructType], list[str]]) -> tuple[dict[tuple[str, T.StructType], list[str]], dict[str, list[str]]]:
+    """Layouts with all required columns, and what the files of the others lack."""
+    good, bad = {}, {}
+    for key, paths in layouts.items():
+        lacking = [c for c in PING_COLUMNS if c not in key[1].names]
+        if lacking:
+            bad |= {p: lacking for p in paths}
+        else:
+            good[key] = paths
+    return good, bad
+
+
+def read_layout(spark: SparkSession, form: str, layout: T.StructType, paths: list[str]) -> DataFrame:
+    """Files of one layout. CSV columns go by the names in the files' own header, which Spark checks again."""
+    if form == "csv":
+        return spark.read.schema(layout).option("header", "true").option("enforceSchema", "false").csv(paths)
+    return spark.read.schema(layout).parquet(*paths)
 
 
 def normalise(table: DataFrame, file_date: Column | None = None) -> DataFrame:
@@ -82,32 +119,30 @@ def normalise(table: DataFrame, file_date: Column | None = None) -> DataFrame:
 
 
 def read_pings(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
-    """One table over many daily files; ``file_date`` comes from the file name."""
-    parts = []
-    for form in ("csv", "parquet"):
-        paths = [p for f, p in files if f == form]
-        if paths:
-            parts.append(normalise(read_files(spark, form, paths), date_from_name("_metadata.file_path")))
-    if not parts:
+    """One table over many daily files of any column order; ``file_date`` comes from the file name.
+
+    Files without a required column are reported and left out; optional columns are null where a file lacks them.
+    """
+    good, bad = check_columns(file_layouts(spark, files))
+    for path, missing in bad.items():
+        print(f"skipped {path}: no {', '.join(missing)}")
+    if not good:
         raise FileNotFoundError("no daily files")
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more, allowMissingColumns=True)
-    return out
+    parts = [
+        normalise(read_layout(spark, form, layout, paths), day_of_path("_metadata.file_path"))
+        for (form, layout), paths in good.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def scan_days(spark: SparkSession, folder: str, start: str | date, end: str | date) -> DataFrame:
     """Pings of all usable daily files in an inclusive date range."""
-    good, bad = check_columns(spark, day_files(spark, folder, start, end))
-    for path, missing in bad.items():
-        print(f"skipped {path}: no {', '.join(missing)}")
-    return read_pings(spark, good)
+    return read_pings(spark, day_files(spark, folder, start, end))
 
 
 def read_history(spark: SparkSession, folder: str, start: str | date, end: str | date) -> DataFrame:
-    """The same for ``AIS_YYYY_MM_DD.parquet`` folders; missing days are skipped."""
-    files = [(f, p) for f, p in day_files(spark, folder, start, end) if f == "parquet"]
-    return read_pings(spark, files)
+    """The same for ``AIS_YYYY_MM_DD.parquet`` files and folders; missing days are skipped."""
+    return read_pings(spark, [(f, p) for f, p in day_files(spark, folder, start, end) if f == "parquet"])
 
 
 def ingest_daily_csv(spark: SparkSession, folder: str, target: str) -> None:
@@ -115,8 +150,8 @@ def ingest_daily_csv(spark: SparkSession, folder: str, target: str) -> None:
 
     A CSV split holds one date, so tasks write straight to their partition without a shuffle.
     """
-    raw = spark.read.option("header", "true").option("pathGlobFilter", "AIS_*.csv").csv(folder)
-    dated = normalise(raw, date_from_name("_metadata.file_path")).filter(F.col("file_date").isNotNull())
+    named = list_days(spark, folder).filter((F.col("format") == "csv") & F.col("path").rlike(r"/AIS_[^/]*$"))
+    dated = read_pings(spark, [("csv", r["path"]) for r in named.orderBy("path").collect()])
     (
         dated.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -10,29 +10,47 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from helmtrace.operators.cleaning import date_range, dedup_pings, filter_vessel_types
 from helmtrace.schemas import ANOMALY_SCHEMA
 
 
+STAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
 def params_folder(root: str, params: dict) -> str:
     """Folder named by a hash of the settings a stored table depends on."""
     text = json.dumps(params, sort_keys=True, default=str)
     return f"{root.rstrip('/')}/{hashlib.md5(text.encode()).hexdigest()}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path itself."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).limit(1).collect()
-    except AnalysisException:
-        return False
-    return True
+    """Whether a stored table is there: its folder holds something. No file is opened."""
+    fs, at = _file_system(spark, path)
+    return bool(fs.exists(at)) and (bool(fs.getFileStatus(at).isFile()) or len(fs.listStatus(at)) > 0)
 
 
-def write_day_cache(clean: DataFrame, root: str, params: dict) -> str:
-    """Cleaned days under a settings hash; dates written again replace only themselves."""
-    folder = params_folder(root, params)
+def source_state(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, int, int]]:
+    """Path, size and modification time of every file below ``paths``: what a cache made from them depends on."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    rows = files.select("path", "length", F.unix_micros("modificationTime").alias("time")).orderBy("path")
+    digest = rows.agg(F.count("*").alias("n"), F.sum("length").alias("size"), F.bit_xor(F.xxhash64("path", "length", "time")).alias("mix"))
+    return [tuple(r) for r in digest.collect()]
+
+
+def write_day_cache(clean: DataFrame, root: str, params: dict, sources: Sequence[str] = ()) -> str:
+    """Cleaned days under a hash of the settings and of the state of their source files.
+
+    Dates written again replace only themselves. Sources that changed since give another folder, so a stale
+    table is never served; the state is one row, whatever the number of files.
+    """
+    folder = params_folder(root, _cache_key(clean.sparkSession, params, sources))
     (
         clean.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -42,8 +60,12 @@ def write_day_cache(clean: DataFrame, root: str, params: dict) -> str:
     return folder
 
 
-def read_day_cache(spark: SparkSession, root: str, params: dict) -> DataFrame | None:
-    folder = params_folder(root, params)
+def _cache_key(spark: SparkSession, params: dict, sources: Sequence[str]) -> dict:
+    return {**params, "_sources": source_state(spark, sources)} if sources else params
+
+
+def read_day_cache(spark: SparkSession, root: str, params: dict, sources: Sequence[str] = ()) -> DataFrame | None:
+    folder = params_folder(root, _cache_key(spark, params, sources))
     return spark.read.parquet(folder) if exists(spark, folder) else None
 
 
@@ -65,9 +87,7 @@ def cache_inventory(spark: SparkSession, root: str) -> DataFrame:
 
 def clear_cache(spark: SparkSession, folder: str, start: str | None = None, end: str | None = None) -> int:
     """Deletes a stored table, or its date partitions in a range; returns how many were deleted."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    top = hadoop.Path(folder)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, top = _file_system(spark, folder)
     if not fs.exists(top):
         return 0
     if start is None and end is None:
@@ -93,8 +113,18 @@ def new_rows(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def append_consolidated(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Adds the unseen rows to the stored table; what is there is never rewritten."""
-    rows = new_rows(spark.read.parquet(path), new) if exists(spark, path) else dedup_pings(new)
+    """Adds the unseen rows to the stored table; what is there is never rewritten.
+
+    A repeat has the same time, so only stored partitions around the new rows' file dates and times are read for
+    the comparison (one day either way): their list, one value per calendar day, prunes the stored side.
+    Stored rows without a date are always compared.
+    """
+    rows = dedup_pings(new)
+    if exists(spark, path):
+        around = [F.date_add(F.coalesce(d, F.to_date("BaseDateTime")), n) for d in (F.col("file_date"), F.to_date("BaseDateTime")) for n in (-1, 0, 1)]
+        days = [r[0] for r in new.select(F.explode(F.array_distinct(F.array(*around))).alias("d")).distinct().collect() if r[0]]
+        old = spark.read.parquet(path)
+        rows = new_rows(old.filter(F.col("file_date").isin(days) | F.col("file_date").isNull()), new)
     rows.write.mode("append").partitionBy("file_date").parquet(path)
 
 
@@ -108,7 +138,7 @@ def union_days(parts: Sequence[DataFrame]) -> DataFrame:
 def write_anomalies(anomalies: DataFrame, path: str, form: str = "csv") -> None:
     writer = anomalies.write.mode("overwrite")
     if form == "csv":
-        writer.option("header", "true").option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+        writer.option("header", "true").option("timestampFormat", STAMP_FORMAT).csv(path)
     else:
         writer.parquet(path)
 
@@ -120,7 +150,7 @@ def load_anomalies(spark: SparkSession, path: str, form: str = "csv") -> DataFra
     reader = spark.read.schema(ANOMALY_SCHEMA)
     if form == "csv":
         return (
-            reader.option("header", "true").option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+            reader.option("header", "true").option("timestampFormat", STAMP_FORMAT).csv(path)
         )
     return reader.parquet(path)
 
@@ -132,7 +162,7 @@ def export_dataset(pings: DataFrame, path: str, info: dict[str, str] | None = No
         table = pings.sparkSession.createDataFrame(rows, "Parameter string, Value string")
     else:
         table = pings
-    table.write.mode("overwrite").option("header", "true").csv(path)
+    table.write.mode("overwrite").option("header", "true").option("timestampFormat", STAMP_FORMAT).csv(path)
 
 
 def write_statistics(tables: dict[str, DataFrame], folder: str, anomalies: DataFrame | None = None) -> None:
@@ -141,7 +171,8 @@ def write_statistics(tables: dict[str, DataFrame], folder: str, anomalies: DataF
         table.write.mode("overwrite").option("header", "true").csv(f"{folder}/{name}")
     if anomalies is not None:
         dated = anomalies.withColumn("day", F.coalesce("Date", F.to_date("BaseDateTime")))
-        dated.write.mode("overwrite").partitionBy("day").option("header", "true").csv(f"{folder}/anomalies")
+        writer = dated.write.mode("overwrite").partitionBy("day").option("header", "true")
+        writer.option("timestampFormat", STAMP_FORMAT).csv(f"{folder}/anomalies")
 
 
 def save_sequences(sequences: DataFrame, root: str, params: dict) -> str:

@@ -96,13 +96,13 @@ def test_loitering(spark):
     assert found(spark, rows, "Loitering") == []
 
 
-def test_identity_lists_five_names(spark):
+def test_identity_lists_all_names(spark):
     names = ["E", "D", "C", "B", "A", "F", None]
     rows = keep_days("2024-01-01") + [
         ping(2, t, name=n) for t, n in zip(minutes("2024-01-02 00:00:00", *range(7)), names)
     ] + [ping(3, t, name=n) for t, n in zip(minutes("2024-01-02 00:00:00", 0, 1), ["X", None])]
     hits = found(spark, rows, "Identity_Spoofing")
-    assert [(r.MMSI, r.NameCount, r.VesselNames) for r in hits] == [(2, 6, "E, D, C, B, A")]
+    assert [(r.MMSI, r.NameCount, r.VesselNames) for r in hits] == [(2, 6, "E, D, C, B, A, F")]
 
 
 def nm(a, b):
@@ -166,7 +166,8 @@ def test_cap_and_types(spark):
         ping(2, t, sog=12.0, cog=0.0, heading=90.0) for t in minutes("2024-01-02 00:00:00", *range(30))
     ]
     full = all_anomalies(table(spark, rows))
-    capped = detect_anomalies(table(spark, rows))
+    assert detect_anomalies(table(spark, rows)).filter("AnomalyType = 'Course'").count() == 30
+    capped = detect_anomalies(table(spark, rows), params=Params(max_anomalies_per_vessel=10))
     assert full.filter("AnomalyType = 'Course'").count() == 30
     assert capped.groupBy("MMSI").count().agg(F.max("count")).first()[0] == 10
     none = all_anomalies(table(spark, rows), params=Params(enabled_types=[]))

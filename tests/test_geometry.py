@@ -78,10 +78,10 @@ ZONES = [
 ]
 
 
-@pytest.mark.parametrize("control_rows", [20_000, 0])
-def test_zone_join_equals_all_pairs(spark, monkeypatch, control_rows):
+@pytest.mark.parametrize("control_bytes", [8 << 20, -1])
+def test_zone_join_equals_all_pairs(spark, monkeypatch, control_bytes):
     """Both join shapes against a test of every ping with every zone."""
-    monkeypatch.setattr(Z, "CONTROL_ROWS", control_rows)
+    monkeypatch.setattr(Z, "CONTROL_BYTES", control_bytes)
     rng = random.Random(5)
     around = [(10, 180), (10, -180), (89.5, 0), (89.9, 170), (60, 0), (64, 0), (0, 2), (75, 40), (5, 175)]
     spots = [(max(-90, min(90, a + rng.uniform(-6, 6))), (b + rng.uniform(-9, 9) + 180) % 360 - 180) for a, b in around * 40]

@@ -119,19 +119,49 @@ def test_recent_window_needs_two(spark):
     assert [(r.MMSI, r.BaseDateTime.day) for r in got] == [(1, 2), (1, 2)]
 
 
-def test_long_track_slides_by_a_hundredth(spark):
-    # 800 hourly pings: 129 six-hour windows would fit, so the slide grows and 97 fit.
+def test_long_tracks_keep_their_slide_and_all_windows(spark):
+    # 800 hourly pings: 130 windows of 24 hours fit at a slide of six.
     rows = table(spark, [ping(1, at("2024-01-01") + timedelta(hours=i)) for i in range(800)])
     starts = S.window_starts(K.segment_tracks(rows)).first()
-    assert (starts.slide_hours, starts.windows) == (7, 100)
+    assert (starts.slide_hours, starts.windows) == (6, 130)
     short = table(spark, [ping(1, at("2024-01-01") + timedelta(hours=i)) for i in range(10)])
-    assert S.training_sequences(short).count() == 0
+    assert S.training_sequences(short)[0].count() == 0
 
 
-def test_long_tracks_and_fast_rows_are_left_out(spark):
+def test_a_vessel_that_reports_every_two_minutes_keeps_its_sequences(spark):
+    rows = [ping(1, at("2024-01-01") + timedelta(minutes=2 * i), lat=10 + i / 1e4) for i in range(30 * 96)]
+    seqs, points = S.training_sequences(table(spark, rows))
+    assert {r.length for r in seqs.collect()} == {720}
+    per_window = points.groupBy("window_no").agg(F.count("*").alias("n"), F.max("position").alias("last")).collect()
+    assert {(r.n, r.last) for r in per_window} == {(720, 719)}
+    assert seqs.count() == len(per_window) == 12
+
+
+def test_fast_rows_are_left_out_of_tracks_of_any_length(spark):
     rows = [ping(1, at("2024-01-01") + timedelta(hours=i), sog=150.0 if i == 3 else 5.0) for i in range(40)]
-    seqs = S.training_sequences(table(spark, rows))
+    seqs, points = S.training_sequences(table(spark, rows))
     assert seqs.filter("window_no = 0").first().length == 23
-    assert S.training_sequences(table(spark, rows), filter_below=10).filter("window_no = 0").first().length == 24
-    assert S.training_sequences(table(spark, rows), max_points=39).count() == 0
-    assert S.training_sequences(table(spark, rows), max_length=10).count() == 0
+    assert points.filter("sog > 100").count() == 0
+
+
+def test_sequences_without_measurement_columns(spark):
+    rows = table(spark, [ping(1, at("2024-01-01") + timedelta(hours=i), lat=10 + i / 100) for i in range(60)]).drop("SOG", "COG", "Heading")
+    seqs, points = S.training_sequences(rows)
+    assert seqs.count() > 0 and seqs.filter("target_sog IS NOT NULL").count() == 0
+    assert [c for c in points.columns if c in S.FEATURES] == ["lat", "lon"]
+    assert S.sequence_matrix(points).first().feature_columns == ["lat", "lon"]
+    assert K.track_features(K.segment_tracks(rows, walk=True)).first().points == 60
+    assert C.filter_outliers(K.segment_tracks(rows), keys=K.TRACK).count() == 60
+
+
+def test_windows_of_one_huge_vessel_join_by_time_chunk(spark):
+    rows = table(spark, [ping(1, at("2024-01-01") + timedelta(hours=i)) for i in range(100)])
+    text = S.window_points(K.segment_tracks(rows))._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in text.splitlines() if "Join" in line and "segment_id" in line]
+    assert joins and all("time_chunk" in line for line in joins)
+
+
+def test_batches_stay_even_where_vessel_numbers_are_dense(spark):
+    rows = spark.range(5000).select((F.col("id") % 3 + 366000000).alias("MMSI"), F.lit(0).cast("long").alias("segment_id"), F.col("id").alias("window_no"), F.lit(5).cast("long").alias("length"))
+    got = S.length_batches(rows).groupBy("batch").count()
+    assert got.count() == 157 and got.filter("count > 32").count() == 0
