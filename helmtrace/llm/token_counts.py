@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helmtrace.llm.byte_bpe import encode_texts, token_ends
-from helmtrace.llm.common import whole
+from helmtrace.llm.byte_bpe import ROWS_AT_ONCE, encode_texts, token_ends
+from helmtrace.llm.common import whole, without
 
 SECTION = T.StructType([T.StructField("name", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 COUNTED = T.StructType(
@@ -28,6 +28,8 @@ COUNTED = T.StructType(
         T.StructField("n_outside", T.LongType()),
     ]
 )
+_SECTIONS = pa.list_(pa.struct([("name", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+_COUNTED = pa.struct([("counts", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("n_crossing", pa.int64()), ("n_outside", pa.int64())])
 
 
 def line_sections(text: str | None) -> list[tuple[str, int, int]]:
@@ -82,42 +84,40 @@ def attribute(starts: np.ndarray, ends: np.ndarray, sections: list[tuple[int, in
     return counts, crossing, outside
 
 
-def counts_column(text: Column, sections: Column, path: str) -> Column:
-    """Tokens per section (in the order of ``sections``), of the whole text, crossing and outside.
-
-    ``sections`` is an array of ``name, start, end`` in code points. Null texts are empty, a null array has
-    no section, and a section with a null start or end is empty.
-    """
-
-    @F.pandas_udf(COUNTED)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, spans in batches:
-            rows = []
-            plain = [t or "" for t in texts]
-            for one, ids, parts in zip(plain, encode_texts(plain, path), spans):
-                pairs = [(p["start"], p["end"]) if p and p["start"] is not None and p["end"] is not None else (0, 0) for p in (parts if parts is not None else [])]
-                counts, crossing, outside = attribute(*token_spans(one, ids, path), pairs)
-                rows.append((counts.astype(np.int32), len(ids) // 4, crossing, outside))
-            yield pd.DataFrame(rows, columns=COUNTED.names, index=texts.index)
-
-    return run(text, sections)
+def _counted(text: str, ids: bytes, sections: list[dict] | None, path: str) -> dict:
+    pairs = [(p["start"], p["end"]) if p and p["start"] is not None and p["end"] is not None else (0, 0) for p in sections or []]
+    counts, crossing, outside = attribute(*token_spans(text, ids, path), pairs)
+    return {"counts": counts, "n_tokens": len(ids) // 4, "n_crossing": crossing, "n_outside": outside}
 
 
-def lines_column(text: Column) -> Column:
-    """``line_sections`` of a column."""
+def attribute_sections(docs: DataFrame, path: str, text_col: str = "text", sections_col: str | None = None) -> DataFrame:
+    """``docs`` with ``_sections`` and ``_tokens``.
 
-    @F.pandas_udf(T.ArrayType(SECTION))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([[dict(zip(SECTION.names, s)) for s in line_sections(t)] for t in texts], index=texts.index)
-
-    return run(text)
-
-
-def attribute_sections(docs: DataFrame, path: str, text_col: str = "text", sections: Column | None = None) -> DataFrame:
-    """``docs`` with ``_sections`` and ``_tokens`` (see ``counts_column``); sections are the lines where none are given."""
-    with_sections = docs.withColumn("_sections", lines_column(F.col(f"`{text_col}`")) if sections is None else sections)
-    return with_sections.withColumn("_tokens", counts_column(F.col(f"`{text_col}`"), F.col("_sections"), path))
+    ``sections_col`` names an array of ``name, start, end`` in code points; without it the lines are the sections.
+    ``_tokens`` holds the tokens per section (``counts``, in the order of ``_sections``), of the whole text, those
+    that cross an edge and those outside all sections. Null texts are empty, a null array has no section, and a
+    section with a null start or end is empty. Columns of ``docs`` with these two names are replaced; no row is dropped.
+    """
+    given = docs.withColumn("_sections", F.col(sections_col)) if sections_col else without(docs, "_sections")
+    given = without(given, "_tokens")
+    kept = [c for c in given.columns if c != "_sections"]
+    given = given.select(*[F.col(f"`{c}`") for c in kept], *([F.col("_sections").cast(T.ArrayType(SECTION)).alias("_sections")] if sections_col else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                texts = [t or "" for t in part.column(text_col).to_pylist()]
+                if sections_col:
+                    sections = part.column("_sections").to_pylist()
+                else:
+                    sections = [[dict(zip(SECTION.names, s)) for s in line_sections(t)] for t in texts]
+                found = [_counted(t, i, s, path) for t, i, s in zip(texts, encode_texts(texts, path), sections)]
+                own = [part.column(part.schema.names.index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sections, _SECTIONS), pa.array(found, _COUNTED)], [*kept, "_sections", "_tokens"])
+
+    schema = T.StructType([*[given.schema[c] for c in kept], T.StructField("_sections", T.ArrayType(SECTION)), T.StructField("_tokens", COUNTED)])
+    return given.mapInArrow(run, schema)
 
 
 def field_sections(docs: DataFrame, fields: list[str], text_col: str = "_joined", sections_col: str = "_fields") -> DataFrame:

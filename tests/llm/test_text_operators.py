@@ -350,7 +350,7 @@ def test_line_counts_add_up_to_the_document(spark):
 def test_fields_are_sections(spark):
     docs = spark.createDataFrame([(1, "a title", None, "the body of it")], "doc_id long, title string, note string, body string")
     with_fields = token_counts.field_sections(docs, ["title", "note", "body"])
-    row = token_counts.attribute_sections(with_fields, COUNT_RANKS, "_joined", F.col("_fields")).first()
+    row = token_counts.attribute_sections(with_fields, COUNT_RANKS, "_joined", "_fields").first()
     assert [s["name"] for s in row["_sections"]] == ["title", "note", "body"]
     assert sum(row["_tokens"]["counts"]) == row["_tokens"]["n_tokens"] and min(row["_tokens"]["counts"]) >= 1
 
