@@ -150,6 +150,12 @@ def course_heading(pings: DataFrame, days: DataFrame, params: Params = Params())
     )
 
 
+def fits_latitudes(south: str, north: str, centre: str, params: Params) -> Column:
+    """Whether latitudes alone allow all positions to lie within the loitering radius of the centre."""
+    reach = 180.0 / 3.141592653589793 * params.loitering_radius_nm / 3440.1 + 1e-9
+    return (F.col(north) - F.col(centre) <= reach) & (F.col(centre) - F.col(south) <= reach)
+
+
 def loitering(pings: DataFrame, days: DataFrame, params: Params = Params()) -> DataFrame:
     """Vessel-days that stay within a radius of their mean position.
 
@@ -158,7 +164,6 @@ def loitering(pings: DataFrame, days: DataFrame, params: Params = Params()) -> D
     join is keyed by hour as well, so a busy vessel-day spreads over 24 keys.
     """
     rows = _compared_days(_only_pings(pings), days, params)
-    reach = 180.0 / 3.141592653589793 * params.loitering_radius_nm / 3440.1 + 1e-9
     calm = (
         rows.groupBy("MMSI", "file_date")
         .agg(
@@ -174,8 +179,7 @@ def loitering(pings: DataFrame, days: DataFrame, params: Params = Params()) -> D
         .filter(
             (F.col("LoiteringRecordCount") >= params.loitering_min_records)
             & (F.col("LoiteringDurationHours") >= params.loitering_hours)
-            & (F.col("_north") - F.col("_clat") <= reach)
-            & (F.col("_clat") - F.col("_south") <= reach)
+            & fits_latitudes("_south", "_north", "_clat", params)
         )
         .withColumn("_hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
         .drop("_from", "_to", "_south", "_north")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helmtrace.checks.fixtures import CHECK_PARAMS, ZONES
 from helmtrace.operators import anomalies as A
 from helmtrace.operators import cleaning as C
-from helmtrace.plans.detection import all_anomalies
+from helmtrace.plans.detection import all_anomalies, hourly_summary
 from tests.helpers import ping, table
 
 
@@ -42,3 +42,15 @@ def test_no_cross_products_in_detection(stored):
 def test_rank_limits_apply_before_the_shuffle(stored):
     assert plan(A.cap_per_vessel(stored.withColumn("Date", F.to_date("BaseDateTime")).withColumn("AnomalyType", F.lit("Speed")), 5)).count("WindowGroupLimit") == 2
     assert "WindowGroupLimit" in plan(C.recent_window(stored))
+
+
+def test_detectors_share_one_summary_that_hashes(spark, stored):
+    summary = plan(hourly_summary(stored, F.col("SOG") <= 102))
+    assert "SortAggregate" not in summary and "ObjectHashAggregate" not in summary and summary.count("HashAggregate") == 2
+    final = all_anomalies(stored, ZONES, CHECK_PARAMS)
+    final.collect()
+    text = final._jdf.queryExecution().executedPlan().toString()
+    ended = text.split("Initial Plan")[0]
+    # Course and zones read the pings again; all else comes from stored tables.
+    reads = [line for line in ended.splitlines() if "FileScan" in line and "VesselName" in line and "pings" in line]
+    assert len(reads) <= 2
