@@ -40,7 +40,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         folder = "file://" + tempfile.mkdtemp(prefix="helmtrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
