@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helmtrace.session import stage
+
 # The white space that separates words (U+0020 and U+0009 to U+000D).
 WHITE = " \t\n\x0b\f\r"
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -18,24 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors reach.
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: lineage ends there, lost executors cost nothing.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine)
-    a folder of this process is made, and named in the session for later calls.
+    The folder lies below ``spark.checkpoint.dir``, which all executors reach, and is deleted when the application ends.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="helmtrace-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends there, lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stage(df, name)
 
 
 def drop_stored(spark: SparkSession, df: DataFrame) -> None:
