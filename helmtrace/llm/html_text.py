@@ -33,21 +33,30 @@ CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words in class, id or role that name page furniture.
-FURNITURE = frozenset(
+# Words in class, id or role that name page furniture. Those of LAYOUT also stand in the names of
+# wrappers around the article ("with-sidebar"), so an article inside takes the mark away.
+LAYOUT = frozenset(
     (
         "ad ads advert adverts advertisement advertisements advertising adsbygoogle banner banners sponsor sponsored promo promos promotion "
         "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar "
-        "header masthead footer colophon sidebar sidebars aside rail widget widgets "
+        "header masthead footer colophon sidebar sidebars aside rail widget widgets search login signup"
+    ).split()
+)
+FURNITURE = LAYOUT | frozenset(
+    (
         "comment comments commentlist disqus respond reply replies "
-        "cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login "
-        "share sharing social related recommended recommendations search form copyright legal complementary contentinfo"
+        "cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription "
+        "share sharing social related recommended recommendations form copyright legal complementary contentinfo"
     ).split()
 )
+#: Unmarked elements nested deeper than this open no container of their own; their text stays.
+DEEPEST = 512
+#: Marks of elements: none, by a layout word, for good.
+OPEN, LAID_OUT, SHUT = range(3)
 SENTENCE_MARKS = frozenset(".,;:!?\"'()…。，、；：？！")
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(>|\Z)", re.S
 )
 _ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME_PARTS = re.compile(r"[a-z]+")
@@ -64,27 +73,37 @@ class Block:
         self.path, self.nodes, self.text, self.furniture, self.linked = path, nodes, text, furniture, linked
 
 
-def _is_furniture(name: str, attributes: str, inside: set[str]) -> bool:
-    if name in BOILERPLATE or (name == "header" and not inside & {"article", "main"}):
-        return True
-    if not attributes or name in ("html", "body", "main", "article"):
-        return False
+def _mark(name: str, attributes: str, inside: bool) -> int:
+    """How an element is marked by its name and attributes; ``inside``: within an article or main element."""
+    if name in BOILERPLATE or (name == "header" and not inside):
+        return SHUT
+    if not attributes or name in ("html", "body", "main"):
+        return OPEN
+    mark = OPEN
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return SHUT
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif not FURNITURE.isdisjoint(_NAME_PARTS.findall(_CAMEL.sub(r"\1 \2", value).lower())):
-            return True
-    return False
+                return SHUT
+            continue
+        words = FURNITURE.intersection(_NAME_PARTS.findall(_CAMEL.sub(r"\1 \2", value).lower()))
+        if inside:
+            words -= {"header", "masthead"}
+        if words - LAYOUT:
+            return SHUT
+        if words and name != "article":
+            mark = LAID_OUT
+    return mark
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order. Never fails: broken markup is read as browsers do, roughly."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # element, its number, whether it is or lies in furniture
+    stack: list[tuple[str, int, int]] = []  # element, its number, its mark
+    freed: set[int] = set()  # elements marked by a layout word that turned out to hold an article
+    marks: list[list[tuple[int, int]]] = []  # of each block, the marked elements around it
     parts: list[str] = []
     linked, links, number, at = 0, 0, 0, 0
 
@@ -96,7 +115,8 @@ def blocks(html: str) -> list[Block]:
             if text:
                 outer = [s for s in stack if s[0] not in INLINE]
                 path = "/".join(s[0] for s in outer)
-                out.append(Block(path, tuple(s[1] for s in outer), text, any(s[2] for s in stack), linked))
+                out.append(Block(path, tuple(s[1] for s in outer), text, False, linked))
+                marks.append([(s[1], s[2]) for s in stack if s[2]])
         linked = 0
 
     def text(piece: str) -> None:
@@ -180,15 +200,21 @@ def blocks(html: str) -> list[Block]:
         if m[3].rstrip().endswith("/") and name in RAW:
             continue
         number += 1
-        inside = {s[0] for s in stack} if name == "header" else set()
-        own = name in RAW or _is_furniture(name, m[3], inside)
+        inside = any(s[0] in ("article", "main") for s in stack)
+        own = SHUT if name in RAW else _mark(name, m[3], inside)
+        if name in ("article", "main") and own == OPEN:
+            freed.update(s[1] for s in stack if s[2] == LAID_OUT)
+        if len(stack) >= DEEPEST and own == OPEN:
+            continue
         stack.append((name, number, own))
         links += name == "a"
     flush()
+    for block, around in zip(out, marks):
+        block.furniture = any(mark == SHUT or number not in freed for number, mark in around)
     return out
 
 
-def _close(stack: list[tuple[str, int, bool]], name: str, until: tuple[str, ...]) -> None:
+def _close(stack: list[tuple[str, int, int]], name: str, until: tuple[str, ...]) -> None:
     for i in range(len(stack) - 1, -1, -1):
         if stack[i][0] == name:
             del stack[i:]
@@ -229,19 +255,20 @@ def main_text(html: str | None) -> str:
     spread = float(np.sqrt(np.average((values - mean) ** 2, weights=sizes)))
     content = [b for b, v in zip(open_blocks, values) if v >= mean - spread]
     root = _container(content)
-    depth = len(root)
-    return "\n".join(b.text for b in open_blocks if b.nodes[:depth] == root)
+    return "\n".join(b.text for b in open_blocks if root in (0, *b.nodes))
 
 
-def _container(content: list[Block], share: float = 0.6) -> tuple[int, ...]:
-    """The deepest container that holds at least ``share`` of the content text; inside it all content is kept."""
-    held: dict[tuple[int, ...], int] = {}
+def _container(content: list[Block], share: float = 0.6) -> int:
+    """The number of the deepest container that holds at least ``share`` of the content text; 0 is the page."""
+    held: dict[int, int] = {}
+    depth: dict[int, int] = {}
     total = 0
     for b in content:
         total += len(b.text)
-        for depth in range(len(b.nodes)):
-            held[b.nodes[:depth]] = held.get(b.nodes[:depth], 0) + len(b.text)
-    return max((n for n, size in held.items() if size >= share * total), key=len, default=())
+        for level, node in enumerate(b.nodes[:-1]):
+            held[node] = held.get(node, 0) + len(b.text)
+            depth[node] = level + 1
+    return max((n for n, size in held.items() if size >= share * total), key=depth.__getitem__, default=0)
 
 
 def text_column(html: Column) -> Column:

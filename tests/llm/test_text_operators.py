@@ -162,12 +162,19 @@ def test_main_text_of_pages():
         f"<main><h1>Head\n &amp;   line</h1><p><b>{text}<br><p>Short.</p></main>",
     ):
         assert main_text(PAGE.format(body=body)) == f"Head & line\n{text}\nShort."
+    for wrapped in (
+        f"<div class='layout with-sidebar'><article><div class=entry-header><h1>Head</h1></div><p>{text}</p></article><div class=sidebar><p>{text}</p></div></div>",
+        f"<div id=page-ads><main><h1>Head</h1><p>{text}</p><div id=comments><article class=comment-body><p>{text} Nice!</p></article></div></main></div>",
+    ):
+        assert main_text(wrapped) == f"Head\n{text}"
     assert main_text(None) == main_text("") == main_text("<nav>a</nav>") == ""
     assert main_text("plain text only") == "plain text only"
     assert main_text("<p>open &amp paragraph &am") == "open & paragraph &am"
     assert main_text("<p>a < b</p><p") == "a < b"
     assert main_text("<article>" + "<p>" + "x " * 100_000 + "</article>") == ("x " * 100_000).strip()
-    assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+    assert main_text("<div>" * 30_000 + "deep" + "</div>" * 30_000) == "deep"
+    assert len(main_text("<div>" + "".join(f"<div>{i}" for i in range(30_000)) + "</div>")) > 0
+    assert main_text("<p title=it's>one</p><p alt='a>b' class=\"x>y\">two's</p><p id=\"open>three</p>") == "one\ntwo's\nthree"
 
 
 def test_extraction_equals_the_article_of_given_pages(spark):
