@@ -17,6 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ END_ID = 1
 WASTE = 1 / 32
 #: The last class takes all shorter pieces and closes a sequence when the next one does not fit.
 CLASSES = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 Piece = tuple[int, int, bytes, int]  # document, start, ids (little-endian 32-bit), tokens of the document
 
@@ -44,8 +45,27 @@ _PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LET
 _SIMPLE = re.compile(r"[\x00-\x84\x86-\x9f\xa1-\xff]*")
 
 
-class Words(dict):
-    """Word to its ids as bytes. What is not known yet is encoded by the tokenizer, many at once.
+class _Kept(dict):
+    """A bounded cache of two generations: when it is full it becomes the old one, and what is used again moves up."""
+
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
+
+    def missing(self, keys: set) -> set:
+        """The keys that neither generation holds; all others are in this one afterwards."""
+        new = {k for k in keys if k not in self}
+        if len(self) + len(new) > self.most:
+            self.old = dict(self)
+            self.clear()
+            new = set(keys)
+        again = [k for k in new if k in self.old]
+        for k in again:
+            self[k] = self.old[k]
+        return new.difference(again)
+
+
+class Words:
+    """Ids of words as bytes. What is not known yet is encoded by the tokenizer, many at once.
 
     New words of plain characters are split into the tokenizer's own parts first: the parts repeat far more often
     than words do. All other words go through the whole tokenizer.
@@ -55,7 +75,7 @@ class Words(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.most, self.parts = most, {}
+        self.words, self.parts = _Kept(most), _Kept(most)
         self.tokenizer, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = self.merger.encode_special_tokens = True
         # The same vocabulary and merges for text that is lower case and split already.
@@ -65,38 +85,31 @@ class Words(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text. The tokenizer drops white space and never looks across it, so words are encoded one by one."""
         split = [t.encode("utf-8", "replace").split() for t in texts]
-        new = {w for words in split for w in words if w not in self}
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = {w for words in split for w in words}
         # Many small lists and no cycles: the cycle collector would only walk the cache over and over.
         collecting = gc.isenabled()
         gc.disable()
         try:
-            self._learn(new)
+            self._learn(self.words.missing(set(chain.from_iterable(split))))
         finally:
             if collecting:
                 gc.enable()
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
     def _learn(self, words: set[bytes]) -> None:
-        whole, cut, parts = [], [], self.parts
+        whole, cut = [], []
         for word in words:
             text = word.decode()
             if _SIMPLE.fullmatch(text):
                 cut.append((word, _PARTS.findall(text.lower())))
             else:
-                whole.append(word)
-        new = {p for _, some in cut for p in some if p not in parts}
-        if len(parts) + len(new) > self.most:
-            parts.clear()
-            new = {p for _, some in cut for p in some}
-        for part, ids in self._ids(self.merger, list(new)):
+                whole.append(text)
+        parts = self.parts
+        for part, ids in self._ids(self.merger, list(parts.missing({p for _, some in cut for p in some}))):
             parts[part] = ids
         for word, some in cut:
-            self[word] = parts[some[0]] if len(some) == 1 else b"".join([parts[p] for p in some])
-        for text, ids in self._ids(self.tokenizer, [w.decode() for w in whole]):
-            self[text.encode()] = ids
+            self.words[word] = parts[some[0]] if len(some) == 1 else b"".join([parts[p] for p in some])
+        for text, ids in self._ids(self.tokenizer, whole):
+            self.words[text.encode()] = ids
 
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> Iterator[tuple[str, bytes]]:
