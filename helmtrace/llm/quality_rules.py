@@ -31,7 +31,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Histograms of fewer characters or words are not judged.
 LEAST_CHARS, LEAST_WORDS = 200, 100
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.15, 0.36
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.185, 0.30
 
 _OWN = (
     "_words _windows _lines _pairs _places _n_words _word_chars _n_symbols _n_dup_lines _n_repeat_words _white _low _up "

@@ -74,7 +74,7 @@ WITH texts AS (
 )
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(c.d, 0) <= 0.15 AND coalesce(w.d, 0) <= 0.36 AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(c.d, 0) <= 0.185 AND coalesce(w.d, 0) <= 0.30 AS kept
 FROM base b LEFT JOIN class_distance c ON b.doc_id = c.doc_id LEFT JOIN word_distance w ON b.doc_id = w.doc_id
 """
 
