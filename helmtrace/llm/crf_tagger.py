@@ -161,7 +161,7 @@ class Tagger:
         return float((total - path).mean()), grad
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags ``(batch, steps)`` and how sure each is (its softmax over the tags there)."""
+        """Best tags ``(batch, steps)`` and how sure each is: its marginal probability, by forward and backward sums."""
         scores, _ = self.emissions(ids)
         steps, batch, tags = scores.shape
         moves = self.weights["moves"] + self.forbidden()
@@ -176,8 +176,13 @@ class Tagger:
         rows = np.arange(batch)
         for t in range(steps - 1, 0, -1):
             out[:, t - 1] = back[t][rows, out[:, t]]
-        shares = np.exp(scores - scores.max(axis=2, keepdims=True))
-        shares /= shares.sum(axis=2, keepdims=True)
+        alpha, beta = np.empty_like(scores), np.zeros_like(scores)
+        alpha[0] = scores[0] + self.weights["first"]
+        for t in range(1, steps):
+            alpha[t] = _logsum(alpha[t - 1][:, :, None] + moves, 1) + scores[t]
+        for t in range(steps - 1, 0, -1):
+            beta[t - 1] = _logsum(moves + (scores[t] + beta[t])[:, None, :], 2)
+        shares = np.exp(alpha + beta - _logsum(alpha[-1], 1)[None, :, None])
         return out, shares.transpose(1, 0, 2)[rows[:, None], np.arange(steps)[None, :], out]
 
 

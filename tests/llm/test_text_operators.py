@@ -397,6 +397,12 @@ def test_tagger_learns_held_out_forms():
     assert np.mean(right) > 0.9
 
 
+def test_tagger_finds_a_form_that_no_pattern_has(tagger):
+    text = "call me at (212) 555-0147 in the evening then"
+    assert pii.base_spans(text) == []
+    assert [text[a:b] for a, b, _ in pii.model_spans([text], tagger)[0]] == ["(212) 555-0147"]
+
+
 def test_gradient_of_the_tagger():
     from helmtrace.llm.crf_tagger import Tagger
 
