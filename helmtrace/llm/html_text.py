@@ -3,9 +3,10 @@
 A page becomes blocks of text, each with its root-to-leaf tag path. Per path, the length of its text
 and its sentence punctuation are summed; both ratios are smoothed along the page, fused into one
 score, and paths whose score passes a threshold drawn from the page's own scores are content.
-The container that holds most of the content text then gives the article: every block below it that
-is not boilerplate itself (a menu, a form, an advert, reader comments, ...), so that a heading or a
-short paragraph is not lost for being short.
+The smallest container that holds all content, and at least the article or main element around it, then
+gives the article: every block below it that is not boilerplate itself (a menu, a form, an advert,
+reader comments, ...), so that a heading or a short paragraph is not lost for being short. On a page
+without such an element all text that is neither marked nor a link counts as content.
 """
 
 from __future__ import annotations
@@ -254,11 +255,51 @@ def main_text(html: str | None) -> str:
     mean = float(np.average(values, weights=sizes))
     spread = float(np.sqrt(np.average((values - mean) ** 2, weights=sizes)))
     content = [b for b, v in zip(open_blocks, values) if v >= mean - spread]
-    root = _container(content)
-    return "\n".join(b.text for b in open_blocks if root in (0, *b.nodes))
-
-
-def _container(content: list[Block], share: float = 0.6) -> int:
+    linked = _link_paths(open_blocks)
+    framed = {n for b in content for n in _frames(b)}
+    if not framed:
+        # Nothing names the article, so a short heading or introduction outside the content's container belongs to it.
+        content += [b for b in open_blocks if b.path not in linked]
+    root = _around(content, open_blocks)
+    densest = _densest(content)
+    # Where the container had to be wide, paths of links outside the articles and the densest part are menus.
+    return "\n".join(
+        b.text for b in open_blocks if root in (0, *b.nodes) and (b.path not in linked or densest in (0, *b.nodes) or not framed.isdisjoint(b.nodes))
+    )
+
+
+def _link_paths(page: list[Block]) -> set[str]:
+    """The paths whose text is links for the most part."""
+    size: dict[str, int] = {}
+    for b in page:
+        size[b.path] = size.get(b.path, 0) + len(b.text) - 2 * b.linked
+    return {p for p, rest in size.items() if rest < 0}
+
+
+def _frames(block: Block) -> list[int]:
+    """The article and main elements around a block, outermost first."""
+    return [n for name, n in zip(block.path.split("/"), block.nodes) if name in ("article", "main")]
+
+
+def _around(content: list[Block], page: list[Block]) -> int:
+    """The smallest container of all content, or the outermost article or main element around that; 0 is the page."""
+    holders = {n for b in page for n in b.nodes[:-1]}
+    shared: list[int] | None = None
+    for b in content:
+        # A block's own element is a container only if it holds other blocks as well.
+        mine = list(b.nodes if b.nodes and b.nodes[-1] in holders else b.nodes[:-1])
+        if shared is None:
+            shared = mine
+        else:
+            same = 0
+            while same < min(len(shared), len(mine)) and shared[same] == mine[same]:
+                same += 1
+            del shared[same:]
+    around = [n for n in _frames(content[0]) if n in (shared or ())] if content else []
+    return around[0] if around else shared[-1] if shared else 0
+
+
+def _densest(content: list[Block], share: float = 0.6) -> int:
     """The number of the deepest container that holds at least ``share`` of the content text; 0 is the page."""
     held: dict[int, int] = {}
     depth: dict[int, int] = {}

@@ -177,6 +177,29 @@ def test_main_text_of_pages():
     assert main_text("<p title=it's>one</p><p alt='a>b' class=\"x>y\">two's</p><p id=\"open>three</p>") == "one\ntwo's\nthree"
 
 
+def test_main_text_keeps_what_lies_around_the_densest_part():
+    text = "A sentence of some length, with marks. Another one follows it, as is usual."
+    paragraphs = f"<p>{text}</p>" * 8
+    body = "\n".join([text] * 8)
+    for page in (
+        f"<article><h1>T</h1><p>intro</p><div class=entry-content>{paragraphs}</div></article>",
+        f"<main><div><h1>T</h1></div><div><p>intro</p></div><div><div>{paragraphs}</div></div></main>",
+        f"<div id=page><h1>T</h1><p>intro</p><div class=entry-content>{paragraphs}</div></div>",
+    ):
+        assert main_text(PAGE.format(body=page)) == f"T\nintro\n{body}"
+    for tag in ("article", "main", "div"):
+        two = f"<{tag}><section>{f'<p>{text}</p>' * 13}</section><section>{f'<p>{text}</p>' * 7}</section></{tag}>"
+        assert main_text(PAGE.format(body=two)) == "\n".join([text] * 20)
+        for dominant in (f"<ul>{f'<li>{text}' * 9}</ul>", f"<table>{f'<tr><td>{text}' * 9}</table>", f"<blockquote>{paragraphs}<p>{text}</p></blockquote>"):
+            around = f"<{tag}><h2>T</h2><p>before</p>{dominant}<p>after, {text}</p></{tag}>"
+            assert main_text(PAGE.format(body=around)) == "\n".join(["T", "before", *[text] * 9, f"after, {text}"])
+    # Menus without a mark stay out, beside an article or where nothing names it; links within it stay.
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Page {i}</a>" for i in range(9)) + "</ul>"
+    assert main_text(f"<body>{menu}<div id=page><h1>T</h1><div>{paragraphs}</div></div></body>") == f"T\n{body}"
+    assert main_text(f"<body>{menu}<p>tagline</p><div id=page><h1>T</h1><div>{paragraphs}</div></div></body>") == f"tagline\nT\n{body}"
+    assert main_text(f"<body>{menu}<article><h1>T</h1><div>{paragraphs}</div><ul><li><a href=/s>Source</a></ul></article></body>") == f"T\n{body}\nSource"
+
+
 def test_extraction_equals_the_article_of_given_pages(spark):
     from html import unescape
 
