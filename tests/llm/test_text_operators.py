@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from helmtrace.llm import byte_bpe, line_dedup, packing, pii, quality_model, quality_rules, simhash, token_counts
-from helmtrace.llm.html_text import extract, main_text
+from helmtrace.llm.html_text import Block, extract, main_text, path_scores
 from helmtrace.llm.queries import COUNT_RANKS, RANKS, WORD_PIECES
 
 SMALL = "/root/testdata/sf0.001"
@@ -200,6 +200,12 @@ def test_main_text_keeps_what_lies_around_the_densest_part():
     assert main_text(f"<body>{menu}<article><h1>T</h1><div>{paragraphs}</div><ul><li><a href=/s>Source</a></ul></article></body>") == f"T\n{body}\nSource"
 
 
+def test_marks_of_a_whole_block_count():
+    plain, dense = "name " * 400, "a, b. " * 500
+    scores = [path_scores([Block("p", (1,), text, False, 0)])["p"] for text in (plain + dense, dense + plain)]
+    assert scores[0] == scores[1] == pytest.approx((len(plain + dense) * (1 + 1000)) ** 0.5)
+
+
 def test_extraction_equals_the_article_of_given_pages(spark):
     from html import unescape
 
