@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helmtrace.checks.compare import connect, difference
-from helmtrace.llm import embedding_dedup, pii, quality_model, simhash
+from helmtrace.llm import embedding_dedup, pii, quality_model, shingle_dedup, simhash
 from helmtrace.llm.components import components
 from helmtrace.llm.queries import QUERIES
 from helmtrace.llm.sql import ORACLE
@@ -150,3 +150,47 @@ def test_simhash_keeps_one_of_a_large_group_of_copies(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the same words in every one of them "), F.when(F.col("id") % 3 == 0, "x").otherwise(F.col("id").cast("string"))).alias("text"))
     found = simhash.near_duplicates(docs)
     assert found.where("doc_id % 3 = 0 AND component_id != 0").count() == 0
+
+
+def planted_edits(seed=5):
+    """Texts of 300 words with 1 to 10 % of the words changed, spread out or in one run, and a crowd of near copies."""
+    rng = random.Random(seed)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for share in range(1, 11):
+        for run in (False, True):
+            base, n = words(300), 3 * share
+            places = range(100, 100 + n) if run else rng.sample(range(300), n)
+            edited = [f"x{i}" if i in places else w for i, w in enumerate(base)]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(edited))]
+    base = words(120)
+    for i in range(60):
+        edited = list(base)
+        for at in rng.sample(range(120), rng.randrange(6)):
+            edited[at] = f"y{rng.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(edited)))
+    return rows
+
+
+def groups_of_sets(rows):
+    sets = {i: shingle_dedup.shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    links = [(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return labels_by_hand(ids, links)
+
+
+def test_near_copies_with_planted_edits_leave_the_pipeline(spark):
+    rows = planted_edits()
+    want = groups_of_sets(rows)
+    assert want[1] == 0 and want[3] == 2 and len(set(want.values())) < len(rows) - 30
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["component_id"] for r in shingle_dedup.near_duplicates(docs).collect()} == want
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SMALL)
+    assert {r["doc_id"] for r in kept.collect()} == set(want.values())
+
+
+def test_each_text_of_an_id_stays_or_goes_by_itself_in_the_pipeline(spark):
+    copy, own = "one two three four five six seven", "a text that no other row of the table has"
+    rows = [(1, copy), (2, copy.upper()), (2, own), (None, copy), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, shingle_dedup.dedup(docs).collect()), key=str) == sorted([(1, copy), (2, own), (None, copy), (3, "")], key=str)
