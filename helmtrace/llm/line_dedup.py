@@ -2,8 +2,9 @@
 
 Only 128-bit hashes of line keys travel, never text. They are range-partitioned by
 ``(hash, document, position)`` and sorted, so a line that a third of all documents hold is spread over
-many partitions. Each partition streams its runs to the first and last document per hash; one row per
-hash and partition is merged. What comes back per document is a sparse bitmap of dropped lines.
+many partitions. The first and last document per hash are found by aggregation over the stored hashes,
+with one row per hash and task merged, and the marks by a join back; the sorted order is not used for it, since a
+run may cross partitions and the aggregation needs no Python and no table of edges. What comes back per document is a sparse bitmap of dropped lines.
 """
 
 from __future__ import annotations
