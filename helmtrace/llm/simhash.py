@@ -128,8 +128,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one per component, the one with the smallest id.
 
-    Rows with a null id stay. Of repeated rows with the id that stays, all stay.
+    Rows with a null id stay. Of repeated rows with the id that stays, all stay. If an id stands on rows with
+    different texts, each row stays or goes by its own fingerprint.
     """
     found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"), F.col("fp").alias("_gone_fp")).distinct()
+    own = add_fingerprints(docs, text_col, "_own_fp")
+    return own.join(gone, (own[id_col] == gone["_gone"]) & (own["_own_fp"] == gone["_gone_fp"]), "left_anti").drop("_own_fp")

@@ -293,6 +293,12 @@ def test_simhash_on_odd_rows(spark):
     assert sorted(kept, key=str) == sorted([1, 4, 4, 5, 6, None], key=str)
 
 
+def test_simhash_dedup_tells_two_texts_of_one_id_apart(spark):
+    rows = [(1, "one two three four"), (2, "one two three four"), (2, "quite another text of its own")]
+    kept = simhash.dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, kept)) == [rows[0], rows[2]]
+
+
 # Line dedup
 
 
