@@ -117,8 +117,72 @@ SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_i
 FROM embeddings e JOIN least ON e.vec_id = least.v LEFT JOIN counts ON e.vec_id = counts.a
 """
 
+DECONTAMINATION = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark
+), wins AS (
+  SELECT DISTINCT item_id::VARCHAR AS item, least(10, len(ws)) AS k, array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS w
+  FROM items, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS t(i) WHERE len(ws) > 0
+), spots AS (
+  SELECT doc_id, i, k, array_to_string(ws[i : i + k - 1], ' ') AS w
+  FROM docs, (SELECT DISTINCT k FROM wins), unnest(range(1, len(ws) - k + 2)) AS t(i)
+), hits AS (
+  SELECT doc_id, i, spots.k AS k, item FROM spots JOIN wins ON spots.k = wins.k AND spots.w = wins.w
+), hit_words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT DISTINCT doc_id, i, k FROM hits), unnest(range(i, i + k)) AS t(p) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items i ON d.doc_id = i.doc_id
+"""
+
+_ROUND = """, assigned_{r} AS (
+  SELECT vec_id, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM (
+    SELECT v.vec_id, m.c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS d
+    FROM cells v JOIN centroids_{r} m ON v.k = m.k GROUP BY v.vec_id, m.c) GROUP BY vec_id
+), centroids_{n} AS (
+  SELECT m.c, m.k, coalesce(g.x, m.x) AS x
+  FROM centroids_{r} m LEFT JOIN (
+    SELECT a.c, v.k, CASE WHEN sum(v.x) >= 0 THEN sum(v.x) // count(*) ELSE -((count(*) - 1 - sum(v.x)) // count(*)) END::BIGINT AS x
+    FROM assigned_{r} a JOIN cells v ON a.vec_id = v.vec_id GROUP BY a.c, v.k) g ON m.c = g.c AND m.k = g.k
+)"""
+
+VANTAGE_CLUSTERS = (
+    """
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), cells AS (
+  SELECT vec_id, unnest(x) AS x, unnest(range(64)) AS k FROM kept
+), starts AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, vec_id FROM kept QUALIFY c < 16
+), centroids_0 AS (
+  SELECT c, k, x FROM starts JOIN cells ON starts.vec_id = cells.vec_id
+)"""
+    + "".join(_ROUND.format(r=r, n=r + 1) for r in range(4))
+    + """, named AS (
+  SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY k)) AS centroid_sha256 FROM centroids_3 GROUP BY c
+)
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia,
+       sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM assigned_3 a JOIN named ON a.c = named.c
+"""
+)
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": QUALITY_RULES,
     "op5_line_dedup": LINE_DEDUP,
     "op10_embedding_dedup": EMBEDDING_DEDUP,
+    "op12_decontamination": DECONTAMINATION,
+    "op13_vantage_clusters": VANTAGE_CLUSTERS,
 }
