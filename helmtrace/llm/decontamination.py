@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helmtrace.llm.common import stored, whole, without
+from helmtrace.llm.word_hashes import LOWER, Words, window_hashes, words_of
 
 WINDOW = 10
 BROADCAST_BYTES = 32 << 20
@@ -27,54 +28,6 @@ BROADCAST_BYTES = 32 << 20
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLOCK = 1 << 20
-_SPREAD = 4_096
-_rng = np.random.default_rng(12)
-_BYTE_WEIGHTS = _rng.integers(0, 1 << 63, _SPREAD, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_WORD_WEIGHTS = _rng.integers(0, 1 << 63, _SPREAD, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_codes = np.arange(256, dtype=np.uint8)
-_LOWER = np.where((_codes >= 65) & (_codes <= 90), _codes + 32, _codes).astype(np.uint8)
-_IN_WORD = (_codes >= 128) | ((_LOWER >= 97) & (_LOWER <= 122)) | ((_codes >= 48) & (_codes <= 57))
-
-
-class Words(NamedTuple):
-    """The words of a block of bytes: where they start and end, and their hashes."""
-
-    starts: np.ndarray
-    ends: np.ndarray
-    hashes: np.ndarray
-
-
-def words_of(block: np.ndarray) -> Words:
-    """The words of a block; hashed by at most ``_BLOCK`` bytes at a time (or one longer word)."""
-    inside = np.zeros(len(block) + 2, dtype=bool)
-    inside[1:-1] = _IN_WORD[block]
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    hashes = np.empty(len(starts), dtype=np.uint64)
-    lo = 0
-    while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + _BLOCK)))
-        part = slice(int(starts[lo]), int(ends[hi - 1]))
-        letters = _LOWER[block[part][inside[1:-1][part]]].astype(np.uint64) + np.uint64(1)
-        lengths = ends[lo:hi] - starts[lo:hi]
-        first = np.cumsum(lengths) - lengths
-        place = np.arange(len(letters)) - np.repeat(first, lengths)
-        h = np.add.reduceat(letters * _BYTE_WEIGHTS[place % _SPREAD], first)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        hashes[lo:hi] = h ^ (h >> np.uint64(29))
-        lo = hi
-    return Words(starts, ends, hashes)
-
-
-def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
-    """The hash of every ``length`` consecutive words."""
-    count = len(hashes) - length + 1
-    if count <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    total = np.zeros(count, dtype=np.uint64)
-    for k in range(length):
-        total += hashes[k : k + count] * _WORD_WEIGHTS[k % _SPREAD]
-    return total ^ (total >> np.uint64(31))
 
 
 class Index:
@@ -123,7 +76,7 @@ def scan(texts: list[bytes], index: Index) -> list[Found]:
     items: dict[int, set[str]] = {}
     for length, at in index.candidates(words):
         for k in at[owner[at] == owner[at + length - 1]].tolist():
-            window = b" ".join(_LOWER[block[s:e]].tobytes() for s, e in zip(words.starts[k : k + length], words.ends[k : k + length]))
+            window = b" ".join(LOWER[block[s:e]].tobytes() for s, e in zip(words.starts[k : k + length], words.ends[k : k + length]))
             named = index.items.get(window)
             if named is not None:
                 hit[k] += 1

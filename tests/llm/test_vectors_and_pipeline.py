@@ -101,8 +101,8 @@ def test_queries_equal_their_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_queries_cover_their_whole_table(spark, name):
     out = QUERIES[name](spark, SMALL)
-    key = "page_id" if "page_id" in out.columns else "doc_id"
-    source = spark.read.parquet(f"{SMALL}/{'pages' if key == 'page_id' else 'documents'}.parquet")
+    key, name = next((k, t) for k, t in {"page_id": "pages", "vec_id": "embeddings", "doc_id": "documents"}.items() if k in out.columns)
+    source = spark.read.parquet(f"{SMALL}/{name}.parquet")
     assert {r[0] for r in out.select(key).distinct().collect()} == {r[0] for r in source.select(key).collect()}
 
 
@@ -189,6 +189,49 @@ def test_near_copies_with_planted_edits_leave_the_pipeline(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(want.values())
 
 
+def template_crowd(kinds, own, shared=200, seed=8):
+    """Texts with a template in common and ``own`` words of their own each, which all keys by the template throw together."""
+    rng = random.Random(seed)
+    template = [f"t{rng.randrange(10**6)}" for _ in range(shared)]
+    return [(i, " ".join(template + [f"o{i}x{k}" for k in range(own[i % len(own)])])) for i in range(kinds)]
+
+
+def members_of(spark, rows, component):
+    made = [(i, component(i), sorted(np.array(shingle_dedup.shingle_hashes(t.encode())).view(np.int64).tolist())) for i, t in rows]
+    return spark.createDataFrame(made, "v long, component long, hashes array<long>")
+
+
+@pytest.mark.parametrize("component", [lambda i: i, lambda i: i % 7, lambda i: 0 if i % 5 else i], ids=["apart", "mixed", "main"])
+def test_prefix_pairs_lose_no_link_between_components(spark, component):
+    rng = random.Random(11)
+    rows = planted_edits() + [(5000 + i, t) for i, t in template_crowd(50, [3, 9, 20, 30, 40, 60])]
+    base = [f"b{k}" for k in range(400)]
+    rows += [(6000 + i, " ".join(base[: rng.randrange(300, 401)])) for i in range(40)]  # one inside the other, of many sizes
+    rows += [(7000 + i, f"tiny {i % 3} text") for i in range(9)] + [(7100, "one " * 20_000), (7101, "one " * 15_000 + "two")]
+    sets = {i: shingle_dedup.shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    links = {(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    found = {tuple(sorted(r)) for r in shingle_dedup.prefix_pairs(members_of(spark, rows, component)).collect()}
+    assert {(a, b) for a, b in links if component(a) != component(b)} <= found
+    assert all(component(a) != component(b) for a, b in found)
+
+
+def test_a_crowd_of_unlike_texts_of_one_template_makes_no_pairs(spark):
+    # 200 shared words and 40 or 100 own ones: similarity 0.7 and 0.5, so no pair is a link.
+    rows = template_crowd(3_000, [40, 100])
+    assert shingle_dedup.prefix_pairs(members_of(spark, rows, lambda i: i)).count() == 0
+
+
+def test_near_duplicates_in_a_crowd_of_unlike_texts(spark):
+    rows = template_crowd(300, [100]) + [(1000 + i, t.replace("o7x3 ", "changed ")) for i, t in template_crowd(300, [100])[7:8]]
+    rows += [(2000, None), (2001, ""), (2002, "  \n"), (2003, "word " * 60_000)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, hashes int")
+    found = {r["doc_id"]: r["component_id"] for r in shingle_dedup.near_duplicates(docs).collect()}
+    assert found == {i: {1007: 7, 2001: 2000, 2002: 2000}.get(i, i) for i, _ in rows}
+    empty = docs.limit(0)
+    assert shingle_dedup.near_duplicates(empty).collect() == [] and shingle_dedup.dedup(empty).columns == docs.columns
+
+
 def test_each_text_of_an_id_stays_or_goes_by_itself_in_the_pipeline(spark):
     copy, own = "one two three four five six seven", "a text that no other row of the table has"
     rows = [(1, copy), (2, copy.upper()), (2, own), (None, copy), (3, ""), (4, None)]
