@@ -7,6 +7,8 @@ nearest language counts. A histogram of too few characters or words says little
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,10 @@ MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.185, 0.30
 
 _OWN = (
     "_words _windows _lines _pairs _places _n_words _word_chars _n_symbols _n_dup_lines _n_repeat_words _white _low _up "
-    "_digit _known _classes _common _class_distance _word_distance _base_failed _kept"
+    "_digit _known _classes _common _class_distance _word_distance _base_failed _kept _rest _words_0 _words_1 _words_2 _words_3"
 ).split()
+#: Signs of the common words start here, one byte each.
+_FIRST_SIGN = 48
 _COMMON = sorted({w for shares in WORD_SHARES.values() for w in shares})
 
 
@@ -73,40 +77,60 @@ def _twins(sorted_pairs: Column) -> Column:
 
 
 def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words`` and working columns.
+    """``docs`` with ``_n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words``, ``_rest`` and ``_known``.
 
-    Words are runs without white space (U+0020, U+0009 to U+000D); a null text has none.
+    Words are runs without white space (U+0020, U+0009 to U+000D); a null text has none. ``_rest`` is the text without
+    lower-case letters, ``_known`` the signs of its common words.
     """
     text = whole(text_col)
-    words = F.split(F.btrim(text, F.lit(WHITE)), WORD_BREAK)
-    one = docs.select("*", F.when(F.length(F.btrim(text, F.lit(WHITE))) > 0, words).otherwise(F.array().cast("array<string>")).alias("_words"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    # Only a text without words gives an empty piece.
+    words = F.array_remove(F.split(F.btrim(text, F.lit(WHITE)), WORD_BREAK), "")
+    # Most characters are lower-case letters: all other classes are counted on what they leave.
+    one = docs.select("*", words.alias("_words"), F.regexp_replace(text, r"\p{Ll}+", "").alias("_rest"))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
-    two = one.select("*", repeated_words(F.col("_words")).alias("_windows"), lines.alias("_lines"))
+    # The words end here: no later step carries them on.
+    two = one.select(
+        *own, "_rest", F.size("_words").cast("long").alias("_n_words"), _signs(F.col("_words")).alias("_known"),
+        repeated_words(F.col("_words")).alias("_windows"), lines.alias("_lines"),
+    )
     repeats = F.size("_windows") > F.size(F.array_distinct("_windows"))
     pairs = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    three = two.select("*", F.when(repeats, pairs).alias("_pairs"))
-    four = three.select("*", F.when(F.col("_pairs").isNotNull(), _twins(F.col("_pairs"))).alias("_places"))
+    doubled = (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_n_dup_lines")
+    three = two.select(*own, "_rest", "_n_words", "_known", doubled, F.when(repeats, pairs).alias("_pairs"))
+    four = three.withColumn("_places", F.when(F.col("_pairs").isNotNull(), _twins(F.col("_pairs")))).drop("_pairs")
     return four.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        "_words",
-        F.size("_words").cast("long").alias("_n_words"),
-        (F.length(text) - _count(text, WORD_BREAK)).cast("long").alias("_word_chars"),
-        _count(text, f"[{SYMBOLS}]+").cast("long").alias("_n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_n_dup_lines"),
+        *own,
+        "_rest",
+        "_known",
+        "_n_words",
+        (F.length(text) - _count(F.col("_rest"), WORD_BREAK)).cast("long").alias("_word_chars"),
+        _count(F.col("_rest"), f"[{SYMBOLS}]+").cast("long").alias("_n_symbols"),
+        "_n_dup_lines",
         F.when(F.col("_places").isNotNull(), _covered(F.col("_places"))).otherwise(0).cast("long").alias("_n_repeat_words"),
     )
 
 
-def distance(counts: Column, shares: list[float]) -> Column:
-    """Jensen-Shannon distance, base 2, of an array of counts and fixed shares; null where nothing was counted."""
-    total = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x)
+def _signs(words: Column) -> Column:
+    """One sign for each word that is a common one, in one string; words go without marks at their ends and in lower case."""
+    trimmed = lambda w: F.lower(F.btrim(w, F.lit(".,;:!?\"'()")))
+    sign = F.create_map(*[x for i, w in enumerate(_COMMON) for x in (F.lit(w), F.lit(chr(_FIRST_SIGN + i)))])
+    return F.array_join(F.transform(F.filter(words, lambda w: trimmed(w).isin(*_COMMON)), lambda w: F.element_at(sign, trimmed(w))), "")
+
+
+def _information(shares: Column) -> Column:
+    """The sum of p * log2(p) over an array of shares."""
+    return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc + F.when(p > 0, p * F.log2(p)).otherwise(0.0))
 
-    def term(p: Column, q: Column) -> Column:
-        m = (p + q) / 2
-        return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
 
-    parts = F.zip_with(counts, F.array(*[F.lit(s) for s in shares]), lambda x, q: term(x / total, q))
-    return F.when(total > 0, F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x) / 2, F.lit(0.0))))
+def distance(shares: Column, reference: list[float]) -> Column:
+    """Jensen-Shannon distance, base 2, of an array of shares and fixed ones; null for null shares.
+
+    The square root of the entropy of the mean less the mean entropy: one logarithm a bin and language.
+    """
+    fixed = sum(q * math.log2(q) for q in reference if q > 0)
+    middle = F.zip_with(shares, F.array(*[F.lit(q) for q in reference]), lambda p, q: (p + q) / 2)
+    return F.sqrt(F.greatest((_information(shares) + F.lit(fixed)) / 2 - _information(middle), F.lit(0.0)))
 
 
 def _full(shares: list[float]) -> list[float]:
@@ -115,15 +139,20 @@ def _full(shares: list[float]) -> list[float]:
 
 
 def histograms(base: DataFrame, text_col: str = "text") -> DataFrame:
-    """``base`` (of ``base_statistics``) with ``_classes`` (six counts) and ``_common`` (counts of the common words)."""
-    text = whole(text_col)
-    white, low, up, digit = (F.length(text) - F.col("_word_chars"), _count(text, r"\p{Ll}+"), _count(text, r"\p{Lu}+"), _count(text, "[0-9]+"))
+    """``base`` (of ``base_statistics``) with ``_classes`` (six shares) and ``_common`` (counts of the common words).
+
+    A text without characters has null shares.
+    """
+    length = F.length(whole(text_col))
+    rest = F.col("_rest")
+    white, low, up, digit = (length - F.col("_word_chars"), length - F.length(rest), _count(rest, r"\p{Lu}+"), _count(rest, "[0-9]+"))
     counted = base.select("*", *[c.cast("double").alias(n) for n, c in (("_white", white), ("_low", low), ("_up", up), ("_digit", digit))])
-    known = F.filter(F.transform("_words", lambda w: F.lower(F.btrim(w, F.lit(".,;:!?\"'()")))), lambda w: w.isin(*_COMMON))
-    counted = counted.select("*", known.alias("_known"))
-    classes = F.array("_white", "_low", "_up", "_digit", F.col("_n_symbols").cast("double"), F.length(text) - F.col("_white") - F.col("_low") - F.col("_up") - F.col("_digit") - F.col("_n_symbols"))
-    common = F.transform(F.array(*[F.lit(w) for w in _COMMON]), lambda c: F.size(F.filter("_known", lambda w: w == c)).cast("double"))
-    return counted.select(*[F.col(f"`{c}`") for c in base.columns], classes.alias("_classes"), common.alias("_common"))
+    symbols = F.col("_n_symbols").cast("double")
+    classes = F.array("_white", "_low", "_up", "_digit", symbols, length - F.col("_white") - F.col("_low") - F.col("_up") - F.col("_digit") - symbols)
+    shares = F.when(length > 0, F.transform(classes, lambda n: n / length))
+    signs = [chr(_FIRST_SIGN + i) for i in range(len(_COMMON))]
+    common = [(F.length("_known") - F.length(F.replace("_known", F.lit(c), F.lit("")))).cast("double") for c in signs]
+    return counted.select(*[F.col(f"`{c}`") for c in base.columns], shares.alias("_classes"), F.array(*common).alias("_common"))
 
 
 def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -137,20 +166,23 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     docs = without(docs, *_OWN)
     seen = histograms(base_statistics(docs, text_col), text_col)
     spot = {w: i for i, w in enumerate(_COMMON)}
-    class_distance = F.least(*[distance(F.col("_classes"), shares) for shares in CLASS_SHARES.values()])
-    per_language = []
-    for shares in WORD_SHARES.values():
-        own = [F.get("_common", F.lit(spot[w])) for w in shares]
-        rest = F.col("_n_words").cast("double")
+    languages = []
+    for i, shares in enumerate(WORD_SHARES.values()):
+        own = [F.get("_common", F.lit(spot[w])) / F.col("_n_words") for w in shares]
+        rest = F.lit(1.0)
         for c in own:
             rest = rest - c
-        per_language.append(distance(F.array(*own, rest), _full(list(shares.values()))))
+        languages.append(F.when(F.col("_n_words") >= LEAST_WORDS, F.array(*own, F.greatest(rest, F.lit(0.0)))).alias(f"_words_{i}"))
+    # The arrays of shares are made before the distances, which read each of them several times.
+    seen = seen.select("*", *languages)
+    class_distance = F.least(*[distance(F.col("_classes"), shares) for shares in CLASS_SHARES.values()])
+    word_distance = F.least(*[distance(F.col(f"_words_{i}"), _full(list(shares.values()))) for i, shares in enumerate(WORD_SHARES.values())])
     base_failed = (F.col("_n_words") < MIN_WORDS) | (F.col("_n_repeat_words") * 100 > F.col("_n_words") * MAX_REPEATED)
     told = seen.select(
         "*",
         F.when(F.length(whole(text_col)) >= LEAST_CHARS, class_distance).alias("_class_distance"),
-        F.when(F.col("_n_words") >= LEAST_WORDS, F.least(*per_language)).alias("_word_distance"),
+        word_distance.alias("_word_distance"),
         base_failed.alias("_base_failed"),
     )
     near = (F.coalesce("_class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("_word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    return told.withColumn("_kept", ~F.col("_base_failed") & near).drop("_words", "_classes", "_common")
+    return told.withColumn("_kept", ~F.col("_base_failed") & near).drop("_rest", "_known", "_classes", "_common", *[f"_words_{i}" for i in range(len(WORD_SHARES))])
