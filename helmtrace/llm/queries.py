@@ -100,7 +100,7 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document, placed into sequences."""
-    return pack(table(spark, sf_dir, "documents"), WORD_PIECES).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), WORD_PIECES, with_ids=False)
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

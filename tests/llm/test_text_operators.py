@@ -551,7 +551,6 @@ def check_sequences(rows, ids):
 
 def tokens(texts):
     tokenizer = Tokenizer.from_file(WORD_PIECES)
-    tokenizer.encode_special_tokens = True
     return {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for k, t in texts.items()}
 
 
@@ -562,6 +561,7 @@ def test_packing_places_every_id_once_with_little_padding(spark):
 
 def test_packing_odd_texts(spark):
     texts = {1: None, 2: "", 3: "ÀÉ don't <|endoftext|> 12 ſΣΣ ǅ́", 4: "́x  é e ́ y", 5: LONG, 6: "日本語\x1cx\ny\x0bz"}
+    texts |= {7: "a<|endoftext|>B <|ENDOFTEXT|> <|startoftext|><|endoftext|> < |x|>", 8: "\x85a\xa0b caf\xe9 \xb5 \xbd \x00 \x1d", 9: "it's IT'S 's\n\n.\t!? ''re"}
     docs = spark.createDataFrame(list(texts.items()), SCHEMA)
     check_sequences(packing.pack(docs, WORD_PIECES).collect(), tokens(texts))
     assert packing.pack(empty(spark), WORD_PIECES).count() == 0
