@@ -54,20 +54,52 @@ def _valid(kind: str, found: str) -> bool:
     if kind == "phone":
         return 8 <= len(digits) <= 15
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in found.split("."))
     return True
 
 
+# The same matches as the patterns', in time that is linear in the text: an address of numbers starts where a run of digits does,
+# and an email is looked for around each at sign.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_NAME_BACKWARDS = re.compile(r"[A-Za-z0-9._%+-]+")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    done, at = 0, text.find("@")
+    while at >= 0:
+        host = _HOST.match(text, at + 1)
+        if host:
+            back = 64
+            while True:
+                part = text[max(done, at - back) : at][::-1]
+                name = _NAME_BACKWARDS.match(part)
+                if not name or name.end() < len(part) or at - back <= done:
+                    break
+                back *= 4
+            if name:
+                yield at - name.end(), host.end()
+                done = host.end()
+        at = text.find("@", max(done, at + 1))
+
+
+def _matches(kind: str, text: str, first_digit: int) -> Iterator[tuple[int, int]]:
+    """Where a kind's pattern matches, leftmost and without overlap."""
+    if kind == "email":
+        return _emails(text)
+    return (m.span() for m in (_IP if kind == "ip" else PATTERNS[kind]).finditer(text, 0 if kind == "phone" else first_digit))
+
+
 def base_spans(text: str) -> list[Span]:
     """The patterns' spans, by kind and start; leftmost without overlap per kind, failing ones dropped."""
     out: list[Span] = []
     digit = _DIGIT.search(text)
-    for kind, pattern in PATTERNS.items():
+    for kind in KINDS:
         if (kind == "email" and "@" not in text) or (kind != "email" and not digit) or (kind == "phone" and "+" not in text):
             continue
-        for m in pattern.finditer(text, max(0, digit.start()) if kind in ("ip", "card") else 0):
-            if _valid(kind, m[0]):
-                out.append((m.start(), m.end(), kind))
+        for start, end in _matches(kind, text, digit.start() if digit else 0):
+            if _valid(kind, text[start:end]):
+                out.append((start, end, kind))
     return out
 
 

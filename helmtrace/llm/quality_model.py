@@ -177,7 +177,7 @@ def fit(
     """Learns from at most ``sample_rows`` labelled rows whose fold is not held out.
 
     The sample goes by the hash of the id, so it does not depend on order or partitions. Null ids and
-    null labels are left out. Without usable rows every text gets the score 0.5.
+    null labels are left out. Of repeated rows of an id one is learned from. Without usable rows every text gets the score 0.5.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col) != HELD_OUT))
     chosen = (
@@ -191,7 +191,9 @@ def fit(
         F.broadcast(chosen), F.col("_id") == F.col("_chosen")
     )
     learned = texts.select("_id", "_label", statistics_column(F.col("_text")).alias("row"), F.crc32(F.col("_text").cast("binary")).alias("_tie"))
-    found = learned.select("_id", "_tie", "_label", "row").toPandas().sort_values(["_id", "_tie"])
+    # One row per chosen id, whatever its repeated rows hold: that with the smallest hash.
+    one = learned.groupBy("_id").agg(F.min(F.struct("_tie", "_label", "row")).alias("row")).select("_id", "row._label", "row.row")
+    found = one.toPandas().sort_values("_id")
     rows = np.array(found["row"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return grow(rows, found["_label"].to_numpy(dtype=np.float64))
 
@@ -209,7 +211,10 @@ def score_column(text: Column, forest: Forest) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with ``_score``: how likely label 1 is. Null texts score as empty ones; no row is dropped."""
+    """``docs`` with ``_score``: how likely label 1 is. Null texts score as empty ones; no row is dropped.
+
+    A column ``_score`` of ``docs`` is replaced.
+    """
     forest = fit(docs, labels, id_col, text_col, label_col, sample_rows)
     return docs.withColumn("_score", score_column(whole(text_col), forest))
 

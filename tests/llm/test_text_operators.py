@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -598,3 +599,55 @@ def test_sha_of_queries_matches_texts(spark):
     texts = texts_of(documents(spark))
     for r in op2_byte_bpe(spark, SMALL).collect():
         assert r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest()
+
+
+# The contract's patterns, written out again.
+PLAIN_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def spans_by_hand(text):
+    out = []
+    for kind, pattern in PLAIN_PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            doubled = [int(d) * (2 if i % 2 else 1) for i, d in enumerate(reversed(digits))]
+            good = {
+                "email": True,
+                "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")),
+                "card": 16 <= len(digits) <= 19 and sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0,
+                "phone": 8 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                out.append((m.start(), m.end(), kind))
+    return out
+
+
+def test_base_spans_against_the_plain_patterns():
+    rng = random.Random(2)
+    pieces = ["a", "B9", "@", "@", ".", "..", "-", "+", "%", " ", "1", "25", "0255", "256", "4111111111111111", "+49 30 5550 1234", "x@y.zz", "(", ")", "\n", "é", "1.2.3.4"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25)))
+        assert pii.base_spans(text) == spans_by_hand(text), text
+
+
+def test_long_runs_take_linear_time():
+    for run in ("0" * 5000 + "1.1.1.1", "7" * 3_000_000, "a" * 3_000_000 + "@", "a." * 1_000_000 + "@b.c", "@" * 1_000_000, "1." * 1_000_000, "+1" + " " * 2_000_000, "a@b" * 300_000):
+        began = time.monotonic()
+        spans = pii.base_spans(run)
+        assert time.monotonic() - began < 20
+        assert len(spans) == {"0": 1, "a.": 1}.get(run[:2].rstrip("0") or "0", len(spans))
+
+
+def test_the_sample_of_the_quality_model_is_bounded_in_rows(spark, monkeypatch):
+    docs = spark.range(40_000).select(F.when(F.col("id") < 30_000, 5).otherwise(F.col("id") % 40).alias("doc_id"), F.concat(F.lit("some text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    seen = []
+    own = quality_model.grow
+    monkeypatch.setattr(quality_model, "grow", lambda rows, *a, **k: (seen.append(len(rows)), own(rows, *a, **k))[1])
+    quality_model.fit(docs, labels, sample_rows=20)
+    assert seen == [20]
