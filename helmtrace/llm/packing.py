@@ -15,7 +15,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ Piece = tuple[int, int, bytes, int]  # document, start, ids (little-endian 32-bi
 _LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
 _PARTS = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\n{_LETTERS}{_DIGITS}]+")
 #: Blocks of so many bytes of text are encoded at once.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 
 
 class _Kept(dict):
@@ -86,14 +86,21 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.parts, self.others = _Kept(most), _Kept(most)
-        self.tokenizer, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self.parts, self.others = path, _Kept(most), _Kept(most)
+        self.merger = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.merger.get_added_tokens_decoder().values()]
         # The same vocabulary and merges for lines that are lower-case parts already.
         self.merger.normalizer = None
         whole_lines = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), whole_lines])
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer as it is; loaded only where a word needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of every text, as little-endian unsigned 32-bit numbers."""
         out: list[bytes] = []
@@ -199,8 +206,8 @@ class Words:
 
 
 @lru_cache(maxsize=2)
-def _words(path: str) -> Words:
-    return Words(path)
+def _words(path: str, most: int = CACHE_WORDS) -> Words:
+    return Words(path, most)
 
 
 def class_of(length: int, capacity: int = CAPACITY, classes: int = CLASSES) -> int:
@@ -294,6 +301,7 @@ def pack(
     waste: float = WASTE,
     classes: int = CLASSES,
     with_ids: bool = True,
+    cache_words: int = CACHE_WORDS,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset``.
 
@@ -303,7 +311,7 @@ def pack(
     ``sequence_id`` is the partition number times 2**33 plus a count, so ``docs`` should be a stored table (or
     another input whose partitions a retried task sees again in the same order). A sequence is padded to
     ``capacity`` unless its length is a power of two; ids of a piece are little-endian unsigned 32-bit, left out
-    without ``with_ids``. Other columns, also of clashing names, are not returned.
+    without ``with_ids``. ``cache_words`` bounds a worker's memory and changes speed only. Other columns, also of clashing names, are not returned.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
     schema = _pieces_schema(docs.schema[id_col].dataType)
@@ -313,7 +321,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 33
-        packer, words = Packer(capacity, waste, classes), _words(path)
+        packer, words = Packer(capacity, waste, classes), _words(path, cache_words)
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
