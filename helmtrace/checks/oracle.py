@@ -454,6 +454,13 @@ BODIES: dict[str, str] = {
     f"{R('CASE WHEN Heading <> 90 THEN Heading END', 'Heading')}, {TS('CASE WHEN MMSI % 7 <> 0 THEN BaseDateTime END', 'BaseDateTime')}, {DT('file_date')} FROM raw",
     "ingest_daily_csv": f"SELECT {P()}, {DT('file_date')} FROM pings",
     "ingest_stream": f"SELECT {P()}, {DT('file_date')} FROM pings",
+    # The watermark ends one hour behind the newest ping; a silence is noticed, and a track closes, six hours after its last ping.
+    "stream_gap_alerts": f"SELECT MMSI, kind, {TS('t', 'last_time')}, {R('LAT')}, {R('LON')}, {TS('alert', 'alert_time')}, {R(HRS('t', 'alert'), 'silence_hours')} FROM ("
+    "SELECT *, unnest([struct_pack(kind := 'silent', alert := t + INTERVAL 6 HOUR), struct_pack(kind := 'back', alert := nt)], recursive := true) FROM ("
+    "SELECT MMSI, LAT, LON, BaseDateTime AS t, lead(BaseDateTime) OVER (PARTITION BY MMSI ORDER BY BaseDateTime, LAT, LON) AS nt, max(BaseDateTime) OVER () AS newest FROM pings) "
+    "WHERE coalesce(nt, newest - INTERVAL 1 HOUR) > t + INTERVAL 6 HOUR) WHERE alert IS NOT NULL",
+    "stream_tracks": f"SELECT MMSI, {TS('t0', 'start')}, {TS('t1', 'end')}, points, {R('span', 'span_hours')} FROM segs WHERE points >= 2 AND span >= 1 "
+    "AND t1 + INTERVAL 6 HOUR < (SELECT max(BaseDateTime) - INTERVAL 1 HOUR FROM pings)",
     "read_history": f"SELECT {P()}, {DT('file_date')} FROM pings WHERE file_date >= DATE '2024-01-10'",
     "load_cached_range": f"SELECT {P()} FROM pings WHERE BaseDateTime >= TIMESTAMP '2024-01-03' AND BaseDateTime < TIMESTAMP '2024-01-13' AND VesselType IN (30, 52, 70)",
     "load_full_range": f"SELECT {P()} FROM pings WHERE BaseDateTime >= TIMESTAMP '2024-01-02' AND BaseDateTime < TIMESTAMP '2024-01-10'",

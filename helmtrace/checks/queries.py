@@ -29,6 +29,7 @@ from helmtrace.plans.detection import all_anomalies, detect_anomalies, prepare
 from helmtrace.schemas import Params
 from helmtrace.session import scratch_folder
 from helmtrace.sources import daily, stores
+from helmtrace.streaming import tracks as live
 from helmtrace.streaming.ingest import ingest_new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,6 +273,31 @@ def ingest_stream(s, d):
     return s.read.parquet(f"{folder}-out").select(*PING_OUT, "file_date")
 
 
+def _played(s: SparkSession, d: str) -> DataFrame:
+    """The test pings as a stream of files, in order of time: five days at a time, four files a batch."""
+    folder, rows = scratch(s), pings(s, d)
+    part = F.floor(F.datediff("file_date", F.lit("2024-01-01")) / 5)
+    for number in range(6):
+        rows.where(part == number).repartition(4, "MMSI").write.mode("append").parquet(folder)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+
+
+@query
+def stream_gap_alerts(s, d):
+    """Alerts on silences of more than six hours, by timers; a watermark of one hour."""
+    folder = scratch(s)
+    live.write_available(live.gap_alerts(_played(s, d)), f"{folder}/alerts", f"{folder}/log")
+    return s.read.parquet(f"{folder}/alerts")
+
+
+@query
+def stream_tracks(s, d):
+    """Tracks that closed while the pings streamed by."""
+    folder = scratch(s)
+    live.write_available(live.session_tracks(_played(s, d)), f"{folder}/tracks", f"{folder}/log")
+    return s.read.parquet(f"{folder}/tracks")
+
+
 @query
 def read_history(s, d):
     folder = _daily_files(s, d, "'AIS_'yyyy_MM_dd", "parquet")
