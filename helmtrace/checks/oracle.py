@@ -450,6 +450,8 @@ BODIES: dict[str, str] = {
     "detect_anomalies_default_types": f"SELECT {A_OUT} FROM anom_t",
     # sources
     "scan_days": f"SELECT {P()}, {DT('file_date')}, {R('CAST(CASE WHEN MMSI % 2 = 1 THEN MMSI % 100 END AS DOUBLE)', 'Length')} FROM pings WHERE file_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'",
+    "file_report": f"SELECT {DT('file_date')}, 'csv' AS format, 9 - (MMSI % 3 = 1)::INT + (MMSI % 3 = 2)::INT AS columns, CASE WHEN MMSI % 3 = 1 THEN 'SOG' ELSE '' END AS lacking, "
+    "1 AS files, 0 AS broken FROM pings WHERE file_date BETWEEN DATE '2024-01-04' AND DATE '2024-01-25' GROUP BY file_date, MMSI % 3",
     "read_pings": f"SELECT MMSI, VesselName, CASE WHEN VesselType <> 52 THEN VesselType ELSE -1 END AS VesselType, {R('LAT')}, {R('LON')}, {R('CASE WHEN SOG <> 150 THEN SOG END', 'SOG')}, {R('COG')}, "
     f"{R('CASE WHEN Heading <> 90 THEN Heading END', 'Heading')}, {TS('CASE WHEN MMSI % 7 <> 0 THEN BaseDateTime END', 'BaseDateTime')}, {DT('file_date')} FROM raw",
     "ingest_daily_csv": f"SELECT {P()}, {DT('file_date')} FROM pings",

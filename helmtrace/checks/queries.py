@@ -28,7 +28,7 @@ from helmtrace.operators import zones as Z
 from helmtrace.plans.detection import all_anomalies, detect_anomalies, prepare
 from helmtrace.schemas import Params
 from helmtrace.session import scratch_folder
-from helmtrace.sources import daily, stores
+from helmtrace.sources import daily, layouts, stores
 from helmtrace.streaming import tracks as live
 from helmtrace.streaming.ingest import ingest_new_files
 
@@ -239,6 +239,30 @@ def scan_days(s, d):
     return daily.scan_days(s, folder, "2024-01-05", "2024-01-20").select(*PING_OUT, "file_date", "Length")
 
 
+@query
+def file_report(s, d):
+    """What the daily files of a range hold, as their own tasks read it; a third of the vessels' files lack a column."""
+    folder = scratch(s)
+    rows = pings(s, d).withColumn("day", F.date_format("file_date", "'ais-'yyyy-MM-dd'.csv'")).drop("file_date")
+    for part in range(3):
+        some = rows.where(F.col("MMSI") % 3 == part)
+        some = some.drop("SOG") if part == 1 else some.withColumn("Length", F.lit(part)) if part == 2 else some
+        some.repartition("day").write.partitionBy("day").option("header", "true").csv(f"{folder}/{part}")
+    # Part files of a dated folder, which keeps its name without the partition column's.
+    hadoop = s.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+    for part in range(3):
+        for status in fs.listStatus(hadoop.Path(f"{folder}/{part}")):
+            at = status.getPath()
+            if at.getName().startswith("day="):
+                fs.rename(at, hadoop.Path(at.getParent(), at.getName().removeprefix("day=")))
+    report = layouts.file_report(s, folder, "2024-01-04", "2024-01-25")
+    width = F.size(F.from_json(F.get_json_object("layout", "$.fields"), "array<string>"))
+    return report.groupBy("file_date", "format", width.alias("columns"), F.array_join("missing", ",").alias("lacking")).agg(
+        F.count("*").alias("files"), F.count_if(F.col("problem").isNotNull()).alias("broken")
+    )
+
+
 @query
 def read_pings(s, d):
     """Text values of all kinds, in files of two column orders."""

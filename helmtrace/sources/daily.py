@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from helmtrace.functions.times import date_from_name
 from helmtrace.operators.cleaning import date_range, dedup_pings, number
 from helmtrace.schemas import OPTIONAL_NUMBERS, OPTIONAL_TEXTS, PING_COLUMNS
+from helmtrace.sources.layouts import file_report, reachable, refused, usable
 
 
 def day_of_path(path: str | Column) -> Column:
@@ -135,14 +136,42 @@ def read_pings(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def read_reported(spark: SparkSession, report: DataFrame) -> DataFrame:
+    """Pings of the usable files of a report (``layouts.file_report``); ``layouts.refused`` has the others.
+
+    Files of one layout are one scan; the driver gets names and layouts only.
+    """
+    named = usable(report).groupBy("format", "layout").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("paths").collect()
+    if not named:
+        raise FileNotFoundError("no daily files")
+    parts = [
+        normalise(read_layout(spark, r["format"], T.StructType.fromJson(json.loads(r["layout"])), r["paths"]), day_of_path("_metadata.file_path"))
+        for r in named
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _scan(spark: SparkSession, folder: str, start: str | date, end: str | date, form: str | None = None) -> DataFrame:
+    """Files of a range: described by tasks where these can open the store, else through Spark's own file system."""
+    if not reachable(folder):
+        return read_pings(spark, [(f, p) for f, p in day_files(spark, folder, start, end) if form in (None, f)])
+    report = file_report(spark, folder, start, end)
+    report = report.where(F.col("format") == form) if form else report
+    # One read of the headers serves both the list of refused files and the scans.
+    report = spark.createDataFrame(report.collect(), report.schema)
+    for r in refused(report).orderBy("path").collect():
+        print(f"skipped {r['path']}: {r['reason']}")
+    return read_reported(spark, report)
+
+
 def scan_days(spark: SparkSession, folder: str, start: str | date, end: str | date) -> DataFrame:
-    """Pings of all usable daily files in an inclusive date range."""
-    return read_pings(spark, day_files(spark, folder, start, end))
+    """Pings of all usable daily files in an inclusive date range; ``layouts.file_report`` tells about each file."""
+    return _scan(spark, folder, start, end)
 
 
 def read_history(spark: SparkSession, folder: str, start: str | date, end: str | date) -> DataFrame:
     """The same for ``AIS_YYYY_MM_DD.parquet`` files and folders; missing days are skipped."""
-    return read_pings(spark, [(f, p) for f, p in day_files(spark, folder, start, end) if f == "parquet"])
+    return _scan(spark, folder, start, end, "parquet")
 
 
 def ingest_daily_csv(spark: SparkSession, folder: str, target: str) -> None:
