@@ -1,6 +1,8 @@
 """Vector dedup, components and the pipeline against brute force."""
 
 import random
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -216,6 +218,18 @@ def test_prefix_pairs_lose_no_link_between_components(spark, component):
     assert all(component(a) != component(b) for a, b in found)
 
 
+def test_texts_without_a_partner_go_before_pairs_are_sought(spark):
+    rows = planted_edits() + [(5000 + i, t) for i, t in template_crowd(50, [3, 9, 60, 100])] + [(9000, ""), (9001, "")]
+    members = members_of(spark, rows, lambda i: i)
+    kept = [r["v"] for r in shingle_dedup.with_partners(members).collect()]
+    sets = {i: shingle_dedup.shingles(t) for i, t in rows}
+    held = Counter(h for s in sets.values() for h in s)
+    assert sorted(kept) == [i for i, s in sorted(sets.items()) if sum(held[h] > 1 for h in s) >= 0.8 * len(s) - 1e-9]
+    linked = {i for a, b in combinations(sets, 2) if 0.8 * len(sets[a] | sets[b]) - 1e-9 <= len(sets[a] & sets[b]) > 0 for i in (a, b)}
+    assert linked <= set(kept) and 0 < len(kept) < len(rows)
+    assert shingle_dedup.with_partners(members.limit(0)).count() == 0
+
+
 def test_a_crowd_of_unlike_texts_of_one_template_makes_no_pairs(spark):
     # 200 shared words and 40 or 100 own ones: similarity 0.7 and 0.5, so no pair is a link.
     rows = template_crowd(3_000, [40, 100])
