@@ -1,17 +1,27 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes blocks of text, each with its root-to-leaf tag path. Per path, the length of its text
-and its sentence punctuation are summed; both ratios are smoothed along the page, fused into one
-score, and paths whose score passes a threshold drawn from the page's own scores are content.
-The smallest container that holds all content, and at least the article or main element around it, then
-gives the article: every block below it that is not boilerplate itself (a menu, a form, an advert,
-reader comments, ...), so that a heading or a short paragraph is not lost for being short. On a page
-without such an element all text that is neither marked nor a link counts as content.
+and its sentence punctuation are summed; both ratios are smoothed along the page and fused into one score.
+
+- *Marks.* Names of elements, classes and ids that stand for page furniture (menus, adverts, reader comments,
+  ...) weigh against an element; they do not settle it. Text times score is the mass of a block. Elements of one path
+  and class whose mass outweighs all unmarked text by ``1 / MARK_WEIGHT`` are wrappers that carry such a word by chance, and their
+  mark is lifted, heaviest first. Elements that hold no article by the standard (``nav``, ``footer``, scripts,
+  hidden ones) stay shut.
+- *Content* are the paths that score at least ``THRESHOLD`` times the mean of the unmarked text. Where article or
+  main elements hold at least half of it, only those count.
+- *The article* is what lies in the smallest container of the content, or in the article or main element around that.
+  Without such an element, headings and paragraphs right before the content belong to it, and text elements right
+  after it within a common container. Where the container is the body itself, its other text needs content on both sides.
+
+A page of links, or of furniture only, has an empty text.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,7 +36,7 @@ RAW = frozenset("script style noscript template textarea title iframe noembed no
 # Of these the content is raw text up to the end tag.
 LITERAL = frozenset("script style textarea title iframe noembed noframes xmp noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog button head".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog button head".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
@@ -34,6 +44,10 @@ CLOSES_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Elements that hold running text itself, by whether they may open an article.
+OPENING = HEADINGS | frozenset("p blockquote pre".split())
+TEXT = OPENING | frozenset("li dt dd td th caption figcaption".split())
+PAGE_LEVEL = frozenset(("", "html", "body"))
 # Words in class, id or role that name page furniture. Those of LAYOUT also stand in the names of
 # wrappers around the article ("with-sidebar"), so an article inside takes the mark away.
 LAYOUT = frozenset(
@@ -50,10 +64,15 @@ FURNITURE = LAYOUT | frozenset(
         "share sharing social related recommended recommendations form copyright legal complementary contentinfo"
     ).split()
 )
-#: Unmarked elements nested deeper than this open no container of their own; their text stays.
-DEEPEST = 512
-#: Marks of elements: none, by a layout word, for good.
-OPEN, LAID_OUT, SHUT = range(3)
+# Of these, the words that also mark an article element: readers' comments use it too.
+READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Marks of elements: none, by a layout word, by another furniture word, for good.
+OPEN, LAID_OUT, MARKED, SHUT = range(4)
+#: What a marked element's mass counts against unmarked text, and the characters outside links it needs to be a wrapper.
+MARK_WEIGHT = 0.05
+LEAST_PROSE = 140
+#: Share of the mean score that a content path needs.
+THRESHOLD = 0.7
 SENTENCE_MARKS = frozenset(".,;:!?\"'()…。，、；：？！")
 
 _TOKEN = re.compile(
@@ -63,50 +82,73 @@ _ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role|hidden|style|aria-hidden)(?:
 _NAME_PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _SPACES = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 
 
 class Block:
-    """A block of text: its path, the position numbers of its containers, and whether it lies in page furniture."""
+    """A block of text: its path, its element's number, its text, whether it lies in shut furniture, characters in links."""
 
-    __slots__ = ("path", "nodes", "text", "furniture", "linked")
+    __slots__ = ("path", "node", "text", "furniture", "linked")
 
-    def __init__(self, path: str, nodes: tuple[int, ...], text: str, furniture: bool, linked: int):
-        self.path, self.nodes, self.text, self.furniture, self.linked = path, nodes, text, furniture, linked
+    def __init__(self, path, node: int, text: str, furniture: bool, linked: int):
+        self.path, self.node, self.text, self.furniture, self.linked = path, node, text, furniture, linked
 
 
-def _mark(name: str, attributes: str, inside: bool) -> int:
-    """How an element is marked by its name and attributes; ``inside``: within an article or main element."""
+class Page:
+    """The blocks of a page in order, and its elements, numbered as they open; number 0 is the page."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.names, self.parents, self.marks, self.paths = [""], [0], [OPEN], [0]
+
+    def ends(self) -> list[int]:
+        """The last number inside each element: its descendants follow it without a gap."""
+        last = list(range(len(self.names)))
+        for n in range(len(last) - 1, 0, -1):
+            last[self.parents[n]] = max(last[self.parents[n]], last[n])
+        return last
+
+
+def _mark(name: str, attributes: str, inside: bool) -> tuple[int, str]:
+    """How an element is marked, and its step in the path; ``inside``: within an article or main element.
+
+    The step of a marked element carries its class without digits, so that posts of one kind share a path.
+    """
     if name in BOILERPLATE or (name == "header" and not inside):
-        return SHUT
-    if not attributes or name in ("html", "body", "main"):
-        return OPEN
-    mark = OPEN
+        return SHUT, name
+    mark, kind = LAID_OUT if name == "form" else OPEN, ""
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return SHUT
+            return SHUT, name
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return SHUT
+                return SHUT, name
+            continue
+        if key == "class":
+            kind = _DIGITS.sub("", value)
+        if name in ("html", "body", "main"):
             continue
         words = FURNITURE.intersection(_NAME_PARTS.findall(_CAMEL.sub(r"\1 \2", value).lower()))
         if inside:
             words -= {"header", "masthead"}
-        if words - LAYOUT:
-            return SHUT
-        if words and name != "article":
-            mark = LAID_OUT
-    return mark
-
-
-def blocks(html: str) -> list[Block]:
-    """The text blocks of a page in order. Never fails: broken markup is read as browsers do, roughly."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # element, its number, its mark
-    freed: set[int] = set()  # elements marked by a layout word that turned out to hold an article
-    marks: list[list[tuple[int, int]]] = []  # of each block, the marked elements around it
+        if name == "article":
+            words &= READERS
+        if words:
+            mark = max(mark, MARKED if words - LAYOUT else LAID_OUT)
+    return mark, name if mark == OPEN else f"{name}!{kind}"
+
+
+def read_page(html: str) -> Page:
+    """The blocks and elements of a page. Never fails: broken markup is read as browsers do, roughly."""
+    page = Page()
+    names, parents, marks, path_of = page.names, page.parents, page.marks, page.paths
+    stack: list[int] = []  # numbers of the open elements
+    opened: Counter[str] = Counter()  # how many of each name are open
+    shut = 0  # how many open elements are shut
+    paths: dict[tuple[int, str], int] = {}  # path of the parent and the element's own step
     parts: list[str] = []
-    linked, links, number, at = 0, 0, 0, 0
+    linked, at = 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -114,19 +156,33 @@ def blocks(html: str) -> list[Block]:
             text = _SPACES.sub(" ", unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                outer = [s for s in stack if s[0] not in INLINE]
-                path = "/".join(s[0] for s in outer)
-                out.append(Block(path, tuple(s[1] for s in outer), text, False, linked))
-                marks.append([(s[1], s[2]) for s in stack if s[2]])
+                node = next((n for n in reversed(stack) if names[n] not in INLINE), 0)
+                page.blocks.append(Block(path_of[node], node, text, shut > 0, linked))
         linked = 0
 
     def text(piece: str) -> None:
         nonlocal linked
         if piece:
             parts.append(piece)
-            if links:
+            if opened["a"]:
                 linked += len(piece)
 
+    def close(to: int) -> None:
+        nonlocal shut
+        for n in stack[to:]:
+            opened[names[n]] -= 1
+            shut -= marks[n] == SHUT
+        del stack[to:]
+
+    def close_open(name: str, *until: str) -> None:
+        """Ends the innermost element of a name, unless one of ``until`` stands before it."""
+        if opened[name]:
+            for i in range(len(stack) - 1, -1, -1):
+                if names[stack[i]] == name:
+                    return close(i)
+                if names[stack[i]] in until:
+                    return None
+
     size = len(html)
     while at < size:
         less = html.find("<", at)
@@ -138,8 +194,8 @@ def blocks(html: str) -> list[Block]:
         if not m:
             # A sign that opens nothing is text; an end tag without a name is not.
             if html.startswith("</", less):
-                close = html.find(">", less)
-                at = size if close < 0 else close + 1
+                end = html.find(">", less)
+                at = size if end < 0 else end + 1
             else:
                 text("<")
                 at = less + 1
@@ -155,18 +211,16 @@ def blocks(html: str) -> list[Block]:
         if m[1]:
             if name == "br":
                 text(" ")
-            elif name == "p" and not any(s[0] == "p" for s in stack):
+            elif name == "p" and not opened["p"]:
                 flush()
-            else:
+            elif opened[name]:
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
+                    if names[stack[i]] == name:
                         if name not in INLINE:
                             flush()
-                        gone = stack[i:]
-                        del stack[i:]
-                        links -= sum(s[0] == "a" for s in gone)
+                        close(i)
                         break
-                    if name in INLINE and stack[i][0] not in INLINE:
+                    if name in INLINE and names[stack[i]] not in INLINE:
                         break
             continue
         if name in VOID:
@@ -176,55 +230,48 @@ def blocks(html: str) -> list[Block]:
                 flush()
             continue
         if name in LITERAL:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(html, at)
-            if end is None:
+            found = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(html, at)
+            if found is None:
                 break
-            close = html.find(">", end.end())
-            at = size if close < 0 else close + 1
+            end = html.find(">", found.end())
+            at = size if end < 0 else end + 1
             continue
         if name not in INLINE:
             flush()
             if name in CLOSES_PARAGRAPH:
-                _close(stack, "p", ("button", "table", "td", "th", "caption"))
-            if name in HEADINGS and stack and stack[-1][0] in HEADINGS:
-                stack.pop()
+                close_open("p", "button", "table", "td", "th", "caption")
+            if name in HEADINGS and stack and names[stack[-1]] in HEADINGS:
+                close(len(stack) - 1)
             if name == "li":
-                _close(stack, "li", ("ul", "ol", "menu"))
+                close_open("li", "ul", "ol", "menu")
             elif name in ("dt", "dd"):
-                _close(stack, "dt", ("dl",)), _close(stack, "dd", ("dl",))
-            elif name in ("tr", "td", "th", "tbody", "thead", "tfoot"):
-                if name in ("td", "th"):
-                    _close(stack, "td", ("tr", "table")), _close(stack, "th", ("tr", "table"))
-                else:
-                    _close(stack, "tr", ("table",))
-            links = sum(s[0] == "a" for s in stack)
+                close_open("dt", "dl")
+                close_open("dd", "dl")
+            elif name in ("td", "th"):
+                close_open("td", "tr", "table")
+                close_open("th", "tr", "table")
+            elif name in ("tr", "tbody", "thead", "tfoot"):
+                close_open("tr", "table")
         if m[3].rstrip().endswith("/") and name in RAW:
             continue
-        number += 1
-        inside = any(s[0] in ("article", "main") for s in stack)
-        own = SHUT if name in RAW else _mark(name, m[3], inside)
-        if name in ("article", "main") and own == OPEN:
-            freed.update(s[1] for s in stack if s[2] == LAID_OUT)
-        if len(stack) >= DEEPEST and own == OPEN:
-            continue
-        stack.append((name, number, own))
-        links += name == "a"
+        mark, step = (SHUT, name) if name in RAW else _mark(name, m[3], opened["article"] + opened["main"] > 0)
+        if name in ("article", "main") and mark == OPEN:
+            # A wrapper named after the page's layout, or a form, that holds an article is no furniture.
+            for n in stack:
+                if marks[n] == LAID_OUT:
+                    marks[n] = OPEN
+        parent = stack[-1] if stack else 0
+        plain = name in INLINE and mark == OPEN
+        path_of.append(path_of[parent] if plain else paths.setdefault((path_of[parent], step), len(paths) + 1))
+        stack.append(len(names))
+        names.append(name), parents.append(parent), marks.append(mark)
+        opened[name] += 1
+        shut += mark == SHUT
     flush()
-    for block, around in zip(out, marks):
-        block.furniture = any(mark == SHUT or number not in freed for number, mark in around)
-    return out
-
+    return page
 
-def _close(stack: list[tuple[str, int, int]], name: str, until: tuple[str, ...]) -> None:
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] == name:
-            del stack[i:]
-            return
-        if stack[i][0] in until:
-            return
 
-
-def path_scores(page: list[Block]) -> dict[str, float]:
+def path_scores(page: list[Block]) -> dict:
     """Fused score of every path: text per block times sentence marks per block, each smoothed along the page."""
     length = np.array([len(b.text) - b.linked for b in page], dtype=np.float64).clip(0)
     marks = np.array([0 if 2 * b.linked > len(b.text) else sum(map(b.text.count, SENTENCE_MARKS)) for b in page], dtype=np.float64)
@@ -232,7 +279,7 @@ def path_scores(page: list[Block]) -> dict[str, float]:
     of = np.array([names[b.path] for b in page])
     count = np.bincount(of)
     per_text, per_mark = np.bincount(of, length) / count, np.bincount(of, marks) / count
-    kernel = np.array([0.25, 0.5, 0.25])
+    kernel = np.array([0.125, 0.75, 0.125])
 
     def smooth(ratio: np.ndarray) -> np.ndarray:
         along = np.convolve(np.pad(ratio[of], 1, mode="edge"), kernel, mode="valid")
@@ -242,74 +289,131 @@ def path_scores(page: list[Block]) -> dict[str, float]:
     return {p: float(fused[i]) for p, i in names.items()}
 
 
+def _unmarked(page: Page, shown: list[Block], scores: dict) -> list[Block]:
+    """The blocks outside marked elements, after the marks of wrappers are lifted, heaviest path first."""
+    outer = [0]  # of each element, the path of the innermost marked element around it, itself included
+    above: dict[int, int] = {}  # of each marked path, the marked path around it
+    for n in range(1, len(page.names)):
+        around = outer[page.parents[n]]
+        if page.marks[n] in (LAID_OUT, MARKED):
+            above[page.paths[n]] = around
+            around = page.paths[n]
+        outer.append(around)
+    own: Counter[int] = Counter()  # mass of the blocks right below a marked path
+    prose: Counter[int] = Counter()
+    for b in shown:
+        free = max(0, len(b.text) - b.linked)
+        own[outer[b.node]] += free * scores[b.path]
+        prose[outer[b.node]] += free
+    mass, below = Counter(own), {}
+    for path in sorted(above, reverse=True):  # inner ones first: a path is numbered after those around it
+        mass[above[path]] += mass[path]
+        prose[above[path]] += prose[path]
+        below.setdefault(above[path], []).append(path)
+    lifted, plain = {0}, own[0]
+    heap = [(-mass[path], path) for path in below.get(0, ())]
+    heapq.heapify(heap)
+    while heap and -heap[0][0] * MARK_WEIGHT > plain:
+        path = heapq.heappop(heap)[1]
+        if prose[path] >= LEAST_PROSE:
+            lifted.add(path)
+            plain += own[path]
+            for inner in below.get(path, ()):
+                heapq.heappush(heap, (-mass[inner], inner))
+    return [b for b in shown if outer[b.node] in lifted]
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, its blocks joined by a line feed; empty for null, for no text and for furniture only."""
-    page = blocks(html or "")
-    open_blocks = [b for b in page if not b.furniture]
-    if not open_blocks:
+    page = read_page(html or "")
+    shown = [b for b in page.blocks if not b.furniture]
+    if not shown:
         return ""
-    scores = path_scores(open_blocks)
-    values = np.array([scores[b.path] for b in open_blocks])
-    sizes = np.array([len(b.text) for b in open_blocks], dtype=np.float64)
-    # Threshold: the mean weighted by text, less one deviation; where all is content, nothing is far below.
-    mean = float(np.average(values, weights=sizes))
-    spread = float(np.sqrt(np.average((values - mean) ** 2, weights=sizes)))
-    content = [b for b, v in zip(open_blocks, values) if v >= mean - spread]
-    linked = _link_paths(open_blocks)
-    framed = {n for b in content for n in _frames(b)}
-    if not framed:
-        # Nothing names the article, so a short heading or introduction outside the content's container belongs to it.
-        content += [b for b in open_blocks if b.path not in linked]
-    root = _around(content, open_blocks)
-    densest = _densest(content)
-    # Where the container had to be wide, paths of links outside the articles and the densest part are menus.
-    return "\n".join(
-        b.text for b in open_blocks if root in (0, *b.nodes) and (b.path not in linked or densest in (0, *b.nodes) or not framed.isdisjoint(b.nodes))
-    )
-
-
-def _link_paths(page: list[Block]) -> set[str]:
+    scores = path_scores(shown)
+    kept = _unmarked(page, shown, scores)
+    linked = _link_paths(kept)
+    plain = [b for b in kept if b.path not in linked]
+    if not plain:
+        return ""
+    mean = np.average([scores[b.path] for b in plain], weights=[len(b.text) for b in plain])
+    content = [i for i, b in enumerate(kept) if b.path not in linked and scores[b.path] >= THRESHOLD * mean]
+    frames = _frames(page)
+    framed = [i for i in content if frames[kept[i].node]]
+    if 2 * sum(len(kept[i].text) for i in framed) >= sum(len(kept[i].text) for i in content):
+        content = framed
+    ends = page.ends()
+    root = _around([kept[i].node for i in content], page, ends)
+    frame = frames[root]
+    root = frame or root
+
+    def under(node: int, container: int) -> bool:
+        return container <= node <= ends[container]
+
+    first, last, chosen = content[0], content[-1], set(content)
+    wide = page.names[root] in PAGE_LEVEL
+    dense = 0 if frame else _densest([kept[i] for i in content], page)
+    for i, b in enumerate(kept):
+        if not under(b.node, root):
+            continue
+        if b.path in linked:
+            # Paths of links outside the articles and the densest part of a wide container are menus.
+            if frame or frames[b.node] or (dense and under(b.node, dense)):
+                chosen.add(i)
+        elif not wide or first < i < last:
+            chosen.add(i)
+    if not frame:
+        i = first - 1
+        while i >= 0 and kept[i].path not in linked and page.names[kept[i].node] in OPENING:
+            chosen.add(i)
+            i -= 1
+        i = last + 1
+        while i < len(kept) and kept[i].path not in linked and page.names[kept[i].node] in TEXT and _share(kept[i].node, root, page, ends):
+            chosen.add(i)
+            i += 1
+    return "\n".join(kept[i].text for i in sorted(chosen))
+
+
+def _link_paths(page: list[Block]) -> set:
     """The paths whose text is links for the most part."""
-    size: dict[str, int] = {}
+    size: Counter = Counter()
     for b in page:
-        size[b.path] = size.get(b.path, 0) + len(b.text) - 2 * b.linked
+        size[b.path] += len(b.text) - 2 * b.linked
     return {p for p, rest in size.items() if rest < 0}
 
 
-def _frames(block: Block) -> list[int]:
-    """The article and main elements around a block, outermost first."""
-    return [n for name, n in zip(block.path.split("/"), block.nodes) if name in ("article", "main")]
+def _frames(page: Page) -> list[int]:
+    """Of each element, the outermost article or main element around it, itself included; 0 if there is none."""
+    outermost = [0]
+    for n in range(1, len(page.names)):
+        outermost.append(outermost[page.parents[n]] or (n if page.names[n] in ("article", "main") else 0))
+    return outermost
 
 
-def _around(content: list[Block], page: list[Block]) -> int:
-    """The smallest container of all content, or the outermost article or main element around that; 0 is the page."""
-    holders = {n for b in page for n in b.nodes[:-1]}
-    shared: list[int] | None = None
-    for b in content:
-        # A block's own element is a container only if it holds other blocks as well.
-        mine = list(b.nodes if b.nodes and b.nodes[-1] in holders else b.nodes[:-1])
-        if shared is None:
-            shared = mine
-        else:
-            same = 0
-            while same < min(len(shared), len(mine)) and shared[same] == mine[same]:
-                same += 1
-            del shared[same:]
-    around = [n for n in _frames(content[0]) if n in (shared or ())] if content else []
-    return around[0] if around else shared[-1] if shared else 0
-
-
-def _densest(content: list[Block], share: float = 0.6) -> int:
-    """The number of the deepest container that holds at least ``share`` of the content text; 0 is the page."""
-    held: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    total = 0
+def _around(nodes: list[int], page: Page, ends: list[int]) -> int:
+    """The smallest container of all these elements; an element of running text is none."""
+    root, last = min(nodes), max(nodes)
+    while root and (ends[root] < last or page.names[root] in TEXT):
+        root = page.parents[root]
+    return root
+
+
+def _share(node: int, root: int, page: Page, ends: list[int]) -> bool:
+    """Whether a container below the body holds both elements."""
+    while node and not node <= root <= ends[node]:
+        node = page.parents[node]
+    return page.names[node] not in PAGE_LEVEL
+
+
+def _densest(content: list[Block], page: Page, share: float = 0.6) -> int:
+    """The deepest container that holds at least ``share`` of the content text; 0 is the page."""
+    held = [0] * len(page.names)
     for b in content:
-        total += len(b.text)
-        for level, node in enumerate(b.nodes[:-1]):
-            held[node] = held.get(node, 0) + len(b.text)
-            depth[node] = level + 1
-    return max((n for n, size in held.items() if size >= share * total), key=depth.__getitem__, default=0)
+        held[page.parents[b.node]] += len(b.text)
+    for n in range(len(held) - 1, 0, -1):
+        held[page.parents[n]] += held[n]
+    # Two such containers overlap, so one lies in the other, and the deeper one opens later.
+    least = share * sum(len(b.text) for b in content)
+    return max(n for n, size in enumerate(held) if size >= least)
 
 
 def text_column(html: Column) -> Column:
@@ -324,5 +428,5 @@ def text_column(html: Column) -> Column:
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "_text") -> DataFrame:
-    """``pages`` with the main text in ``out_col``; nothing of a page is dropped before it is read."""
+    """``pages`` with the main text in ``out_col``, which replaces a column of that name; nothing of a page is dropped before it is read."""
     return pages.withColumn(out_col, text_column(F.col(f"`{html_col}`")))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from helmtrace.llm import byte_bpe, line_dedup, packing, pii, quality_model, quality_rules, simhash, token_counts
+from helmtrace.llm import html_text
 from helmtrace.llm.html_text import Block, extract, main_text, path_scores
 from helmtrace.llm.queries import COUNT_RANKS, RANKS, WORD_PIECES
 
@@ -216,6 +217,74 @@ def test_extraction_equals_the_article_of_given_pages(spark):
         assert row["_text"] == "\n".join(b for b in blocks if b)
 
 
+COURT = [f"The court heard case {i} on Monday, and it was brief. Then it rose." for i in range(12)]
+NOISY = (
+    "<html><body><header>Site</header><nav><a href=/>Home</a></nav><div>A small tagline</div><div class=cookie-notice>We use cookies, really.</div>{}"
+    f"<div id=comments>{'<p>First comment, by a reader. Nice.</p>' * 9}</div><div>Copyright 2024 Example Ltd. All rights reserved.</div></body></html>"
+)
+WRAPPERS = (
+    "<div>{}</div>",
+    "<form id=aspnetForm>{}</form>",
+    "<article class='post-1 hentry category-legal'>{}</article>",
+    "<div class='post comments-open'>{}</div>",
+    "<div id=wrap class='tag-social single'>{}</div>",
+    "<form id=f><div id=wrap class='tag-social single'>{}<div class=comments><p>Me too, really.</p></div></div></form>",
+)
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_a_mark_on_the_wrapper_of_an_article_is_lifted(wrapper):
+    inner = "<h1>Head</h1>" + "".join(f"<p>{t}</p>" for t in COURT)
+    expected = "\n".join(["Head", *COURT])
+    assert main_text(NOISY.format(wrapper.format(inner))) == expected
+    assert main_text(f"<body>{wrapper.format(inner)}</body>") == expected
+    listed = inner + "<ul><li>Ann</ul><table><tr><td>1<td>2</table>"
+    assert main_text(NOISY.format(wrapper.format(listed))) == expected + "\nAnn\n1\n2"
+    several = wrapper.format(inner) + wrapper.format("<div class=entry-content>" + inner + "</div>")
+    assert main_text(NOISY.format(f"<div>{several}</div>")) == "\n".join([expected, expected])
+
+
+def test_path_scores_decide_where_nothing_names_the_article(monkeypatch):
+    pages = [NOISY.format(f"<div><h1>Head {i}</h1>{''.join(f'<p>{t}</p>' for t in COURT[: 4 + i % 8])}</div>") for i in range(40)]
+    right = ["\n".join([f"Head {i}", *COURT[: 4 + i % 8]]) for i in range(40)]
+    assert [main_text(p) for p in pages] == right
+    draw = random.Random(1)
+    monkeypatch.setattr(html_text, "path_scores", lambda page: {b.path: draw.random() for b in page})
+    assert sum(main_text(p) != r for p, r in zip(pages, right)) > 20
+
+
+def test_path_ratios_by_hand():
+    page = [Block(p, 0, t, False, 0) for p, t in (("h", "Head"), ("p", "One, two."), ("p", "Three."), ("d", "no marks"))]
+    # Lengths and marks per block of each path, then one eighth of either neighbour and three quarters of the block itself.
+    length, marks = {"h": 4, "p": 7.5, "d": 8}, {"h": 0, "p": 1.5, "d": 0}
+    order = ["h", "p", "p", "d"]
+    smooth = {"h": [], "p": [], "d": []}
+    for i, path in enumerate(order):
+        near = [order[max(0, i - 1)], path, order[min(3, i + 1)]]
+        smooth[path].append([sum(w * of[n] for w, n in zip((0.125, 0.75, 0.125), near)) for of in (length, marks)])
+    for path, got in path_scores(page).items():
+        text, mark = (sum(column) / len(smooth[path]) for column in zip(*smooth[path]))
+        assert got == pytest.approx((text * (1 + mark)) ** 0.5)
+
+
+def test_given_pages_without_the_article_element_keep_their_article(spark):
+    plain = F.regexp_replace("html", "<(/?)article>", "<$1div>")
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    whole = {r["page_id"]: r["_text"] for r in extract(pages).collect()}
+    assert {r["page_id"]: r["_text"] for r in extract(pages.withColumn("html", plain)).collect()} == whole
+
+
+def test_pages_of_links_or_furniture_have_no_text():
+    assert main_text("<ul><li><a href=/a>One</a><li><a href=/b>Two, three.</a></ul>") == ""
+    assert main_text("<div class=cookie-notice>We use cookies, really.</div>") == ""
+    assert main_text("<p hidden>" + " ".join(COURT)) == main_text("<aside>" + " ".join(COURT)) == ""
+
+
+def test_odd_markup_takes_linear_time():
+    deep = "<div>" + "".join(f"<div class=ad>{i}" for i in range(30_000)) + "</i></b></section>" * 30_000
+    assert isinstance(main_text(deep), str)
+
+
 def test_extract_keeps_every_row(spark):
     pages = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "<p>t</p>", "y")], "page_id long, html string, _text string")
     assert sorted(r["_text"] for r in extract(pages).collect()) == ["", "", "t"]
