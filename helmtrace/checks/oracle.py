@@ -470,6 +470,15 @@ BODIES: dict[str, str] = {
     "history_cache": f"SELECT {P().replace('coalesce(VesselType, -1)', 'coalesce(VesselType, 0)')}, {DT('file_date')}, {R('coalesce(Length, 0)', 'Length')} FROM raw WHERE BaseDateTime IS NOT NULL AND LAT BETWEEN -90 AND 90 AND NOT (LAT = 0 AND LON = 0) AND (SOG IS NULL OR SOG <= 100) AND COG <= 360 AND file_date > DATE '2024-01-10'",
     "cache_inventory": "SELECT count(DISTINCT file_date) AS files, true AS megabytes_right FROM pings",
     "append_consolidated": f"SELECT {P()} FROM (SELECT * FROM pings WHERE event_id % 3 = 0 UNION ALL SELECT * REPLACE (SOG + 1 AS SOG) FROM pings WHERE event_id % 2 = 0 AND event_id % 3 <> 0)",
+    "append_indexed": f"SELECT {P()} FROM (SELECT * FROM pings WHERE event_id % 3 = 0 UNION ALL SELECT * REPLACE (SOG + 1 AS SOG) FROM pings WHERE event_id % 2 = 0 AND event_id % 3 <> 0)",
+    "possible_repeats": f"SELECT {DT('file_date')}, count(*) AS asked, count(*) FILTER (EXISTS (SELECT 1 FROM pings o WHERE o.event_id % 3 = 0 AND o.MMSI = n.MMSI AND o.BaseDateTime = n.BaseDateTime)) AS repeats, "
+    "0 AS missed FROM (SELECT DISTINCT file_date, MMSI, BaseDateTime FROM pings WHERE event_id % 2 = 0) n GROUP BY file_date",
+    "vessel_set_totals": f"SELECT {DT('d.file_date', 'file_date')}, count(*) AS records, count(DISTINCT p.MMSI) AS vessels FROM (SELECT DISTINCT file_date FROM pings) d "
+    "JOIN pings p ON p.file_date BETWEEN d.file_date - INTERVAL 6 DAY AND d.file_date GROUP BY d.file_date",
+    "vessel_set_range": "SELECT count(DISTINCT file_date) AS days, count(*) AS records, count(DISTINCT MMSI) AS vessels FROM pings WHERE file_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-12'",
+    "vessel_set_changes": f"SELECT {DT('d', 'file_date')}, count(*) FILTER (c AND NOT b) AS new_vessels, count(*) FILTER (b AND NOT c) AS lost_vessels, count(*) FILTER (b AND c) AS common_vessels FROM ("
+    "SELECT d, MMSI, bool_or(f = d) AS c, bool_or(f < d) AS b FROM (SELECT file_date AS d, lag(file_date) OVER (ORDER BY file_date) AS l FROM (SELECT DISTINCT file_date FROM pings)) t "
+    "JOIN (SELECT DISTINCT file_date AS f, MMSI FROM pings) p ON p.f IN (t.d, t.l) WHERE l IS NOT NULL GROUP BY d, MMSI) GROUP BY d",
     "consolidate": f"SELECT {P()} FROM (SELECT * FROM pings WHERE event_id % 3 = 0 UNION ALL SELECT * REPLACE (SOG + 1 AS SOG) FROM pings WHERE event_id % 2 = 0 AND event_id % 3 <> 0)",
     "write_anomalies": f"SELECT {A_OUT} FROM anom",
     "load_anomalies": f"SELECT {A_OUT} FROM anom",

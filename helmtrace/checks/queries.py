@@ -23,12 +23,13 @@ from helmtrace.operators import prediction as P
 from helmtrace.operators import sequences as S
 from helmtrace.operators import statistics as G
 from helmtrace.operators import tracks as K
+from helmtrace.operators import vessel_sets as W
 from helmtrace.operators import vessels as V
 from helmtrace.operators import zones as Z
 from helmtrace.plans.detection import all_anomalies, detect_anomalies, prepare
 from helmtrace.schemas import Params
 from helmtrace.session import scratch_folder
-from helmtrace.sources import daily, layouts, stores
+from helmtrace.sources import daily, layouts, membership, stores
 from helmtrace.streaming import tracks as live
 from helmtrace.streaming.ingest import ingest_new_files
 
@@ -388,6 +389,54 @@ def append_consolidated(s, d):
     return s.read.parquet(path).select(*PING_OUT)
 
 
+@query
+def append_indexed(s, d):
+    """The appends of ``append_consolidated``, by the membership index."""
+    top, e = scratch(s), F.col("event_id")
+    path, index = f"{top}/all", f"{top}/index"
+    rows = sparse_or_dense(s, d)
+    membership.append_indexed(s, rows.filter(e % 3 == 0).drop("event_id"), path, index)
+    new = rows.filter(e % 2 == 0).withColumn("SOG", F.col("SOG") + 1).drop("event_id")
+    for _ in range(2):
+        membership.append_indexed(s, new, path, index)
+    return s.read.parquet(path).select(*PING_OUT)
+
+
+@query
+def possible_repeats(s, d):
+    """Per date, new keys, those that are stored, and stored ones that the index does not know."""
+    e, keys = F.col("event_id"), membership.KEYS
+    rows = sparse_or_dense(s, d)
+    stored, new = rows.filter(e % 3 == 0), rows.filter(e % 2 == 0)
+    candidates = membership.possible_repeats(new, membership.filters(stored))
+    known = stored.select(*keys).distinct().withColumn("stored", F.lit(True))
+    asked = new.select("file_date", *keys).distinct().join(known, keys, "left")
+    asked = asked.join(candidates.select(*keys).distinct().withColumn("possible", F.lit(True)), keys, "left")
+    is_stored = F.coalesce("stored", F.lit(False))
+    return asked.groupBy("file_date").agg(
+        F.count("*").alias("asked"), F.count_if(is_stored).alias("repeats"), F.count_if(is_stored & F.col("possible").isNull()).alias("missed")
+    )
+
+
+@query
+def vessel_set_totals(s, d):
+    """Rows and distinct vessels of the week up to each date, from one stored sketch a date."""
+    return W.trailing_totals(W.daily_sets(pings(s, d)))
+
+
+@query
+def vessel_set_range(s, d):
+    """Totals of a range, from sets that were stored in two parts and merged."""
+    rows, e = sparse_or_dense(s, d), F.col("event_id")
+    sets = W.merge_sets(W.daily_sets(rows.filter(e % 3 == 0)), W.daily_sets(rows.filter(e % 3 != 0)))
+    return W.range_totals(sets, "2024-01-03", "2024-01-12")
+
+
+@query
+def vessel_set_changes(s, d):
+    return W.set_changes(W.daily_sets(pings(s, d)))
+
+
 @query
 def write_anomalies(s, d):
     folder = f"{scratch(s)}/anomalies"
