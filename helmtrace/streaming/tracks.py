@@ -7,8 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,14 +15,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: The state store that timers need; set it before the query starts.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-ALERT = T.StructType(
+_ALERT = T.StructType(
     [
         T.StructField("MMSI", T.LongType()),
         T.StructField("kind", T.StringType()),
-        T.StructField("last_time", T.TimestampType()),
+        T.StructField("last", T.LongType()),
         T.StructField("LAT", T.DoubleType()),
         T.StructField("LON", T.DoubleType()),
-        T.StructField("alert_time", T.TimestampType()),
+        T.StructField("at", T.LongType()),
         T.StructField("silence_hours", T.DoubleType()),
     ]
 )
@@ -47,34 +46,32 @@ class _Silences(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", _LAST)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pings = pd.concat(list(rows), ignore_index=True)
-        pings = pings.sort_values(["time", "LAT", "LON"], kind="stable")
-        held = self.last.get() if self.last.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        pings = sorted(((r.time, _value(r.LAT), _value(r.LON)) for r in rows), key=_order)
+        held = self.last.get()
         if held is not None and not held[3]:
             self.handle.deleteTimer(self._due(held[0]))
         out = []
-        for time, lat, lon in zip(pings["time"].tolist(), pings["LAT"].tolist(), pings["LON"].tolist()):
-            lat, lon = (None if pd.isna(v) else float(v) for v in (lat, lon))
+        for time, lat, lon in pings:
             if held is not None and time - held[0] > self.gap:
                 # A silence whose end is seen before its timer fired, or after.
                 if not held[3]:
                     out.append(self._row(key, "silent", held, held[0] + self.gap))
                 out.append(self._row(key, "back", held, time))
             if held is None or time >= held[0]:
-                held = (int(time), lat, lon, False)
+                held = (time, lat, lon, False)
         if not held[3]:
             self.handle.registerTimer(self._due(held[0]))
         self.last.update(held)
-        return iter([pd.DataFrame(out, columns=ALERT.names)] if out else [])
+        return iter(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self.last.get()
         # A timer counts whole milliseconds; one that a later ping has overtaken is of no use.
         if held[3] or expiredTimerInfo.getExpiryTimeInMs() < self._due(held[0]):
             return iter([])
         self.last.update((held[0], held[1], held[2], True))
-        return iter([pd.DataFrame([self._row(key, "silent", held, held[0] + self.gap)], columns=ALERT.names)])
+        return iter([self._row(key, "silent", held, held[0] + self.gap)])
 
     def close(self) -> None:
         pass
@@ -84,9 +81,21 @@ class _Silences(StatefulProcessor):
         return (time + self.gap) // 1000 + 1
 
     @staticmethod
-    def _row(key, kind: str, held: tuple, at: int) -> tuple:
-        stamp = lambda micros: pd.Timestamp(micros, unit="us")
-        return (int(key[0]), kind, stamp(held[0]), held[1], held[2], stamp(at), (at - held[0]) / 3_600_000_000)
+    def _row(key, kind: str, held: tuple, at: int) -> Row:
+        return Row(
+            MMSI=int(key[0]), kind=kind, last=held[0], LAT=held[1], LON=held[2], at=at, silence_hours=(at - held[0]) / 3_600_000_000
+        )
+
+
+def _value(number: float | None) -> float | None:
+    """A number, or None where it is missing or NaN."""
+    return None if number is None or number != number else number
+
+
+def _order(ping: tuple) -> tuple:
+    """Time, then position; a missing number comes last."""
+    time, lat, lon = ping
+    return time, lat is None, lat or 0.0, lon is None, lon or 0.0
 
 
 def gap_alerts(pings: DataFrame, gap_hours: float = 6.0, lateness: str = "1 hour") -> DataFrame:
@@ -100,7 +109,11 @@ def gap_alerts(pings: DataFrame, gap_hours: float = 6.0, lateness: str = "1 hour
     """
     rows = pings.where(F.col("MMSI").isNotNull() & F.col("BaseDateTime").isNotNull())
     rows = rows.withWatermark("BaseDateTime", lateness).select("MMSI", "LAT", "LON", F.unix_micros("BaseDateTime").alias("time"), "BaseDateTime")
-    return rows.groupBy("MMSI").transformWithStateInPandas(_Silences(gap_hours), outputStructType=ALERT, outputMode="Append", timeMode="EventTime")
+    # Plain rows: a vessel has few pings in a batch, and a frame for each costs more than all the rest.
+    alerts = rows.groupBy("MMSI").transformWithState(_Silences(gap_hours), outputStructType=_ALERT, outputMode="Append", timeMode="EventTime")
+    return alerts.select(
+        "MMSI", "kind", F.timestamp_micros("last").alias("last_time"), "LAT", "LON", F.timestamp_micros("at").alias("alert_time"), "silence_hours"
+    )
 
 
 def session_tracks(pings: DataFrame, max_gap_hours: float = 6.0, min_points: int = 2, min_hours: float = 1.0, lateness: str = "1 hour") -> DataFrame:

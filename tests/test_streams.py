@@ -2,6 +2,7 @@
 
 from datetime import timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from helmtrace.operators import tracks as K
@@ -70,3 +71,42 @@ def test_tracks_close_and_equal_the_batch(spark, tmp_path):
     want = sorted(((r.MMSI, r.start, r.end, r.points, r.span_hours) for r in batch.collect()), key=str)
     assert sorted((tuple(r) for r in out), key=str) == want
     assert [(r.MMSI, r.points) for r in out] == [(1, 3), (1, 3), (2, 2)]
+
+
+class Held:
+    """One vessel's state and timers, and the calls that reached them."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_a_vessel_of_a_batch_is_plain_rows_and_four_calls_to_its_state():
+    handle, hour = Held(), 3_600_000_000
+    silences = live._Silences(6.0)
+    silences.init(handle)
+    nan = float("nan")
+    rows = [Row(time=t * hour, LAT=lat, LON=lon) for t, lat, lon in ((9, 1.0, 2.0), (0, nan, None), (0, 3.0, -0.0), (2, nan, 5.0))]
+    out = list(silences.handleInputRows((7,), iter(rows), None))
+    assert [(r.MMSI, r.kind, r["last"], r.LAT, r.LON, r.at) for r in out] == [(7, "silent", 2 * hour, None, 5.0, 8 * hour), (7, "back", 2 * hour, None, 5.0, 9 * hour)]
+    assert handle.value == (9 * hour, 1.0, 2.0, False) and handle.timers == {15 * 3_600_000 + 1}
+    handle.calls = 0
+    assert list(silences.handleInputRows((7,), iter([Row(time=10 * hour, LAT=None, LON=None)]), None)) == []
+    assert handle.calls == 4 and handle.timers == {16 * 3_600_000 + 1}
