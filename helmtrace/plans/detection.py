@@ -86,6 +86,11 @@ def _at(rows: DataFrame, day: str = "file_date", time: str = "from", mmsi: str =
     return rows.select(F.col(mmsi).alias("MMSI"), F.col(day).alias("file_date"), F.col(time).alias("at"))
 
 
+def _told(rows: DataFrame, kind: str, *details: str | Column, last: bool = False, time: str = "from", date: str = "file_date") -> DataFrame:
+    """Records of a kind without their ping: when it was, and whether the last row of that time is meant."""
+    return rows.select(*DAY, F.col(time).alias("at"), F.lit(last).alias("_last"), *D._stamp(kind, F.col(date)), *details)
+
+
 def shared_anomalies(pings: DataFrame, keep: Column, summary: DataFrame, days: DataFrame, params: Params) -> list[DataFrame]:
     """Records of the detectors that need few whole rows: beacons, speed, loitering, rendezvous, identity.
 
@@ -126,7 +131,7 @@ def shared_anomalies(pings: DataFrame, keep: Column, summary: DataFrame, days: D
             .agg(F.count(F.lit(1)).alias("NameCount"), F.array_sort(F.collect_list(F.struct("since", "VesselName"))).alias("_names"))
             .filter("NameCount > 1")
         )
-        hits["Identity_Spoofing"] = several.join(whole_days.select(*DAY, "from"), DAY)
+        hits["Identity_Spoofing"] = stage(several.join(whole_days.select(*DAY, "from"), DAY), "names")
         wanted.append(_at(hits["Identity_Spoofing"]))
     if "Rendezvous" in on:
         spots = (
@@ -150,15 +155,18 @@ def shared_anomalies(pings: DataFrame, keep: Column, summary: DataFrame, days: D
         wanted.append(_at(hits["Rendezvous"]))
     if not wanted:
         return []
-    asks = reduce(DataFrame.unionAll, wanted).distinct().withColumn("_hour", F.hour("at")).withColumns(
+    asks = reduce(DataFrame.unionAll, wanted).withColumn("_hour", F.hour("at")).withColumns(
         {"_clat": F.lit(None).cast("double"), "_clon": F.lit(None).cast("double")}
     )
     if calm is not None:
         hours = calm.withColumn("_hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
         asks = asks.unionByName(hours.select(*HOUR, F.lit(None).cast("timestamp").alias("at"), "_clat", "_clon"))
-    # At most a handful of asks per vessel and hour.
-    asks = asks.groupBy(*HOUR).agg(F.collect_set("at").alias("_times"), F.max("_clat").alias("_clat"), F.max("_clon").alias("_clon"))
-    asked = F.array_contains("_times", F.col("BaseDateTime"))
+    # Each time asked for is the first or the last of its vessel's hour, so the two ends are all of them; plain
+    # numbers, so the aggregate hashes.
+    asks = asks.groupBy(*HOUR).agg(
+        F.min("at").alias("_low"), F.max("at").alias("_high"), F.max("_clat").alias("_clat"), F.max("_clon").alias("_clon")
+    )
+    asked = (F.col("BaseDateTime") == F.col("_low")) | (F.col("BaseDateTime") == F.col("_high"))
     rows = D._only_pings(pings.filter(keep))
     met = rows.withColumn("_hour", F.hour("BaseDateTime")).join(asks, HOUR).filter(asked | F.col("_clat").isNotNull())
     met = stage(met, "asked-rows")
@@ -171,15 +179,12 @@ def shared_anomalies(pings: DataFrame, keep: Column, summary: DataFrame, days: D
         one = found.select(F.col("MMSI").alias("_m"), F.col("file_date").alias("_d"), F.col("at").alias("_t"), F.col(pick).alias(name))
         return table.join(one, (table["MMSI"] == F.col("_m")) & (table[day] == F.col("_d")) & (table[time] == F.col("_t"))).drop("_m", "_d", "_t")
 
-    parts = []
-    for kind, pick, time, date in (("AIS_Beacon_On", "low", "from", "file_date"), ("AIS_Beacon_Off", "high", "to", "next_date")):
+    # Records that need one whole row each meet the found rows in one join, whatever their kind.
+    told = []
+    for kind, last, time, date in (("AIS_Beacon_On", False, "from", "file_date"), ("AIS_Beacon_Off", True, "to", "next_date")):
         if kind in hits:
-            table = with_row(hits[kind], "file_date", time, pick, "ping")
-            parts.append(
-                table.select(
-                    "MMSI", "ping.*", "file_date", *D._stamp(kind, F.col(date)), F.lit(True).alias("BeaconAnomaly"), F.col("gap").alias("BeaconGapMinutes")
-                )
-            )
+            told.append(_told(hits[kind], kind, F.lit(True).alias("BeaconAnomaly"), F.col("gap").alias("BeaconGapMinutes"), last=last, time=time, date=date))
+    parts = []
     if "Speed" in hits:
         table = with_row(hits["Speed"].drop("first", "last"), "file_date", "from", "low", "first")
         table = with_row(table, "prev_day", "prev_to", "high", "prev_last")
@@ -193,30 +198,24 @@ def shared_anomalies(pings: DataFrame, keep: Column, summary: DataFrame, days: D
     if "Loitering" in hits:
         away = haversine_nm("_clat", "_clon", "LAT", "LON")
         far = met.filter(F.col("_clat").isNotNull()).groupBy(*DAY).agg(F.max(away).alias("LoiteringRadiusNM"))
-        table = with_row(calm.drop("first", "last").join(far, DAY), "file_date", "from", "low", "ping")
-        parts.append(
-            table.filter(F.col("LoiteringRadiusNM") < params.loitering_radius_nm).select(
-                "MMSI", "ping.*", "file_date", *D._stamp("Loitering", F.col("file_date")), "LoiteringRadiusNM",
-                F.col("n").alias("LoiteringRecordCount"), F.col("hours").alias("LoiteringDurationHours"),
-            )
+        near = calm.join(far, DAY).filter(F.col("LoiteringRadiusNM") < params.loitering_radius_nm)
+        told.append(
+            _told(near, "Loitering", "LoiteringRadiusNM", F.col("n").alias("LoiteringRecordCount"), F.col("hours").alias("LoiteringDurationHours"))
         )
     if "Rendezvous" in hits:
-        table = with_row(hits["Rendezvous"], "file_date", "from", "low", "ping")
-        parts.append(
-            table.select(
-                "MMSI", "ping.*", "file_date", "TimeWindow", *D._stamp("Rendezvous", F.col("file_date")),
-                "RendezvousMMSI2", "RendezvousDistanceNM", "RendezvousLat", "RendezvousLon",
-            )
+        told.append(
+            _told(hits["Rendezvous"], "Rendezvous", "TimeWindow", "RendezvousMMSI2", "RendezvousDistanceNM", "RendezvousLat", "RendezvousLon")
         )
     if "Identity_Spoofing" in hits:
-        table = with_row(hits["Identity_Spoofing"], "file_date", "from", "low", "ping")
-        parts.append(
-            table.select(
-                "MMSI", "ping.*", "file_date", *D._stamp("Identity_Spoofing", F.col("file_date")),
-                F.lit("multiple_vessel_names").alias("SpoofingIssue"), "NameCount",
-                F.array_join(F.transform("_names", lambda n: n["VesselName"]), ", ").alias("VesselNames"),
-            )
+        listed = F.array_join(F.transform("_names", lambda n: n["VesselName"]), ", ").alias("VesselNames")
+        told.append(
+            _told(hits["Identity_Spoofing"], "Identity_Spoofing", F.lit("multiple_vessel_names").alias("SpoofingIssue"), "NameCount", listed)
         )
+    if told:
+        table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), told).join(found, [*DAY, "at"])
+        ping = F.when(F.col("_last"), F.col("high")).otherwise(F.col("low")).alias("ping")
+        table = table.select(ping, *[c for c in table.columns if c not in ("at", "_last", "low", "high")])
+        parts.append(table.select("MMSI", "ping.*", "file_date", *[c for c in table.columns if c not in ("ping", *DAY)]))
     return parts
 
 

@@ -54,3 +54,12 @@ def test_detectors_share_one_summary_that_hashes(spark, stored):
     # Course and zones read the pings again; all else comes from stored tables.
     reads = [line for line in ended.splitlines() if "FileScan" in line and "VesselName" in line and "pings" in line]
     assert len(reads) <= 2
+
+
+def test_records_meet_their_rows_in_one_join_whatever_their_kind(stored):
+    text = plan(all_anomalies(stored, ZONES, CHECK_PARAMS))
+    # One join for the kinds that need a single row, and two for speed, which needs the row of the day before as well.
+    scans = [line for line in text.splitlines() if "FileScan" in line and ("low#" in line or "high#" in line)]
+    assert len(scans) == 3
+    # The names of a vessel-day are gathered once and stored, not again with the result.
+    assert "collect_list(struct(since" not in text
