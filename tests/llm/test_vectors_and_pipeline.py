@@ -251,3 +251,18 @@ def test_each_text_of_an_id_stays_or_goes_by_itself_in_the_pipeline(spark):
     rows = [(1, copy), (2, copy.upper()), (2, own), (None, copy), (3, ""), (4, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, shingle_dedup.dedup(docs).collect()), key=str) == sorted([(1, copy), (2, own), (None, copy), (3, "")], key=str)
+
+
+def test_each_text_is_cut_into_shingles_once(spark, capsys):
+    """Spark must not call the function a second time below the first, for a filter: that doubles work and Python workers."""
+    texts = [f"{own} " + " ".join(f"w{i}" for i in range(20 + own)) for own in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5, texts[5]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    nodes = [(100 + i, *shingle_dedup._name(texts[i].encode()), i) for i in range(0, 600, 5)]
+    named = spark.createDataFrame(nodes, "v long, hi long, lo long, first_id long")
+    found = shingle_dedup.shingle_sets(docs, named, "doc_id", "text", 5)
+    capsys.readouterr()
+    found.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    want = {v: shingle_dedup.shingle_hashes(texts[i].encode()).view(np.int64).tolist() for v, _, _, i in nodes}
+    assert {r["v"]: r["hashes"] for r in found.collect()} == want
